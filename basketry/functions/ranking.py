@@ -22,7 +22,7 @@ def heaviest(sizes: DataFrame, size: str, keys: Sequence[str], min_rows: int = G
     """Keys of the groups of ``min_rows`` rows or more, at most the ``MAX_GIANTS`` largest.
 
     A group left out is no larger than any of the ``MAX_GIANTS`` kept, so it holds at most one row in
-    ``MAX_GIANTS``: small enough for one task. The result is small enough to broadcast at any data size.
+    ``MAX_GIANTS``: small enough for one task. The result can be broadcast at any data size.
     """
     return (
         sizes.where(F.col(size) >= min_rows)
@@ -32,33 +32,41 @@ def heaviest(sizes: DataFrame, size: str, keys: Sequence[str], min_rows: int = G
     )
 
 
-def _piece(key: Column, cuts: Column, pieces: int) -> Column:
-    """How many of the sorted ``cuts`` are at or below ``key``, by binary search."""
-
-    def halve(span: Column, _: Column) -> Column:
-        low, high = span["low"], span["high"]
-        middle = F.shiftright(low + high, 1)
-        upper = F.struct((middle + 1).alias("low"), high.alias("high"))
-        lower = F.struct(low.alias("low"), middle.alias("high"))
-        return F.when(low >= high, span).when(F.get(cuts, middle) <= key, upper).otherwise(lower)
-
-    steps = F.array(*[F.lit(i) for i in range(ceil(log2(pieces)))])
-    whole = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
-    return F.aggregate(steps, whole, halve)["low"]
+def _piece(pieces: int) -> Column:
+    """How many of the sorted ``__cuts`` are at or below ``__key``, by binary search."""
+    return F.expr(
+        f"""aggregate(
+            sequence(1, {ceil(log2(pieces))}),
+            named_struct('low', 0, 'high', size(__cuts)),
+            (span, step) -> CASE
+                WHEN span.low >= span.high THEN span
+                WHEN get(__cuts, shiftright(span.low + span.high, 1)) <= __key
+                    THEN named_struct('low', shiftright(span.low + span.high, 1) + 1, 'high', span.high)
+                ELSE named_struct('low', span.low, 'high', shiftright(span.low + span.high, 1)) END,
+            span -> span.low)"""
+    )
 
 
-def _offsets(pieced: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the same group in earlier pieces, for the pieces that do not start their group.
+def add_pieces(rows: DataFrame, split: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str) -> DataFrame:
+    """``row_number`` over ``keys``, computed per ``keys`` and ``__piece``.
 
-    A piece can continue only the one group its lower cut falls into: fewer rows than there are pieces.
+    ``split`` holds the rows of the groups that have more than one piece. Its piece counts meet the ranked rows
+    on the partitioning the window has left behind, so the rows are shuffled once.
     """
     earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        pieced.groupBy(*keys, "__piece")
+    offsets = (
+        split.groupBy(*keys, "__piece")
         .agg(F.count(F.lit(1)).alias("__rows"))
         .select(*keys, "__piece", F.sum("__rows").over(earlier).alias("__offset"))
         .where(F.col("__offset").isNotNull())
     )
+    within = Window.partitionBy(*keys, "__piece").orderBy(*order)
+    return (
+        rows.withColumn("__rank", F.row_number().over(within))
+        .join(offsets, [*keys, "__piece"], "left")
+        .withColumn(into, F.col("__rank") + F.coalesce("__offset", F.lit(0).cast("bigint")))
+        .drop("__piece", "__rank", "__offset")
+    )
 
 
 def group_rank(
@@ -66,28 +74,22 @@ def group_rank(
     keys: Sequence[str],
     order: Sequence[Column],
     into: str,
-    giants: DataFrame,
+    is_giant: Column,
     pieces: int = PIECES,
 ) -> DataFrame:
     """1-based position inside each group of ``keys`` in the ascending, total ``order``, as a bigint.
 
-    ``giants`` (see :func:`heaviest`) names the groups to rank in pieces; the others are ranked whole.
+    Groups whose rows satisfy ``is_giant`` are ranked in pieces, the others whole.
     """
-    flagged = df.join(F.broadcast(giants.withColumn("__giant", F.lit(True))), list(keys), "left")
-    large = flagged.where(F.col("__giant"))
     key = F.struct(*[F.col(k) for k in keys], *[o.alias(f"o{i}") for i, o in enumerate(order)])
-    sample = large.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(pieces - 1)
+    giants = df.where(is_giant)
+    sample = giants.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(pieces - 1)
     cuts = sample.agg(F.sort_array(F.collect_list("key"))).scalar()
 
     def pieced(rows: DataFrame) -> DataFrame:
-        piece = F.when(F.col("__giant"), _piece(key, F.col("__cuts"), pieces)).otherwise(-1)
-        return rows.withColumn("__cuts", cuts).withColumn("__piece", piece).drop("__cuts")
+        piece = F.when(is_giant, _piece(pieces)).otherwise(-1)
+        return (
+            rows.withColumns({"__cuts": cuts, "__key": key}).withColumn("__piece", piece).drop("__cuts", "__key")
+        )
 
-    within = Window.partitionBy(*keys, "__piece").orderBy(*order)
-    return (
-        pieced(flagged)
-        .withColumn("__rank", F.row_number().over(within))
-        .join(F.broadcast(_offsets(pieced(large), keys)), [*keys, "__piece"], "left")
-        .withColumn(into, F.col("__rank") + F.coalesce("__offset", F.lit(0).cast("bigint")))
-        .drop("__giant", "__piece", "__rank", "__offset")
-    )
+    return add_pieces(pieced(df), pieced(giants), keys, order, into)

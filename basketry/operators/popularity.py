@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from basketry.functions.ranking import GIANT_ROWS, group_rank, heaviest
+from basketry.functions.ranking import GIANT_ROWS, group_rank
 
 # Rows of the popularity table that are broadcast: a fixed number of short rows at any data size. They hold
 # the most frequent items, so every item with a large share of the rows is among them.
@@ -26,13 +26,19 @@ def item_popularity(train: DataFrame, giant_rows: int = GIANT_ROWS) -> DataFrame
     """
     frequency = train.groupBy("track_id").agg(F.count(F.lit(1)).alias("train_frequency"))
     higher = Window.orderBy(F.desc("train_frequency")).rowsBetween(Window.unboundedPreceding, -1)
-    histogram = frequency.groupBy("train_frequency").agg(F.count(F.lit(1)).alias("items"))
-    above = histogram.select("train_frequency", F.coalesce(F.sum("items").over(higher), F.lit(0)).alias("above"))
-    crowded = heaviest(histogram, "items", ["train_frequency"], giant_rows)
-    ranked = group_rank(frequency, ["train_frequency"], [F.col("track_id")], "place", crowded)
-    return ranked.join(F.broadcast(above), "train_frequency").select(
-        "track_id", "train_frequency", (F.col("above") + F.col("place")).alias("popularity_rank")
+    histogram = (
+        frequency.groupBy("train_frequency")
+        .agg(F.count(F.lit(1)).alias("sharing"))
+        .withColumn("above", F.coalesce(F.sum("sharing").over(higher), F.lit(0)))
     )
+    placed = group_rank(
+        frequency.join(F.broadcast(histogram), "train_frequency"),
+        ["train_frequency"],
+        [F.col("track_id")],
+        "place",
+        is_giant=F.col("sharing") >= giant_rows,
+    )
+    return placed.select("track_id", "train_frequency", (F.col("above") + F.col("place")).alias("popularity_rank"))
 
 
 def with_popularity(rows: DataFrame, popularity: DataFrame, head_items: int = HEAD_ITEMS) -> DataFrame:
@@ -100,11 +106,13 @@ def recommend_popular(
         )
         .withColumn("is_first", F.row_number().over(in_order) == 1)
     )
-    # Ranks below the block that the collection has not seen; from max_k on, the list is already full.
+    # Ranks below the block that the collection has not seen; from max_k on, the list is already full. The first
+    # block is always opened, as the gap below it starts from there.
     unseen_before = F.greatest(F.col("block") * block_ranks - 1, F.lit(0)) - F.col("seen_before")
     next_rank = F.col("block") * block_ranks + F.col("items")
     is_solid = (F.col("lowest") == F.col("block") * block_ranks) & (F.col("next_seen") == next_rank)
-    opened = outline.where((unseen_before < max_k) & ~F.coalesce(is_solid & ~F.col("is_first"), F.lit(False)))
+    contributes = (unseen_before < max_k) & ~F.coalesce(is_solid, F.lit(False))
+    opened = outline.where(F.col("is_first") | contributes)
 
     # "Rank 0" stands before the first seen rank of the collection, so that the gap from rank 1 has a start.
     starts = F.when(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions.checks import validate_ratios
 from basketry.functions.hashing import MODULUS, hash_score
-from basketry.functions.ranking import GIANT_ROWS, group_rank, heaviest
+from basketry.functions.ranking import GIANT_ROWS, add_pieces
 
 INTERACTION = ("pid", "pos", "track_id", "artist_id", "album_id", "duration_ms")
 EVALUATION = ("validation", "test")
@@ -105,7 +105,7 @@ def _evaluation_rows(
     if splits_from_spec:
         rows = rows.where(spec.hash_label().isin(*names))
     budget = holdout_budget(splits.where(F.col("split").isin(*names)), spec)
-    return rows.join(budget.select("pid", "split", "hidden_count"), "pid").withColumn("mask_score", spec.mask_score())
+    return rows.join(budget, "pid").withColumn("mask_score", spec.mask_score())
 
 
 # A total order: rows that tie on all of it are copies of one another.
@@ -124,12 +124,17 @@ def holdout_rank(
 
     ``splits_from_spec=True`` says that :func:`hash_split` made ``splits`` with this ``spec``. The hash then
     drops the rows of all other collections before the join, so that only evaluation rows are shuffled.
+
+    A collection of more than ``giant_rows`` items is ranked in pieces. The score is uniform, so equal ranges of
+    it hold about equally many rows, and nothing has to be sampled to find them.
     """
-    rows = _evaluation_rows(interactions, splits, spec, names, splits_from_spec)
-    sizes = splits.where(F.col("split").isin(*names)).select("pid", "playlist_length")
-    giants = heaviest(sizes, "playlist_length", ["pid"], giant_rows).distinct()
-    order = [F.col(c) for c in MASK_ORDER]
-    return group_rank(rows, ["pid"], order, "mask_rank", giants).select(
+    pieces = F.ceil(F.col("playlist_length") / F.lit(giant_rows))
+    piece = F.when(F.col("playlist_length") > giant_rows, F.floor(F.col("mask_score") * pieces / F.lit(MODULUS)))
+    rows = _evaluation_rows(interactions, splits, spec, names, splits_from_spec).withColumn(
+        "__piece", F.coalesce(piece, F.lit(0))
+    )
+    giants = rows.where(F.col("playlist_length") > giant_rows)
+    return add_pieces(rows, giants, ["pid"], [F.col(c) for c in MASK_ORDER], "mask_rank").select(
         *INTERACTION, "split", "hidden_count", "mask_score", "mask_rank"
     )
 

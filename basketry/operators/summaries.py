@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.operators.flatten import flatten_interactions
 from basketry.operators.splits import EVALUATION
-from basketry.sources.documents import CORRUPT, collections_of
+from basketry.sources.documents import collections_of
 
 
 def ingest_summary(documents: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def ingest_summary(documents: DataFrame) -> DataFrame:
     """
     per_document = documents.select(
         "source_file",
-        F.col(CORRUPT).isNotNull().cast("int").alias("corrupt"),
+        F.col("unreadable").cast("int").alias("corrupt"),
         F.coalesce(F.size(F.filter("playlists", lambda c: c.isNotNull())), F.lit(0)).alias("collections"),
         F.coalesce(
             F.aggregate(

@@ -17,6 +17,7 @@ from basketry.operators.metrics import metrics_report, ranking_metrics
 from basketry.operators.popularity import item_popularity, recommend_popular
 from basketry.operators.sampling import restrict_run_tables
 from basketry.operators.splits import (
+    EVALUATION,
     SplitSpec,
     collection_lengths,
     hash_split,
@@ -27,7 +28,7 @@ from basketry.operators.splits import (
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 from basketry.sources.documents import collections_of, read_documents
-from basketry.sources.tables import check_targets, exists, load_layer, scratch_root, staged, write_tables
+from basketry.sources.tables import check_targets, exists, load_layer, save_table, scratch_root
 
 SILVER = ("playlists", "tracks", "playlist_tracks")
 GOLD = (
@@ -42,10 +43,6 @@ ARTIFACTS = ("track_popularity", "cooccurrence_pairs", "validation_recommendatio
 METRICS_FILE = "validation_metrics.json"
 
 
-def _write(spark: SparkSession, name: str, frame: DataFrame, root: str, overwrite: bool) -> DataFrame:
-    return spark.read.parquet(write_tables({name: frame}, root, overwrite)[name])
-
-
 def ingest(
     spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False, **read_options: str
 ) -> DataFrame:
@@ -55,17 +52,11 @@ def ingest(
     fields it needs.
     """
     check_targets(spark, output_dir, SILVER, overwrite)
-    documents = staged(read_documents(spark, input_dir, **read_options), scratch_root(spark), "documents")
+    documents = save_table(read_documents(spark, input_dir, **read_options), scratch_root(spark), "documents")
     collections = collections_of(documents)
-    write_tables(
-        {
-            "playlists": flatten_collections(collections),
-            "tracks": item_dimension(collections),
-            "playlist_tracks": flatten_interactions(collections),
-        },
-        output_dir,
-        overwrite,
-    )
+    save_table(flatten_collections(collections), output_dir, "playlists", overwrite)
+    save_table(item_dimension(collections), output_dir, "tracks", overwrite)
+    save_table(flatten_interactions(collections), output_dir, "playlist_tracks", overwrite)
     return ingest_summary(documents)
 
 
@@ -86,22 +77,14 @@ def build_splits(
     silver = load_layer(spark, input_dir, ("playlists", "playlist_tracks"))
     interactions = silver["playlist_tracks"]
     labels = hash_split(collection_lengths(silver["playlists"], interactions), spec)
-    splits = _write(spark, "playlist_splits", labels, output_dir, overwrite)
+    splits = save_table(labels, output_dir, "playlist_splits", overwrite)
     train = train_interactions(interactions, splits, spec if complete_headers else None)
-    ranked = staged(
-        holdout_rank(interactions, splits, spec, splits_from_spec=True), scratch_root(spark), "holdout"
-    )
-    write_tables(
-        {
-            "train_playlist_tracks": train,
-            "validation_context": holdout_context(ranked, "validation"),
-            "validation_targets": ranked_targets(ranked, "validation"),
-            "test_context": holdout_context(ranked, "test"),
-            "test_targets": ranked_targets(ranked, "test"),
-        },
-        output_dir,
-        overwrite,
-    )
+    save_table(train, output_dir, "train_playlist_tracks", overwrite)
+    ranked = holdout_rank(interactions, splits, spec, splits_from_spec=True)
+    ranked = save_table(ranked, scratch_root(spark), "holdout")
+    for name in EVALUATION:
+        save_table(holdout_context(ranked, name), output_dir, f"{name}_context", overwrite)
+        save_table(ranked_targets(ranked, name), output_dir, f"{name}_targets", overwrite)
     return split_summary(splits)
 
 
@@ -123,7 +106,7 @@ def run_baselines(
     cutoffs = validate_ks(ks)
     check_targets(spark, output_dir, ARTIFACTS, overwrite)
     metrics_path = f"{output_dir.rstrip('/')}/{METRICS_FILE}"
-    if not overwrite and exists(spark, metrics_path):
+    if not overwrite and exists(spark, output_dir) and exists(spark, metrics_path):
         raise FileExistsError(f"already written: {metrics_path}")
     gold = load_layer(spark, input_dir, ("train_playlist_tracks", "validation_context", "validation_targets"))
     scratch = scratch_root(spark)
@@ -131,26 +114,16 @@ def run_baselines(
     sizes = (None, None) if full_data else (train_sample_size, validation_sample_size)
     run = dict(zip(("train", "context", "targets"), restrict_run_tables(*gold.values(), *sizes, seed, hash_fn)))
     if not full_data:
-        run = {name: staged(rows, scratch, name) for name, rows in run.items()}
+        run = {name: save_table(rows, scratch, name) for name, rows in run.items()}
     train, context, targets = run.values()
 
-    popularity = _write(spark, "track_popularity", item_popularity(train), output_dir, overwrite)
-    pairs = _write(
-        spark,
-        "cooccurrence_pairs",
-        cooccurrence_pairs(train, popularity, min_pair_support, min_candidate_popularity),
-        output_dir,
-        overwrite,
-    )
-    recommendations = _write(
-        spark,
-        "validation_recommendations",
-        recommendations_union(
-            recommend_popular(context, popularity, max(cutoffs)), recommend_cooccurrence(context, pairs, max(cutoffs))
-        ),
-        output_dir,
-        overwrite,
+    popularity = save_table(item_popularity(train), output_dir, "track_popularity", overwrite)
+    counts = cooccurrence_pairs(train, popularity, min_pair_support, min_candidate_popularity)
+    pairs = save_table(counts, output_dir, "cooccurrence_pairs", overwrite)
+    both = recommendations_union(
+        recommend_popular(context, popularity, max(cutoffs)), recommend_cooccurrence(context, pairs, max(cutoffs))
     )
-    metrics = staged(ranking_metrics(recommendations, targets, cutoffs), scratch, "metrics")
+    recommendations = save_table(both, output_dir, "validation_recommendations", overwrite)
+    metrics = save_table(ranking_metrics(recommendations, targets, cutoffs), scratch, "metrics")
     metrics_report(metrics).write.mode("overwrite" if overwrite else "errorifexists").json(metrics_path)
     return metrics, run_summary(train, context, full_data)

@@ -38,7 +38,7 @@ from basketry.operators.summaries import ingest_summary, run_summary, split_summ
 from basketry.plans import standin
 from basketry.plans.jobs import build_splits, run_baselines
 from basketry.sources.documents import collections_of, parse_documents, scan_nested_json
-from basketry.sources.tables import load_layer, scratch_root, staged, write_tables
+from basketry.sources.tables import load_layer, save_table, scratch_root, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,12 +68,12 @@ class _Run:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._root = scratch_root(spark)
-        splits = staged(_splits(spark, sf_dir), self._root, "splits")
+        splits = save_table(_splits(spark, sf_dir), self._root, "splits")
         baskets = standin.baskets(spark, sf_dir)
         items = standin.customer_items(spark, sf_dir)
         members = splits.where(F.col("split") == "train").select("pid")
         ranked = holdout_rank(baskets, splits, SPEC, ["validation"], splits_from_spec=True)
-        ranked = staged(ranked, self._root, "ranked")
+        ranked = save_table(ranked, self._root, "ranked")
         self.train = items.join(members, "pid", "left_semi")
         self.context = holdout_context(ranked, "validation")
         self.targets = ranked.where(F.col("mask_rank") <= F.col("hidden_count"))
@@ -82,20 +82,20 @@ class _Run:
     @property
     def popularity(self) -> DataFrame:
         if self._popularity is None:
-            self.train = staged(self.train, self._root, "train")
-            self._popularity = staged(item_popularity(self.train), self._root, "popularity")
+            self.train = save_table(self.train, self._root, "train")
+            self._popularity = save_table(item_popularity(self.train), self._root, "popularity")
         return self._popularity
 
     def pairs(self) -> DataFrame:
         popularity = self.popularity
-        return staged(cooccurrence_pairs(self.train, popularity), self._root, "pairs")
+        return save_table(cooccurrence_pairs(self.train, popularity), self._root, "pairs")
 
     def recommend(self) -> DataFrame:
         union = recommendations_union(
             recommend_popular(self.context, self.popularity, MAX_K),
             recommend_cooccurrence(self.context, self.pairs(), MAX_K),
         )
-        return staged(union, self._root, "recommendations")
+        return save_table(union, self._root, "recommendations")
 
 
 def q_scan_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def q_restrict_run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    popularity = staged(item_popularity(rows), scratch_root(rows.sparkSession), "popularity")
+    popularity = save_table(item_popularity(rows), scratch_root(rows.sparkSession), "popularity")
     return cooccurrence_pairs(rows, popularity)
 
 
@@ -241,7 +241,7 @@ def q_recommend_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_recommend_popular_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users who have seen most of a small catalogue: the lists run out of items."""
     events = standin.event_items(spark, sf_dir)
-    popularity = staged(item_popularity(events), scratch_root(spark), "popularity")
+    popularity = save_table(item_popularity(events), scratch_root(spark), "popularity")
     return recommend_popular(events, popularity, MAX_K)
 
 

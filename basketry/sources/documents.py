@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from basketry.functions.text import SLICE_NAME
@@ -32,6 +32,11 @@ DOCUMENT = StructType([StructField("playlists", ArrayType(COLLECTION))])
 WITH_CORRUPT = StructType(DOCUMENT.fields + [StructField(CORRUPT, StringType())])
 
 
+def _unreadable(playlists: str, corrupt: str) -> Column:
+    """Nothing could be parsed. A field of the wrong type alone is null and leaves the rest of the file."""
+    return F.col(playlists).isNull() & F.col(corrupt).isNotNull()
+
+
 def read_documents(
     spark: SparkSession,
     path: str,
@@ -39,10 +44,10 @@ def read_documents(
     name_pattern: str = SLICE_NAME + r".*\.json$",
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """One row per matching file at any depth below ``path``: ``source_file, playlists, _corrupt_record``.
+    """One row per matching file at any depth below ``path``: ``source_file, playlists, unreadable``.
 
     A missing folder or a folder without a matching file is an error. A file that is not valid JSON keeps its
-    row, with its text in ``_corrupt_record``; ``mode="FAILFAST"`` makes it an error instead.
+    row, marked ``unreadable``; ``mode="FAILFAST"`` makes it an error instead.
     """
     reader = (
         spark.read.schema(DOCUMENT if mode == "FAILFAST" else WITH_CORRUPT)
@@ -54,9 +59,9 @@ def read_documents(
     files = reader.json(path)
     if not files.inputFiles():
         raise FileNotFoundError(f"no file named like {name_glob} under {path}")
-    corrupt = F.lit(None).cast("string").alias(CORRUPT) if mode == "FAILFAST" else F.col(CORRUPT)
+    unreadable = F.lit(False) if mode == "FAILFAST" else _unreadable("playlists", CORRUPT)
     return files.where(F.col("_metadata.file_name").rlike(name_pattern)).select(
-        F.col("_metadata.file_path").alias("source_file"), "playlists", corrupt
+        F.col("_metadata.file_path").alias("source_file"), "playlists", unreadable.alias("unreadable")
     )
 
 
@@ -64,7 +69,7 @@ def parse_documents(texts: DataFrame, text: str = "value", source_file: str = "s
     """The rows of :func:`read_documents` for documents held in a text column."""
     parsed = F.from_json(text, WITH_CORRUPT, {"columnNameOfCorruptRecord": CORRUPT})
     return texts.select(F.col(source_file).alias("source_file"), parsed.alias("d")).select(
-        "source_file", "d.playlists", F.col(f"d.{CORRUPT}")
+        "source_file", "d.playlists", _unreadable("d.playlists", f"d.{CORRUPT}").alias("unreadable")
     )
 
 

@@ -36,20 +36,27 @@ def load_layer(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str
 
 def check_targets(spark: SparkSession, root: str, names: Iterable[str], overwrite: bool = False) -> None:
     """Fail before a long job computes anything that it may not write."""
-    taken = [] if overwrite else [p for p in (table_path(root, n) for n in names) if exists(spark, p)]
+    if overwrite or not exists(spark, root):
+        return
+    taken = [path for path in (table_path(root, name) for name in names) if exists(spark, path)]
     if taken:
         raise FileExistsError(f"already written: {', '.join(taken)}")
 
 
+def save_table(frame: DataFrame, root: str, name: str, overwrite: bool = False) -> DataFrame:
+    """Write one table and return it as read back, so that what builds on it starts from the files."""
+    path = table_path(root, name)
+    frame.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def write_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = False) -> dict[str, str]:
-    """Write each frame as a Parquet table below ``root`` and return the paths by name."""
+    """Write each frame as a Parquet table below ``root``, all or, if one may not be written, none."""
     for frame in list(tables.values())[:1]:
         check_targets(frame.sparkSession, root, tables, overwrite)
-    paths = {}
     for name, frame in tables.items():
-        paths[name] = table_path(root, name)
-        frame.write.mode("overwrite" if overwrite else "errorifexists").parquet(paths[name])
-    return paths
+        save_table(frame, root, name, overwrite)
+    return {name: table_path(root, name) for name in tables}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -60,10 +67,3 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="basketry-")
     return f"{base.rstrip('/')}/basketry-{uuid4().hex}"
-
-
-def staged(frame: DataFrame, root: str, name: str) -> DataFrame:
-    """Write ``frame`` once below ``root`` and go on from the written table."""
-    path = table_path(root, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
