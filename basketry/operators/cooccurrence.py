@@ -40,9 +40,11 @@ def cooccurrence_pairs(
         .where(F.col("popularity_rank").isNotNull() & F.col("pid").isNotNull())
         .select("pid", "popularity_rank", "train_frequency", "occurrences")
     )
+    # Reading "occurrences" keeps this the same shuffle as the one above, which Spark then runs once.
+    distinct_items = F.count_if(F.col("occurrences") > 0)
     large = (
         counted.groupBy("pid")
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(block_items)).cast("int").alias("blocks"))
+        .agg(F.ceil(distinct_items / F.lit(block_items)).cast("int").alias("blocks"))
         .where(F.col("blocks") > 1)
     )
     placed = (
@@ -111,9 +113,8 @@ def recommend_cooccurrence(context: DataFrame, pairs: DataFrame, max_k: int) ->
     )
     # The context itself enters the same aggregation as rows without votes: one shuffle and no join finds
     # both the scores and the items to leave out.
-    own = weights.select(
-        "pid", "track_id", F.lit(None).cast("bigint").alias("votes"), F.lit(None).cast("bigint").alias("candidate_popularity")
-    )
+    nothing = F.lit(None).cast("bigint")
+    own = known.select("pid", "track_id", nothing.alias("votes"), nothing.alias("candidate_popularity"))
     scores = (
         votes.withColumn("seen", F.lit(0))
         .unionByName(own.withColumn("seen", F.lit(1)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions.checks import validate_ratios
 from basketry.functions.hashing import MODULUS, hash_score
-from basketry.functions.ranking import GIANT_ROWS, add_pieces
+from basketry.functions.ranking import GIANT_ROWS, add_pieces, heaviest
 
 INTERACTION = ("pid", "pos", "track_id", "artist_id", "album_id", "duration_ms")
 EVALUATION = ("validation", "test")
@@ -99,12 +99,11 @@ def holdout_budget(splits: DataFrame, spec: SplitSpec) -> DataFrame:
 
 
 def _evaluation_rows(
-    interactions: DataFrame, splits: DataFrame, spec: SplitSpec, names: Sequence[str], splits_from_spec: bool
+    interactions: DataFrame, budget: DataFrame, spec: SplitSpec, names: Sequence[str], splits_from_spec: bool
 ) -> DataFrame:
     rows = interactions.select(*INTERACTION)
     if splits_from_spec:
         rows = rows.where(spec.hash_label().isin(*names))
-    budget = holdout_budget(splits.where(F.col("split").isin(*names)), spec)
     return rows.join(budget, "pid").withColumn("mask_score", spec.mask_score())
 
 
@@ -125,16 +124,24 @@ def holdout_rank(
     ``splits_from_spec=True`` says that :func:`hash_split` made ``splits`` with this ``spec``. The hash then
     drops the rows of all other collections before the join, so that only evaluation rows are shuffled.
 
-    A collection of more than ``giant_rows`` items is ranked in pieces. The score is uniform, so equal ranges of
-    it hold about equally many rows, and nothing has to be sampled to find them.
+    A collection of ``giant_rows`` items or more is ranked in pieces. The score is uniform, so equal ranges of it
+    hold about equally many rows, and nothing has to be sampled to find them.
     """
-    pieces = F.ceil(F.col("playlist_length") / F.lit(giant_rows))
-    piece = F.when(F.col("playlist_length") > giant_rows, F.floor(F.col("mask_score") * pieces / F.lit(MODULUS)))
-    rows = _evaluation_rows(interactions, splits, spec, names, splits_from_spec).withColumn(
-        "__piece", F.coalesce(piece, F.lit(0))
+    budget = holdout_budget(splits.where(F.col("split").isin(*names)), spec)
+    giants = heaviest(budget, "playlist_length", ["pid"], giant_rows)
+    pieces = F.when(F.col("is_giant"), F.ceil(F.col("playlist_length") / F.lit(giant_rows)) + 1).otherwise(1)
+    budget = budget.join(F.broadcast(giants.withColumn("is_giant", F.lit(True))), "pid", "left").withColumn(
+        "pieces", pieces
     )
-    giants = rows.where(F.col("playlist_length") > giant_rows)
-    return add_pieces(rows, giants, ["pid"], [F.col(c) for c in MASK_ORDER], "mask_rank").select(
+
+    def pieced(collections: DataFrame) -> DataFrame:
+        rows = _evaluation_rows(interactions, collections, spec, names, splits_from_spec)
+        return rows.withColumn("__piece", F.floor(F.col("mask_score") * F.col("pieces") / F.lit(MODULUS)))
+
+    # Without a giant this side is known to be empty before it reads anything.
+    in_pieces = pieced(F.broadcast(budget.where(F.col("is_giant"))))
+    order = [F.col(c) for c in MASK_ORDER]
+    return add_pieces(pieced(budget), in_pieces, ["pid"], order, "mask_rank").select(
         *INTERACTION, "split", "hidden_count", "mask_score", "mask_rank"
     )
 
@@ -152,7 +159,8 @@ def holdout_targets(
     Only the first ``max_hidden`` ranks matter. Spark applies that literal bound before the shuffle, so a
     collection of any size reaches its task as a few rows per partition.
     """
-    rows = _evaluation_rows(interactions, splits, spec, [name], splits_from_spec)
+    budget = holdout_budget(splits.where(F.col("split") == name), spec)
+    rows = _evaluation_rows(interactions, budget, spec, [name], splits_from_spec)
     order = Window.partitionBy("pid").orderBy(*MASK_ORDER)
     return (
         rows.withColumn("mask_rank", F.row_number().over(order))
