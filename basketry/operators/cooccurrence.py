@@ -8,6 +8,13 @@ from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, with_popul
 
 # Largest number of items of one collection that meet those of another block of it in one join key.
 BLOCK_ITEMS = 1024
+# Contexts, and pairs, of one item that meet in one join key.
+BLOCK_ROWS = 4096
+
+
+def _tasks(frame: DataFrame) -> int:
+    """Partitions of a join that multiplies its rows: all of them, whatever the size of its inputs suggests."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cooccurrence_pairs(
@@ -67,9 +74,8 @@ def cooccurrence_pairs(
         F.col("popularity_rank").alias("b"),
         F.col("occurrences").alias("times_b"),
     )
-    # The join multiplies the rows, so small inputs must not be coalesced into few tasks by their size.
     keys = ["pid", "block_a", "block_b"]
-    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = _tasks(train)
     support = (
         popular.repartition(tasks, *keys)
         .join(rarer.repartition(tasks, *keys), keys)
@@ -98,18 +104,51 @@ def cooccurrence_pairs(
     return directed.join(candidates, "candidate_rank").join(contexts, "context_rank").select("context_track_id", "candidate_track_id", "pair_support", "candidate_popularity")
 
 
-def recommend_cooccurrence(context: DataFrame, pairs: DataFrame, max_k: int) -> DataFrame:
+def _block_counts(rows: DataFrame, key: str, block_rows: int, into: str) -> DataFrame:
+    """How many blocks of ``block_rows`` a key needs, for the keys that need more than one."""
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+    return rows.groupBy(key).agg(blocks.alias(into)).where(F.col(into) > 1)
+
+
+def recommend_cooccurrence(
+    context: DataFrame, pairs: DataFrame, max_k: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Per collection the ``max_k`` unseen items with the largest summed support from its context.
 
     An item occurring twice in the context counts twice. Ties go to the more popular, then the lower id.
+
+    An item in w contexts and d pairs takes part in w * d votes. Either side is divided into blocks of about
+    ``block_rows`` rows and all blocks meet, so the votes of a frequent item are spread over many tasks.
     """
     known = context.where(F.col("track_id").isNotNull() & F.col("pid").isNotNull())
     weights = known.groupBy("pid", "track_id").agg(F.count(F.lit(1)).alias("occurrences"))
-    votes = weights.join(pairs, F.col("track_id") == F.col("context_track_id")).select(
-        "pid",
-        F.col("candidate_track_id").alias("track_id"),
-        (F.col("occurrences") * F.col("pair_support")).alias("votes"),
-        "candidate_popularity",
+    partners = pairs.withColumnRenamed("context_track_id", "track_id")
+    blocks = _block_counts(weights, "track_id", block_rows, "context_blocks").join(
+        _block_counts(partners, "track_id", block_rows, "pair_blocks"), "track_id", "full"
+    )
+
+    def placed(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        counted = rows.join(blocks, "track_id", "left").withColumns(
+            {name: F.coalesce(f"{name}_blocks", F.lit(1)) for name in ("context", "pair")}
+        )
+        return counted.select(
+            *rows.columns,
+            F.pmod(F.xxhash64(by), F.col(own)).cast("int").alias(f"{own}_block"),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block"),
+        )
+
+    keys = ["track_id", "context_block", "pair_block"]
+    tasks = _tasks(context)
+    votes = (
+        placed(weights, "pid", "context", "pair")
+        .repartition(tasks, *keys)
+        .join(placed(partners, "candidate_track_id", "pair", "context").repartition(tasks, *keys), keys)
+        .select(
+            "pid",
+            F.col("candidate_track_id").alias("track_id"),
+            (F.col("occurrences") * F.col("pair_support")).alias("votes"),
+            "candidate_popularity",
+        )
     )
     # The context itself enters the same aggregation as rows without votes: one shuffle and no join finds
     # both the scores and the items to leave out.

@@ -98,8 +98,8 @@ def test_pairs_do_not_depend_on_partitions(spark):
         assert rows(cooccurrence_pairs(train.repartition(n), popularity, block_items=6)) == expected
 
 
-@pytest.mark.parametrize("k", [1, 5, 100])
-def test_cooccurring_items(spark, k):
+@pytest.mark.parametrize("k, block_rows", [(1, 4096), (5, 3), (100, 1)])
+def test_cooccurring_items(spark, k, block_rows):
     train, context = baskets(6), baskets(7, collections=20, hot=False) + [(3000, "unheard-of")]
     pairs = pairs_of(train, 2, 3)
     scores, seen = {}, set(context)
@@ -115,7 +115,7 @@ def test_cooccurring_items(spark, k):
         [(a, b, n, p) for (a, b), (n, p) in pairs.items()],
         "context_track_id string, candidate_track_id string, pair_support long, candidate_popularity long",
     )
-    got = recommend_cooccurrence(frame(spark, context), table, k)
+    got = recommend_cooccurrence(frame(spark, context), table, k, block_rows)
     assert rows(got) == sorted(expected)
     union = recommendations_union(got, got.withColumn("baseline_name", F.lit("again")))
     assert union.count() == 2 * len(expected)
