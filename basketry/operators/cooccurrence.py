@@ -8,8 +8,8 @@ from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, with_popul
 
 # Largest number of items of one collection that meet those of another block of it in one join key.
 BLOCK_ITEMS = 1024
-# Contexts, and pairs, of one item that meet in one join key.
-BLOCK_ROWS = 4096
+# Contexts, and pairs, of one item that meet in one join key: about a million votes.
+BLOCK_ROWS = 1024
 
 
 def _tasks(frame: DataFrame) -> int:

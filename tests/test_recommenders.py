@@ -98,7 +98,7 @@ def test_pairs_do_not_depend_on_partitions(spark):
         assert rows(cooccurrence_pairs(train.repartition(n), popularity, block_items=6)) == expected
 
 
-@pytest.mark.parametrize("k, block_rows", [(1, 4096), (5, 3), (100, 1)])
+@pytest.mark.parametrize("k, block_rows", [(1, 1024), (5, 3), (100, 1)])
 def test_cooccurring_items(spark, k, block_rows):
     train, context = baskets(6), baskets(7, collections=20, hot=False) + [(3000, "unheard-of")]
     pairs = pairs_of(train, 2, 3)
