@@ -28,7 +28,7 @@ from basketry.operators.splits import (
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 from basketry.sources.documents import collections_of, read_documents
-from basketry.sources.tables import check_targets, exists, load_layer, save_table, scratch_root
+from basketry.sources.tables import check_targets, exists, load_layer, save_table, save_tables, scratch_root
 
 SILVER = ("playlists", "tracks", "playlist_tracks")
 GOLD = (
@@ -54,9 +54,12 @@ def ingest(
     check_targets(spark, output_dir, SILVER, overwrite)
     documents = save_table(read_documents(spark, input_dir, **read_options), scratch_root(spark), "documents")
     collections = collections_of(documents)
-    save_table(flatten_collections(collections), output_dir, "playlists", overwrite)
-    save_table(item_dimension(collections), output_dir, "tracks", overwrite)
-    save_table(flatten_interactions(collections), output_dir, "playlist_tracks", overwrite)
+    tables = {
+        "playlists": flatten_collections(collections),
+        "tracks": item_dimension(collections),
+        "playlist_tracks": flatten_interactions(collections),
+    }
+    save_tables(tables, output_dir, overwrite)
     return ingest_summary(documents)
 
 
@@ -79,12 +82,13 @@ def build_splits(
     labels = hash_split(collection_lengths(silver["playlists"], interactions), spec)
     splits = save_table(labels, output_dir, "playlist_splits", overwrite)
     train = train_interactions(interactions, splits, spec if complete_headers else None)
-    save_table(train, output_dir, "train_playlist_tracks", overwrite)
     ranked = holdout_rank(interactions, splits, spec, splits_from_spec=True)
     ranked = save_table(ranked, scratch_root(spark), "holdout")
+    tables = {"train_playlist_tracks": train}
     for name in EVALUATION:
-        save_table(holdout_context(ranked, name), output_dir, f"{name}_context", overwrite)
-        save_table(ranked_targets(ranked, name), output_dir, f"{name}_targets", overwrite)
+        tables[f"{name}_context"] = holdout_context(ranked, name)
+        tables[f"{name}_targets"] = ranked_targets(ranked, name)
+    save_tables(tables, output_dir, overwrite)
     return split_summary(splits)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -50,12 +51,18 @@ def save_table(frame: DataFrame, root: str, name: str, overwrite: bool = False)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def save_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = False) -> dict[str, DataFrame]:
+    """:func:`save_table` for tables that do not build on each other, as concurrent Spark jobs."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        jobs = {name: pool.submit(save_table, frame, root, name, overwrite) for name, frame in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
 def write_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = False) -> dict[str, str]:
     """Write each frame as a Parquet table below ``root``, all or, if one may not be written, none."""
     for frame in list(tables.values())[:1]:
         check_targets(frame.sparkSession, root, tables, overwrite)
-    for name, frame in tables.items():
-        save_table(frame, root, name, overwrite)
+    save_tables(tables, root, overwrite)
     return {name: table_path(root, name) for name in tables}
 
 

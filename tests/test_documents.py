@@ -129,4 +129,4 @@ def test_documents_as_a_stream(spark, tmp_path):
     query.stop()
     assert rows(spark.table("arrived"), "pid", "pos", "track_id") == [
         (1, 0, "X"), (1, 1, "X"), (1, 4, "y "), (3, 0, None), (5, 2, "N"),
-    ] or rows(spark.table("arrived"), "pid", "pos") == [(1, 0), (1, 1), (1, 4), (3, 0), (5, 2)]
+    ]
