@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.common import open_table
 from basketry.llm.exact_dedup import exact_duplicates
+from basketry.llm.html_text import extract_text
 from basketry.llm.mixing import mix
 from basketry.llm.quality import fit_quality, score_quality
 from basketry.llm.url_filter import UrlRules, filter_urls
@@ -24,6 +25,10 @@ URL_RULES = (
 )
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(open_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(open_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Query]:
     return {
         q.__name__: q
         for q in (
+            op1_html_extraction,
             op2_exact_dedup,
             op6_url_filter,
             op7_quality_classifier,
