@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry.sources.tables import save_table
@@ -35,6 +36,41 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; :meth:`trim` between texts bounds the memory."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    def trim(self, most: int = 1_000_000) -> None:
+        if len(self) > most:
+            self.clear()
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 values that spreads every bit over all."""
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(31))
+
+
+def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of ``length`` words, in order, from the hashes of the words."""
+    if len(words) < length:
+        return np.zeros(0, dtype=np.uint64)
+    found = np.zeros(len(words) - length + 1, dtype=np.uint64)
+    for at in range(length):
+        found = found * _ODD + words[at : at + len(found)]
+    return mixed(found)
+
+
 #: Bits of a set filter: 2**26 bits are 8 MB, at any data size.
 FILTER_BITS = 26
 # Bits that one value of bitmap_construct_agg holds.
@@ -55,7 +91,7 @@ def set_filter(frame: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarra
         .agg(F.bitmap_construct_agg((F.col("__slot") % BITMAP_BITS)).alias("__bits"))
     )
     table = np.zeros(max((1 << bits) // 8, BITMAP_BITS // 8), dtype=np.uint8)
-    for part, packed in parts.toLocalIterator():
+    for part, packed in parts.collect():  # at most 2**bits bits, at any data size
         start = part * (BITMAP_BITS // 8)
         table[start : start + len(packed)] = np.frombuffer(packed, dtype=np.uint8)
     return table

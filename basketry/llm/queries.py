@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.common import open_table
+from basketry.llm.decontaminate import contaminated
 from basketry.llm.exact_dedup import exact_duplicates
 from basketry.llm.html_text import extract_text
 from basketry.llm.mixing import mix
@@ -33,6 +34,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(open_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tests = open_table(spark, sf_dir, "documents"), open_table(spark, sf_dir, "benchmark")
+    return contaminated(docs, tests).drop("doc_key")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(open_table(spark, sf_dir, "pages"), UrlRules(spark, URL_RULES))
 
@@ -52,6 +58,7 @@ def queries() -> dict[str, Query]:
         for q in (
             op1_html_extraction,
             op2_exact_dedup,
+            op4_decontamination,
             op6_url_filter,
             op7_quality_classifier,
             op8_source_mixing,
