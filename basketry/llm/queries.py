@@ -11,6 +11,7 @@ from basketry.llm.decontaminate import contaminated
 from basketry.llm.exact_dedup import exact_duplicates
 from basketry.llm.html_text import extract_text
 from basketry.llm.mixing import mix
+from basketry.llm.near_dedup import near_duplicates
 from basketry.llm.quality import fit_quality, score_quality
 from basketry.llm.url_filter import UrlRules, filter_urls
 
@@ -52,6 +53,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(open_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(open_table(spark, sf_dir, "documents"), shingle=2)
+
+
 def queries() -> dict[str, Query]:
     return {
         q.__name__: q
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
             op6_url_filter,
             op7_quality_classifier,
             op8_source_mixing,
+            op10_minhash_near_dedup,
         )
     }
 
