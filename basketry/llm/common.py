@@ -103,6 +103,22 @@ def in_filter(table: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -> n
     return (table[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def maybe_in(frame: DataFrame, key: str, column: str) -> Column:
+    """Whether the bigint ``column`` of another frame may be among the keys of ``frame``; false is certain.
+
+    Only this column passes through Python. A null counts as 0.
+    """
+    shared = frame.sparkSession.sparkContext.broadcast(set_filter(frame, key))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys):
+        import pandas as pd
+
+        return pd.Series(in_filter(shared.value, keys.to_numpy(dtype=np.int64)))
+
+    return maybe(F.coalesce(F.col(column), F.lit(0)))
+
+
 def components(links: DataFrame, root: str, name: str) -> DataFrame:
     """Rows (``node``, ``component``): the smallest node that the ``links`` (``a``, ``b``: bigint) reach from it.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketry.llm.common import WordHashes, components, in_filter, mixed, set_filter, shingle_hashes, whole
+from basketry.llm.common import WordHashes, components, maybe_in, mixed, shingle_hashes, whole
 from basketry.sources.tables import save_table, scratch_root
 
 SHINGLE = 5
@@ -209,19 +209,10 @@ def _similar(length: int, threshold: float):
 
 def _confirm(pairs: DataFrame, texts: DataFrame, length: int, threshold: float, root: str, name: str) -> DataFrame:
     """``pairs`` (``a``, ``b``) that link, as a written table. ``texts``: doc_id, text of all documents."""
-    spark = pairs.sparkSession
     pairs = save_table(pairs.distinct(), root, f"{name}-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shared = spark.sparkContext.broadcast(set_filter(nodes, "node"))
-
-    @F.pandas_udf("boolean")
-    def needed(ids):
-        import pandas as pd
-
-        return pd.Series(in_filter(shared.value, ids.to_numpy(dtype=np.int64)))
-
-    # Only ids pass through Python; documents that surely have no pair are not shuffled.
-    some = texts.where(needed("doc_id")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    # Documents that surely have no pair are not shuffled.
+    some = texts.where(maybe_in(nodes, "node", "doc_id")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
     some = save_table(some, root, f"{name}-texts")
     both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")

@@ -13,6 +13,7 @@ from basketry.llm.html_text import extract_text
 from basketry.llm.mixing import mix
 from basketry.llm.near_dedup import near_duplicates
 from basketry.llm.quality import fit_quality, score_quality
+from basketry.llm.substring_dedup import remove_repeats
 from basketry.llm.url_filter import UrlRules, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, tests).drop("doc_key")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(open_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(open_table(spark, sf_dir, "pages"), UrlRules(spark, URL_RULES))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Query]:
             op1_html_extraction,
             op2_exact_dedup,
             op4_decontamination,
+            op5_suffix_array_dedup,
             op6_url_filter,
             op7_quality_classifier,
             op8_source_mixing,
