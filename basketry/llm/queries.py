@@ -13,6 +13,7 @@ from basketry.llm.html_text import extract_text
 from basketry.llm.mixing import mix
 from basketry.llm.near_dedup import near_duplicates
 from basketry.llm.quality import fit_quality, score_quality
+from basketry.llm.secrets import scan_secrets
 from basketry.llm.substring_dedup import remove_repeats
 from basketry.llm.url_filter import UrlRules, filter_urls
 
@@ -36,6 +37,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(open_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(open_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = open_table(spark, sf_dir, "documents"), open_table(spark, sf_dir, "benchmark")
     return contaminated(docs, tests).drop("doc_key")
@@ -68,6 +73,7 @@ def queries() -> dict[str, Query]:
         for q in (
             op1_html_extraction,
             op2_exact_dedup,
+            op3_secret_scan,
             op4_decontamination,
             op5_suffix_array_dedup,
             op6_url_filter,
