@@ -10,6 +10,7 @@ from basketry.llm.common import open_table
 from basketry.llm.decontaminate import contaminated
 from basketry.llm.exact_dedup import exact_duplicates
 from basketry.llm.html_text import extract_text
+from basketry.llm.licenses import scan_licenses
 from basketry.llm.mixing import mix
 from basketry.llm.near_dedup import near_duplicates
 from basketry.llm.quality import fit_quality, score_quality
@@ -63,6 +64,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(open_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(open_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(open_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
             op6_url_filter,
             op7_quality_classifier,
             op8_source_mixing,
+            op9_license_scan,
             op10_minhash_near_dedup,
         )
     }
