@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+from random import Random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from basketry.llm.common import components, in_filter, maybe_in, set_filter
+from basketry.sources.tables import scratch_root
+from tests.conftest import rows
+
+
+def test_components(spark):
+    draw = Random(2)
+    links = [(n, n + 1) for n in range(0, 60)] + [(100, 100 + n) for n in range(80)]
+    links += [(draw.randint(200, 300), draw.randint(200, 300)) for _ in range(70)] + [(-5, 7_000_000_000), (9, 9)]
+    draw.shuffle(links)
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    linked = {x for a, b in links for x in (a, b) if a != b}
+    assert rows(components(frame, scratch_root(spark), "c")) == sorted((x, find(x)) for x in linked)
+    assert components(frame.limit(0), scratch_root(spark), "c").count() == 0
+
+
+def test_filter_has_no_false_negatives(spark):
+    frame = spark.range(0, 4000, 7).select((F.xxhash64("id")).alias("k"))
+    keys = np.array([r.k for r in frame.collect()], dtype=np.int64)
+    for bits in (10, 16, 26):
+        table = set_filter(frame, "k", bits)
+        assert len(table) == max(1 << (bits - 3), 4096) and in_filter(table, keys, bits).all()
+    others = spark.range(5000).select(F.xxhash64("id").alias("k"), "id")
+    passed = others.where(maybe_in(frame, "k", "k"))
+    assert passed.where("id % 7 = 0 and id < 4000").count() == len(keys) and passed.count() < len(keys) + 20
+    assert frame.limit(0).count() == 0 and not in_filter(set_filter(frame.limit(0), "k"), keys).any()
