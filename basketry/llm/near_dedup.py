@@ -4,9 +4,10 @@ A forest is several orders of the signatures. In each order, documents that shar
 region. A region of two is a candidate pair. In a larger one the prefix is too short to tell, so its documents are
 sorted by the values that follow, and neighbours with the longest common prefixes are compared first: each block of
 the order yields the most similar pairs that connect it (a maximum spanning forest), never all pairs. When those are
-confirmed and connected, only documents of one region that are still apart are left: these are compared in blocks,
-the few outside a region's main component against the others. So no pair that shares a region is lost, and a group of
-n copies costs in the order of n comparisons.
+confirmed and connected, only components that meet in a region and are still apart are left. Those that look alike
+make a family, in which the documents outside the main component are compared with all others, on whole sets, block
+by block. So no pair that shares a region is lost, a group of n copies costs in the order of n comparisons, and no
+list of pairs grows with the square of a group.
 
 Signatures decide only what is compared; a pair whose 128 signature bytes agree in less than ``SURELY_LESS`` is not
 (five standard deviations below the threshold). Two sets with the similarity 0.8 share no region of 40 orders in one
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from basketry.llm.common import WordHashes, components, maybe_in, mixed, shingle_hashes, whole
 from basketry.sources.tables import save_table, scratch_root
@@ -100,6 +101,8 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, np
             if name == "signature":
                 flat = np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint8)
                 columns[name] = flat.reshape(-1, SIGNATURE)
+            elif name == "text":
+                columns[name] = np.array(batch.column(name).to_pylist(), dtype=object)
             else:
                 columns[name] = batch.column(name).to_numpy(zero_copy_only=False)
         if rest:
@@ -136,45 +139,94 @@ def _forest(ratio: float, surely_less: float):
                 for i in range(len(ids) - 1):
                     share = _alike(bytes_, sizes, i, slice(i + 1, None), ratio)
                     found += [(-share[j], i, i + 1 + j) for j in np.flatnonzero(share >= surely_less)]
-                root = list(range(len(ids)))
-
-                def top(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
-                a, b = [], []
+                found_roots, pairs = _Roots(), []
                 for _, i, j in sorted(found):
-                    x, y = top(i), top(j)
-                    if x != y:
-                        root[x] = y
-                        a.append(max(ids[i], ids[j]))
-                        b.append(min(ids[i], ids[j]))
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if found_roots.join(i, j):
+                        pairs.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+                if pairs:
+                    yield _pairs(pairs)
 
     return rows
 
 
 def _apart(ratio: float, surely_less: float):
-    """Of each cell of a region: the pairs of different components, one of them outside the main one."""
+    """Of each cell of a region: pairs of components with documents that look alike, as few as connect them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _cells(batches):
-            node, n, signature, component = group["node"], group["n"], group["signature"], group["component"]
-            a, b = [], []
+            component, found = group["component"], _Roots()
+            pairs = []
             for i in np.flatnonzero(group["outside"]):
                 others = np.flatnonzero(component != component[i])
-                share = _alike(signature, n, i, others, ratio)
-                for j in others[share >= surely_less]:
-                    a.append(max(node[i], node[j]))
-                    b.append(min(node[i], node[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                share = _alike(group["signature"], group["n"], i, others, ratio)
+                for other in np.unique(component[others[share >= surely_less]]).tolist():
+                    if found.join(int(component[i]), other):
+                        pairs.append((max(int(component[i]), other), min(int(component[i]), other)))
+            if pairs:
+                yield _pairs(pairs)
+
+    return rows
+
+
+def _linked(length: int, threshold: float, surely_less: float):
+    """Of each cell of a family: links between components, confirmed on the whole sets, as few as connect them."""
+    top, bottom = round(threshold * 10_000), 10_000
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _ByteHashes()
+        for group in _cells(batches):
+            component, node, found = group["component"], group["node"], _Roots()
+            sets: dict[int, np.ndarray] = {}
+
+            def shingles(row: int) -> np.ndarray:
+                if row not in sets:
+                    sets[row] = shingle_set(_words(group["text"][row]), length, hashes)
+                    hashes.trim()
+                return sets[row]
+
+            pairs = []
+            for i in np.flatnonzero(group["outside"]).tolist():
+                others = np.flatnonzero(component != component[i])
+                share = _alike(group["signature"], group["n"], i, others, threshold)
+                for at in np.argsort(-share, kind="stable"):
+                    j = int(others[at])
+                    if share[at] < surely_less:
+                        break
+                    if found.joined(int(component[i]), int(component[j])):
+                        continue
+                    one, two = shingles(i), shingles(j)
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    if common and bottom * common >= top * (len(one) + len(two) - common):
+                        found.join(int(component[i]), int(component[j]))
+                        pairs.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+            if pairs:
+                yield _pairs(pairs)
 
     return rows
 
 
+class _Roots(dict):
+    """Which keys are connected."""
+
+    def find(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = x = self.setdefault(up, up)
+        return x
+
+    def joined(self, x: int, y: int) -> bool:
+        return self.find(x) == self.find(y)
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[x] = y
+        return x != y
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Whole cells, which hold about two blocks each."""
     pieces: list[dict[str, np.ndarray]] = []
@@ -267,10 +319,15 @@ def near_duplicates(
     found = components(links, root, "first-components")
 
     placed = crowds.drop("after").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = save_table(placed, root, "placed")
-    second = _pairs_apart(placed, threshold)
-    tried = docs.sparkSession.read.parquet(f"{root}/first-pairs.parquet")
-    more = _confirm(second.join(tried, ["a", "b"], "left_anti"), texts, shingle, threshold, root, "second")
+    alike = _in_cells(placed, ["prefix"]).mapInArrow(_apart(threshold, SURELY_LESS), "a bigint, b bigint")
+    families = components(alike.select("a", "b"), root, "families")
+    families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    kin = nodes.select("node", "n", "signature").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kin = save_table(kin.join(families, "component"), root, "kin")
+    near = texts.where(maybe_in(kin, "node", "doc_id")).join(kin, F.col("doc_id") == F.col("node")).drop("doc_id")
+    cells = _in_cells(save_table(near, root, "kin-texts"), ["family"], "text")
+    more = cells.mapInArrow(_linked(shingle, threshold, SURELY_LESS), "a bigint, b bigint")
+    more = save_table(more, root, "second-links")
     found = components(links.union(more), root, "components")
 
     named = nodes.select("set_key", "node").join(found, "node", "left")
@@ -296,39 +353,33 @@ def _pair_filter(surely_less: float):
     return rows
 
 
-def _pairs_apart(placed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a region, of signatures alike enough; in cells of two blocks.
+def _in_cells(placed: DataFrame, group: list[str], *more: str) -> DataFrame:
+    """The documents of each group (``node``, ``component`` and others) dealt over cells of about two blocks.
 
-    The documents of a region outside its largest component meet all others, the largest component never itself.
+    A cell (i, j) holds block i of the documents outside the group's largest component, marked ``outside``, and
+    block j of all documents of the group. Groups of one component are left out.
     """
-    sizes = placed.groupBy("prefix", "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed_regions = sizes.groupBy("prefix").agg(
+    sizes = placed.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("rows"))
+    apart = sizes.groupBy(*group).agg(
         F.count(F.lit(1)).alias("kinds"), F.sum("rows").alias("all"), F.max("rows").alias("most"),
         F.max_by("component", F.struct("rows", "component")).alias("main"),
     )
-    blocks: Column = F.ceil((F.col("all") - F.col("most")) / BLOCK)
     rows = (
-        placed.join(mixed_regions.where(F.col("kinds") > 1), "prefix")
+        placed.join(apart.where(F.col("kinds") > 1), group)
         .withColumn("outside", F.col("component") != F.col("main"))
-        .withColumn("few", blocks)
+        .withColumn("few", F.ceil((F.col("all") - F.col("most")) / BLOCK))
         .withColumn("many", F.ceil(F.col("all") / BLOCK))
     )
-    spot = F.xxhash64("node")
-    zero = F.lit(0).cast("bigint")
-    # A cell (i, j): the outsiders of block i, against the documents of block j of the whole region.
+    spot, zero = F.xxhash64("node"), F.lit(0).cast("bigint")
+    columns = ["node", "n", "signature", "component", *more]
     as_one = rows.where("outside").select(
-        "prefix", F.pmod(spot, "few").alias("i"), F.explode(F.sequence(zero, F.col("many") - 1)).alias("j"), "node", "n", "signature", "component", "outside"
+        *group, F.pmod(spot, "few").alias("i"), F.explode(F.sequence(zero, F.col("many") - 1)).alias("j"), *columns, "outside"
     )
     as_other = rows.select(
-        "prefix", F.explode(F.sequence(zero, F.col("few") - 1)).alias("i"), F.pmod(spot, "many").alias("j"), "node", "n", "signature", "component", F.lit(False).alias("outside")
-    )
-    cells = as_one.union(as_other).select(F.xxhash64("prefix", "i", "j").alias("cell"), "node", "n", "signature", "component", "outside")
-    return (
-        cells.repartition(F.col("cell"))
-        .sortWithinPartitions("cell")
-        .mapInArrow(_apart(threshold, SURELY_LESS), "a bigint, b bigint")
-        .where(F.col("a") != F.col("b"))
+        *group, F.explode(F.sequence(zero, F.col("few") - 1)).alias("i"), F.pmod(spot, "many").alias("j"), *columns, F.lit(False).alias("outside")
     )
+    cells = as_one.union(as_other).select(F.xxhash64(*group, "i", "j").alias("cell"), *columns, "outside")
+    return cells.repartition(F.col("cell")).sortWithinPartitions("cell")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
