@@ -96,6 +96,50 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        # Every window of 50 bytes, as hexadecimal text, and the smallest document it starts in.
+        "op5_suffix_array_dedup": """
+            WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            windows AS MATERIALIZED (
+                SELECT doc_id, pos, hash(substr(h, 2 * pos + 1, 100)) AS piece
+                FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS pos FROM bytes)),
+            hits AS (
+                SELECT doc_id, pos FROM windows JOIN (SELECT piece, min(doc_id) AS first FROM windows GROUP BY piece)
+                USING (piece) WHERE first < doc_id),
+            marked AS (
+                SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50, false) AS follows FROM hits),
+            numbered AS (
+                SELECT doc_id, pos, count(*) FILTER (WHERE NOT follows) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked),
+            spans AS (SELECT doc_id, min(pos) AS low, max(pos) + 50 AS high FROM numbered GROUP BY doc_id, span),
+            gaps AS (
+                SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM spans
+                UNION ALL SELECT doc_id, max(high), max(length(h)) FROM spans JOIN bytes USING (doc_id) GROUP BY doc_id),
+            kept AS (
+                SELECT doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS h
+                FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+            counts AS (SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+            SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
+            FROM bytes b LEFT JOIN counts c ON b.doc_id = c.doc_id LEFT JOIN kept k ON b.doc_id = k.doc_id""",
+        # Every pair of documents that share a shingle, compared on the whole sets.
+        "op10_minhash_near_dedup": r"""
+            WITH RECURSIVE words AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            shingles AS MATERIALIZED (
+                SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[pos] || ' ' || w[pos + 1] END AS shingle
+                FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), least(len(w), 1) + 1))) AS pos FROM words)),
+            sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+            common AS (
+                SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b
+                ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+            links AS MATERIALIZED (
+                SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+                WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+            reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+            least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+            SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id,
+                   d.doc_id <= coalesce(b, d.doc_id) AS kept
+            FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least ON a = d.doc_id""",
         "op6_url_filter": r"""
             WITH parts AS (
                 SELECT page_id,
