@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import isclose
 
 
 def validate_ratios(train: float, validation: float, test: float) -> None:
-    total = train + validation + test
-    if abs(total - 1.0) > 1e-9:
-        raise ValueError(f"train, validation and test ratios must sum to 1, got {total}")
+    """Each is a share of the whole, together they are the whole."""
+    shares = {"train": train, "validation": validation, "test": test}
+    outside = [f"{name}={share}" for name, share in shares.items() if not 0 <= share <= 1]
+    if outside:
+        raise ValueError(f"not between 0 and 1: {', '.join(outside)}")
+    if not isclose(sum(shares.values()), 1.0, rel_tol=0, abs_tol=1e-9):
+        raise ValueError(f"the shares of {', '.join(shares)} do not make up 1: {shares}")
 
 
 def validate_ks(ks: Iterable[int | str] | str) -> list[int]:

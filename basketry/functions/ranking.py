@@ -9,34 +9,38 @@ decides the cuts: every row is ranked, and any cuts give the same ranks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PIECES = 1024
 GIANT_ROWS = 1_000_000
-MAX_GIANTS = 10_000
+#: Pieces for each ``giant_rows`` rows of giant groups.
+PIECES_PER_GIANT = 4
 
 
 def heaviest(sizes: DataFrame, size: str, keys: Sequence[str], min_rows: int = GIANT_ROWS) -> DataFrame:
-    """Keys of the groups of ``min_rows`` rows or more, at most the ``MAX_GIANTS`` largest.
+    """Keys of the groups of ``min_rows`` rows or more: at most one key for every ``min_rows`` rows of the data.
 
-    A group left out is no larger than any of the ``MAX_GIANTS`` kept, so it holds at most one row in
-    ``MAX_GIANTS``: small enough for one task. The result can be broadcast at any data size.
+    With a million rows to a giant, 10^12 rows have at most a million giants, some ten MB: enough to broadcast.
     """
-    return (
-        sizes.where(F.col(size) >= min_rows)
-        .orderBy(F.desc(size), *keys)
-        .limit(MAX_GIANTS)
-        .select(*keys)
-    )
+    return sizes.where(F.col(size) >= min_rows).select(*keys)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, is_heavy: Column) -> DataFrame:
+    """``rows`` left-joined with ``table``, whose few heavy keys are broadcast and whose other keys are shuffled.
+
+    ``is_heavy`` holds for keys of ``table`` that have very many ``rows``, so no hot key is left for the shuffle.
+    """
+    heavy = table.where(is_heavy).withColumn("__heavy", F.lit(True))
+    near = rows.join(F.broadcast(heavy), key, "left")
+    far = near.where(F.col("__heavy").isNull()).select(*rows.columns).join(table.where(~is_heavy), key, "left")
+    return near.where(F.col("__heavy")).drop("__heavy").unionByName(far)
 
 
-def _piece(pieces: int) -> Column:
+def _piece() -> Column:
     """How many of the sorted ``__cuts`` are at or below ``__key``, by binary search."""
     return F.expr(
-        f"""aggregate(
-            sequence(1, {ceil(log2(pieces))}),
+        """aggregate(
+            sequence(1, cast(ceil(log2(size(__cuts) + 2)) AS int)),
             named_struct('low', 0, 'high', size(__cuts)),
             (span, step) -> CASE
                 WHEN span.low >= span.high THEN span
@@ -75,19 +79,21 @@ def group_rank(
     order: Sequence[Column],
     into: str,
     is_giant: Column,
-    pieces: int = PIECES,
+    giant_rows: int = GIANT_ROWS,
 ) -> DataFrame:
     """1-based position inside each group of ``keys`` in the ascending, total ``order``, as a bigint.
 
-    Groups whose rows satisfy ``is_giant`` are ranked in pieces, the others whole.
+    Groups whose rows satisfy ``is_giant`` are ranked in pieces, the others whole. The cuts are those keys whose
+    hash picks them, ``PIECES_PER_GIANT`` in ``giant_rows`` rows, so there are as many as the data needs.
     """
     key = F.struct(*[F.col(k) for k in keys], *[o.alias(f"o{i}") for i, o in enumerate(order)])
     giants = df.where(is_giant)
-    sample = giants.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(pieces - 1)
-    cuts = sample.agg(F.sort_array(F.collect_list("key"))).scalar()
+    one_in = max(1, giant_rows // PIECES_PER_GIANT)
+    sample = giants.select(key.alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0)
+    cuts = sample.agg(F.sort_array(F.collect_set("key"))).scalar()
 
     def pieced(rows: DataFrame) -> DataFrame:
-        piece = F.when(is_giant, _piece(pieces)).otherwise(-1)
+        piece = F.when(is_giant, _piece()).otherwise(-1)
         return (
             rows.withColumns({"__cuts": cuts, "__key": key}).withColumn("__piece", piece).drop("__cuts", "__key")
         )

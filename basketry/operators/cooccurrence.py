@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, with_popularity
+from basketry.functions.ranking import GIANT_ROWS, lookup
+from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, by_rank, with_popularity
 
 # Largest number of items of one collection that meet those of another block of it in one join key.
 BLOCK_ITEMS = 1024
@@ -28,7 +29,7 @@ def cooccurrence_pairs(
     """``context_track_id, candidate_track_id, pair_support, candidate_popularity`` of ordered item pairs.
 
     Support is the number of (context, candidate) occurrence pairs over all collections. ``popularity`` has to
-    cover the items of ``train``.
+    cover the items of ``train``; an item without a rank is an error, not a pair that is silently missing.
 
     * Repeats inside a collection are counted once and weigh in by multiplication.
     * Items travel as their popularity rank, two numbers per pair whatever the type of the ids.
@@ -42,10 +43,11 @@ def cooccurrence_pairs(
         .groupBy("pid", "track_id")
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
+    uncovered = F.raise_error(F.concat(F.lit("popularity has no row for the item "), F.col("track_id").cast("string")))
     items = (
         with_popularity(counted, popularity, head_items)
-        .where(F.col("popularity_rank").isNotNull() & F.col("pid").isNotNull())
-        .select("pid", "popularity_rank", "train_frequency", "occurrences")
+        .where(F.col("pid").isNotNull())
+        .select("pid", F.coalesce("popularity_rank", uncovered.cast("bigint")).alias("popularity_rank"), "train_frequency", "occurrences")
     )
     # Reading "occurrences" keeps this the same shuffle as the one above, which Spark then runs once.
     distinct_items = F.count_if(F.col("occurrences") > 0)
@@ -55,7 +57,7 @@ def cooccurrence_pairs(
         .where(F.col("blocks") > 1)
     )
     placed = (
-        items.join(large, "pid", "left")
+        lookup(items, large, "pid", F.col("blocks") * block_items >= GIANT_ROWS)
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("popularity_rank"), F.col("blocks")).cast("int"))
     )
@@ -93,15 +95,15 @@ def cooccurrence_pairs(
         ),
         "pair_support",
     )
+    # Low ranks have most partners; they are the broadcast head of either lookup.
     candidates = popularity.where(F.col("train_frequency") >= min_candidate_popularity).select(
-        F.col("popularity_rank").alias("candidate_rank"),
+        "popularity_rank",
         F.col("track_id").alias("candidate_track_id"),
         F.col("train_frequency").alias("candidate_popularity"),
     )
-    contexts = popularity.select(
-        F.col("popularity_rank").alias("context_rank"), F.col("track_id").alias("context_track_id")
-    )
-    return directed.join(candidates, "candidate_rank").join(contexts, "context_rank").select("context_track_id", "candidate_track_id", "pair_support", "candidate_popularity")
+    contexts = popularity.select("popularity_rank", F.col("track_id").alias("context_track_id"))
+    named = by_rank(by_rank(directed, "candidate_rank", candidates, head_items), "context_rank", contexts, head_items)
+    return named.select("context_track_id", "candidate_track_id", "pair_support", "candidate_popularity")
 
 
 def _block_counts(rows: DataFrame, key: str, block_rows: int, into: str) -> DataFrame:
@@ -110,6 +112,10 @@ def _block_counts(rows: DataFrame, key: str, block_rows: int, into: str) -> Data
     return rows.groupBy(key).agg(blocks.alias(into)).where(F.col(into) > 1)
 
 
+def _most(*blocks: str) -> Column:
+    return F.greatest(*(F.coalesce(b, F.lit(1)) for b in blocks))
+
+
 def recommend_cooccurrence(
     context: DataFrame, pairs: DataFrame, max_k: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -128,7 +134,8 @@ def recommend_cooccurrence(
     )
 
     def placed(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
-        counted = rows.join(blocks, "track_id", "left").withColumns(
+        heavy = _most("context_blocks", "pair_blocks") * block_rows >= GIANT_ROWS
+        counted = lookup(rows, blocks, "track_id", heavy).withColumns(
             {name: F.coalesce(f"{name}_blocks", F.lit(1)) for name in ("context", "pair")}
         )
         return counted.select(

@@ -35,18 +35,23 @@ def flatten_collections(collections: DataFrame) -> DataFrame:
     )
 
 
+def is_interaction(pid: Column, item: Column) -> Column:
+    """An occurrence with a pid, a position and an item URI; never null."""
+    return pid.isNotNull() & item["pos"].isNotNull() & clean_text(item["track_uri"]).isNotNull()
+
+
 def flatten_interactions(collections: DataFrame) -> DataFrame:
     """One row per item occurrence. Occurrences without a pid, position or item URI are left out."""
     return (
         collections.where(F.col("playlist.pid").isNotNull())
         .select("playlist.pid", F.explode("playlist.tracks").alias("item"))
+        .where(is_interaction(F.col("pid"), F.col("item")))
         .select(
             "pid",
-            F.col("item.pos").try_cast("int").alias("pos"),
+            F.col("item.pos").cast("bigint").alias("pos"),
             *_references("item", names=False),
             F.col("item.duration_ms"),
         )
-        .where(F.col("track_uri").isNotNull() & F.col("pos").isNotNull())
     )
 
 

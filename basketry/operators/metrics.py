@@ -70,14 +70,9 @@ def ranking_metrics(
     A collection without a hit adds zero to each sum, so only the hits are aggregated and the number of
     collections divides the sums at the end. A recommender without any row still scores 0.
     """
-    hits = (
-        recommendations.select("baseline_name", "pid", "rank", "track_id")
-        .join(relevant_items(targets), ["pid", "track_id"])
-        .select("baseline_name", "pid", "rank", F.explode(_k_list(ks)).alias("k"))
-        .where(F.col("rank") <= F.col("k"))
-        .groupBy("baseline_name", "pid", "k")
-        .agg(F.count(F.lit(1)).alias("hit_count"), F.sum(_gain(F.col("rank"))).alias("dcg"))
-    )
+    # Recommendations that hit: for those without, hits_and_dcg would give zeros.
+    hitting = recommendations.join(relevant_items(targets), ["pid", "track_id"], "left_semi")
+    hits = hits_and_dcg(hitting, targets, ks)
     counts = target_counts(targets)
     sums = (
         hits.join(counts, "pid")

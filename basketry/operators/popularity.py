@@ -37,6 +37,7 @@ def item_popularity(train: DataFrame, giant_rows: int = GIANT_ROWS) -> DataFrame
         [F.col("track_id")],
         "place",
         is_giant=F.col("sharing") >= giant_rows,
+        giant_rows=giant_rows,
     )
     return placed.select("track_id", "train_frequency", (F.col("above") + F.col("place")).alias("popularity_rank"))
 

@@ -98,13 +98,10 @@ def holdout_budget(splits: DataFrame, spec: SplitSpec) -> DataFrame:
     )
 
 
-def _evaluation_rows(
-    interactions: DataFrame, budget: DataFrame, spec: SplitSpec, names: Sequence[str], splits_from_spec: bool
-) -> DataFrame:
+def _evaluation_rows(interactions: DataFrame, spec: SplitSpec, names: Sequence[str], splits_from_spec: bool) -> DataFrame:
+    """Interactions that may be of a collection of the splits ``names``."""
     rows = interactions.select(*INTERACTION)
-    if splits_from_spec:
-        rows = rows.where(spec.hash_label().isin(*names))
-    return rows.join(budget, "pid").withColumn("mask_score", spec.mask_score())
+    return rows.where(spec.hash_label().isin(*names)) if splits_from_spec else rows
 
 
 # A total order: rows that tie on all of it are copies of one another.
@@ -125,23 +122,32 @@ def holdout_rank(
     drops the rows of all other collections before the join, so that only evaluation rows are shuffled.
 
     A collection of ``giant_rows`` items or more is ranked in pieces. The score is uniform, so equal ranges of it
-    hold about equally many rows, and nothing has to be sampled to find them.
+    hold about equally many rows, and nothing has to be sampled to find them. Its rows know their piece before they
+    meet the budget, which has a row for each piece: they are spread over tasks however the two are joined.
     """
     budget = holdout_budget(splits.where(F.col("split").isin(*names)), spec)
-    giants = heaviest(budget, "playlist_length", ["pid"], giant_rows)
-    pieces = F.when(F.col("is_giant"), F.ceil(F.col("playlist_length") / F.lit(giant_rows)) + 1).otherwise(1)
-    budget = budget.join(F.broadcast(giants.withColumn("is_giant", F.lit(True))), "pid", "left").withColumn(
-        "pieces", pieces
+    giants = heaviest(budget, "playlist_length", ["pid", "split", "playlist_length"], giant_rows).select(
+        "pid", "split", (F.ceil(F.col("playlist_length") / F.lit(giant_rows)) + 1).alias("pieces")
     )
 
-    def pieced(collections: DataFrame) -> DataFrame:
-        rows = _evaluation_rows(interactions, collections, spec, names, splits_from_spec)
-        return rows.withColumn("__piece", F.floor(F.col("mask_score") * F.col("pieces") / F.lit(MODULUS)))
+    def pieced(how: str) -> DataFrame:
+        rows = _evaluation_rows(interactions, spec, names, splits_from_spec).join(F.broadcast(giants), "pid", how)
+        piece = F.floor(spec.mask_score() * F.col("pieces") / F.lit(MODULUS))
+        return rows.withColumn("__piece", F.coalesce(piece, F.lit(0))).withColumnRenamed("split", "__giant_split")
 
-    # Without a giant this side is known to be empty before it reads anything.
-    in_pieces = pieced(F.broadcast(budget.where(F.col("is_giant"))))
+    budgets = budget.join(F.broadcast(giants), ["pid", "split"], "left").withColumn(
+        "__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)) - 1))
+    )
+    # A collection that stands in two splits has rows of either; each meets the budget of its own.
+    rows = (
+        pieced("left")
+        .drop("pieces")
+        .join(budgets.select("pid", "__piece", "split", "hidden_count"), ["pid", "__piece"])
+        .where(F.col("__giant_split").isNull() | (F.col("__giant_split") == F.col("split")))
+        .withColumn("mask_score", spec.mask_score())
+    )
     order = [F.col(c) for c in MASK_ORDER]
-    return add_pieces(pieced(budget), in_pieces, ["pid"], order, "mask_rank").select(
+    return add_pieces(rows, pieced("inner"), ["pid"], order, "mask_rank").select(
         *INTERACTION, "split", "hidden_count", "mask_score", "mask_rank"
     )
 
@@ -154,24 +160,26 @@ def holdout_context(ranked: DataFrame, name: str) -> DataFrame:
 def holdout_targets(
     interactions: DataFrame, splits: DataFrame, spec: SplitSpec, name: str, splits_from_spec: bool = False
 ) -> DataFrame:
-    """The hidden part of the collections of one split.
+    """The hidden part of the collections of one split, without ranking the rest.
 
-    Only the first ``max_hidden`` ranks matter. Spark applies that literal bound before the shuffle, so a
-    collection of any size reaches its task as a few rows per partition.
+    Only the first ``max_hidden`` ranks matter, and the split is given, so rows are scored and cut before they meet
+    the budget. Spark applies the literal bound before the shuffle: a collection of any size reaches its task as a
+    few rows per partition.
     """
-    budget = holdout_budget(splits.where(F.col("split") == name), spec)
-    rows = _evaluation_rows(interactions, budget, spec, [name], splits_from_spec)
+    budget = holdout_budget(splits.where(F.col("split") == name), spec).select("pid", "hidden_count")
+    rows = _evaluation_rows(interactions, spec, [name], splits_from_spec).where(F.col("pid").isNotNull())
     order = Window.partitionBy("pid").orderBy(*MASK_ORDER)
-    return (
-        rows.withColumn("mask_rank", F.row_number().over(order))
+    first = (
+        rows.withColumn("split", F.lit(name))
+        .withColumn("mask_score", spec.mask_score())
+        .withColumn("mask_rank", F.row_number().over(order))
         .where(F.col("mask_rank") <= spec.max_hidden)
-        .where(F.col("mask_rank") <= F.col("hidden_count"))
-        .select(*INTERACTION)
     )
+    return hidden_part(first.join(budget, "pid"), name)
 
 
-def ranked_targets(ranked: DataFrame, name: str) -> DataFrame:
-    """The hidden part again, where :func:`holdout_rank` has been computed anyway."""
+def hidden_part(ranked: DataFrame, name: str) -> DataFrame:
+    """The hidden rows of one split among ranked ones that carry their collection's ``hidden_count``."""
     return ranked.where((F.col("split") == name) & (F.col("mask_rank") <= F.col("hidden_count"))).select(*INTERACTION)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketry.operators.flatten import flatten_interactions
+from basketry.operators.flatten import is_interaction
 from basketry.operators.splits import EVALUATION
-from basketry.sources.documents import collections_of
 
 
 def ingest_summary(documents: DataFrame) -> DataFrame:
@@ -14,26 +15,30 @@ def ingest_summary(documents: DataFrame) -> DataFrame:
 
     ``dropped_interactions`` are occurrences without a pid, a usable position or a URI.
     """
+
+    def total(condition: Callable[[Column, Column], Column]) -> Column:
+        """Occurrences of a document for which ``condition`` of collection and item holds."""
+
+        def add(sum_: Column, c: Column) -> Column:
+            return sum_ + F.size(F.filter(c["tracks"], lambda item: condition(c, item)))
+
+        with_items = F.filter("playlists", lambda c: c["tracks"].isNotNull())
+        return F.coalesce(F.aggregate(with_items, F.lit(0).cast("bigint"), add), F.lit(0))
+
     per_document = documents.select(
         "source_file",
         F.col("unreadable").cast("int").alias("corrupt"),
         F.coalesce(F.size(F.filter("playlists", lambda c: c.isNotNull())), F.lit(0)).alias("collections"),
-        F.coalesce(
-            F.aggregate(
-                F.filter("playlists", lambda c: c["tracks"].isNotNull()),
-                F.lit(0).cast("bigint"),
-                lambda total, c: total + F.size(c["tracks"]),
-            ),
-            F.lit(0),
-        ).alias("occurrences"),
+        total(lambda c, item: F.lit(True)).alias("occurrences"),
+        total(lambda c, item: ~is_interaction(c["pid"], item)).alias("dropped"),
     )
-    kept = flatten_interactions(collections_of(documents)).agg(F.count(F.lit(1)))
     return per_document.agg(
         F.count_distinct("source_file").alias("input_file_count"),
         F.coalesce(F.sum("corrupt"), F.lit(0)).alias("corrupt_files"),
         F.coalesce(F.sum("collections"), F.lit(0)).alias("playlists_read"),
         F.coalesce(F.sum("occurrences"), F.lit(0)).alias("items_read"),
-    ).withColumn("dropped_interactions", F.col("items_read") - kept.scalar())
+        F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped_interactions"),
+    )
 
 
 def split_summary(splits: DataFrame) -> DataFrame:

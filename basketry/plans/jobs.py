@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.functions.checks import validate_ks
 from basketry.operators.cooccurrence import cooccurrence_pairs, recommend_cooccurrence, recommendations_union
@@ -21,14 +21,14 @@ from basketry.operators.splits import (
     SplitSpec,
     collection_lengths,
     hash_split,
+    hidden_part,
     holdout_context,
     holdout_rank,
-    ranked_targets,
     train_interactions,
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 from basketry.sources.documents import collections_of, read_documents
-from basketry.sources.tables import check_targets, exists, load_layer, save_table, save_tables, scratch_root
+from basketry.sources.tables import check_targets, exists, held, load_layer, save_table, save_tables, scratch, table_path
 
 SILVER = ("playlists", "tracks", "playlist_tracks")
 GOLD = (
@@ -44,23 +44,35 @@ METRICS_FILE = "validation_metrics.json"
 
 
 def ingest(
-    spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False, **read_options: str
+    spark: SparkSession,
+    input_dir: str,
+    output_dir: str,
+    overwrite: bool = False,
+    scratch_dir: str | None = None,
+    **read_options: str,
 ) -> DataFrame:
     """Flatten all documents below ``input_dir`` into three tables; returns a one-row summary.
 
     The JSON text is parsed once. The tables are then cut from a columnar copy, each reading only the nested
-    fields it needs.
+    fields it needs. The copy lies in ``scratch_dir``, or below ``spark.checkpoint.dir``, and is removed at the end.
     """
     check_targets(spark, output_dir, SILVER, overwrite)
-    documents = save_table(read_documents(spark, input_dir, **read_options), scratch_root(spark), "documents")
-    collections = collections_of(documents)
-    tables = {
-        "playlists": flatten_collections(collections),
-        "tracks": item_dimension(collections),
-        "playlist_tracks": flatten_interactions(collections),
-    }
-    save_tables(tables, output_dir, overwrite)
-    return ingest_summary(documents)
+    with scratch(spark, scratch_dir) as root:
+        documents = save_table(read_documents(spark, input_dir, **read_options), root, "documents")
+        collections = collections_of(documents)
+        tables = {
+            "playlists": flatten_collections(collections),
+            "tracks": item_dimension(collections),
+            "playlist_tracks": flatten_interactions(collections),
+        }
+        save_tables(tables, output_dir, overwrite)
+        return held(_with_paths(ingest_summary(documents), input_dir, output_dir, SILVER))
+
+
+def _with_paths(summary: DataFrame, input_dir: str, output_dir: str, names: Iterable[str]) -> DataFrame:
+    """The summary with the folders of the job and the path of each table it wrote."""
+    paths = {f"{name}_path": F.lit(table_path(output_dir, name)) for name in names}
+    return summary.withColumns({"input_path": F.lit(input_dir), "output_path": F.lit(output_dir), **paths})
 
 
 def build_splits(
@@ -70,6 +82,7 @@ def build_splits(
     spec: SplitSpec = SplitSpec(),
     overwrite: bool = False,
     complete_headers: bool = False,
+    scratch_dir: str | None = None,
 ) -> DataFrame:
     """Label the collections and write train, context and target tables; returns a one-row summary.
 
@@ -83,13 +96,14 @@ def build_splits(
     splits = save_table(labels, output_dir, "playlist_splits", overwrite)
     train = train_interactions(interactions, splits, spec if complete_headers else None)
     ranked = holdout_rank(interactions, splits, spec, splits_from_spec=True)
-    ranked = save_table(ranked, scratch_root(spark), "holdout")
-    tables = {"train_playlist_tracks": train}
-    for name in EVALUATION:
-        tables[f"{name}_context"] = holdout_context(ranked, name)
-        tables[f"{name}_targets"] = ranked_targets(ranked, name)
-    save_tables(tables, output_dir, overwrite)
-    return split_summary(splits)
+    with scratch(spark, scratch_dir) as root:
+        ranked = save_table(ranked, root, "holdout")
+        tables = {"train_playlist_tracks": train}
+        for name in EVALUATION:
+            tables[f"{name}_context"] = holdout_context(ranked, name)
+            tables[f"{name}_targets"] = hidden_part(ranked, name)
+        save_tables(tables, output_dir, overwrite)
+    return _with_paths(split_summary(splits), input_dir, output_dir, GOLD)
 
 
 def run_baselines(
@@ -105,6 +119,7 @@ def run_baselines(
     min_pair_support: int = 3,
     min_candidate_popularity: int = 5,
     overwrite: bool = False,
+    scratch_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Both recommenders on the validation split, scored; returns the metrics and a one-row summary."""
     cutoffs = validate_ks(ks)
@@ -113,21 +128,29 @@ def run_baselines(
     if not overwrite and exists(spark, output_dir) and exists(spark, metrics_path):
         raise FileExistsError(f"already written: {metrics_path}")
     gold = load_layer(spark, input_dir, ("train_playlist_tracks", "validation_context", "validation_targets"))
-    scratch = scratch_root(spark)
-
     sizes = (None, None) if full_data else (train_sample_size, validation_sample_size)
-    run = dict(zip(("train", "context", "targets"), restrict_run_tables(*gold.values(), *sizes, seed, hash_fn)))
-    if not full_data:
-        run = {name: save_table(rows, scratch, name) for name, rows in run.items()}
-    train, context, targets = run.values()
-
-    popularity = save_table(item_popularity(train), output_dir, "track_popularity", overwrite)
-    counts = cooccurrence_pairs(train, popularity, min_pair_support, min_candidate_popularity)
-    pairs = save_table(counts, output_dir, "cooccurrence_pairs", overwrite)
-    both = recommendations_union(
-        recommend_popular(context, popularity, max(cutoffs)), recommend_cooccurrence(context, pairs, max(cutoffs))
-    )
-    recommendations = save_table(both, output_dir, "validation_recommendations", overwrite)
-    metrics = save_table(ranking_metrics(recommendations, targets, cutoffs), scratch, "metrics")
-    metrics_report(metrics).write.mode("overwrite" if overwrite else "errorifexists").json(metrics_path)
-    return metrics, run_summary(train, context, full_data)
+    with scratch(spark, scratch_dir) as root:
+        run = dict(zip(("train", "context", "targets"), restrict_run_tables(*gold.values(), *sizes, seed, hash_fn)))
+        if not full_data:
+            run = {name: save_table(rows, root, name) for name, rows in run.items()}
+        train, context, targets = run.values()
+
+        popularity = save_table(item_popularity(train), output_dir, "track_popularity", overwrite)
+        counts = cooccurrence_pairs(train, popularity, min_pair_support, min_candidate_popularity)
+        pairs = save_table(counts, output_dir, "cooccurrence_pairs", overwrite)
+        both = recommendations_union(
+            recommend_popular(context, popularity, max(cutoffs)), recommend_cooccurrence(context, pairs, max(cutoffs))
+        )
+        recommendations = save_table(both, output_dir, "validation_recommendations", overwrite)
+        metrics = held(ranking_metrics(recommendations, targets, cutoffs))
+        report = metrics_report(metrics)
+        report.write.mode("overwrite" if overwrite else "errorifexists").json(metrics_path)
+        summary = _with_paths(run_summary(train, context, full_data), input_dir, output_dir, ARTIFACTS)
+        summary = summary.withColumns(
+            {
+                "k_values": F.array(*[F.lit(k) for k in cutoffs]),
+                "metrics_path": F.lit(metrics_path),
+                "metrics": report.select("baselines").scalar(),
+            }
+        )
+        return metrics, held(summary)

@@ -26,6 +26,29 @@ CTES = {
         SELECT o_custkey AS pid, l.*, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey,
             l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS pos
         FROM lineitem l JOIN orders ON l_orderkey = o_orderkey""",
+    # Nested documents, already flat: one row per item with the fields as they stand in the JSON.
+    "document_items": """
+        SELECT CASE WHEN c_acctbal >= -900 THEN c_custkey END AS pid, c_custkey, pos // 1000 AS chunk,
+            CASE WHEN l_returnflag = 'R' THEN ' ' ELSE '' END || 'x:part:' || l_partkey
+                || CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN ' ' ELSE '' END AS track_uri,
+            CASE WHEN l_returnflag = 'N' THEN '  ' ELSE '' END || p_name AS track_name,
+            CASE WHEN l_quantity <= 40 THEN 'x:supplier:' || l_suppkey END AS artist_uri,
+            CASE WHEN l_returnflag <> 'A' THEN 'Supplier ' || l_suppkey END AS artist_name,
+            'x:brand:' || CASE WHEN l_linestatus = 'O' THEN '' ELSE p_brand END AS album_uri,
+            CASE WHEN l_discount < 0.03::DOUBLE THEN '   ' ELSE p_brand END AS album_name,
+            l_quantity::BIGINT AS duration_ms, CASE WHEN l_tax < 0.08::DOUBLE THEN pos END AS pos
+        FROM purchases p JOIN customer ON p.pid = c_custkey JOIN part ON l_partkey = p_partkey""",
+    "document_collections": """
+        SELECT c.*, coalesce(chunk, 0) AS chunk, coalesce(items, 0) AS items, duration
+        FROM customer c LEFT JOIN (SELECT pid, pos // 1000 AS chunk, count(*) AS items,
+            sum(l_quantity::BIGINT) AS duration FROM purchases GROUP BY ALL) ON c_custkey = pid""",
+    "cleaned_items": """
+        SELECT pid, c_custkey, pos, duration_ms, trim(track_uri, ' ') AS track_uri,
+            regexp_extract(track_uri, '([^:]+)$', 1) AS track_id, trim(track_name, ' ') AS track_name,
+            artist_uri, regexp_extract(artist_uri, '([^:]+)$', 1) AS artist_id, artist_name, album_uri,
+            nullif(regexp_extract(album_uri, '([^:]+)$', 1), '') AS album_id,
+            nullif(trim(album_name, ' '), '') AS album_name
+        FROM document_items""",
     "baskets": """
         SELECT pid, pos, l_partkey AS track_id, l_suppkey AS artist_id, p_brand AS album_id,
             l_quantity::BIGINT AS duration_ms
@@ -93,29 +116,6 @@ CTES = {
         FROM (FROM target_counts, unnest(['popularity', 'cooccurrence']) names(baseline_name),
             unnest([{K_LIST}]) cutoffs(k)) LEFT JOIN hits USING (baseline_name, pid, k)
         GROUP BY ALL""",
-    # Nested documents, already flat: one row per item with the fields as they stand in the JSON.
-    "document_items": """
-        SELECT CASE WHEN c_acctbal >= -900 THEN c_custkey END AS pid, c_custkey, pos // 1000 AS chunk,
-            CASE WHEN l_returnflag = 'R' THEN ' ' ELSE '' END || 'x:part:' || l_partkey
-                || CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN ' ' ELSE '' END AS track_uri,
-            CASE WHEN l_returnflag = 'N' THEN '  ' ELSE '' END || p_name AS track_name,
-            CASE WHEN l_quantity <= 40 THEN 'x:supplier:' || l_suppkey END AS artist_uri,
-            CASE WHEN l_returnflag <> 'A' THEN 'Supplier ' || l_suppkey END AS artist_name,
-            'x:brand:' || CASE WHEN l_linestatus = 'O' THEN '' ELSE p_brand END AS album_uri,
-            CASE WHEN l_discount < 0.03::DOUBLE THEN '   ' ELSE p_brand END AS album_name,
-            l_quantity::BIGINT AS duration_ms, CASE WHEN l_tax < 0.08::DOUBLE THEN pos END AS pos
-        FROM purchases p JOIN customer ON p.pid = c_custkey JOIN part ON l_partkey = p_partkey""",
-    "document_collections": """
-        SELECT c.*, coalesce(chunk, 0) AS chunk, coalesce(items, 0) AS items, duration
-        FROM customer c LEFT JOIN (SELECT pid, pos // 1000 AS chunk, count(*) AS items,
-            sum(l_quantity::BIGINT) AS duration FROM purchases GROUP BY ALL) ON c_custkey = pid""",
-    "cleaned_items": """
-        SELECT pid, c_custkey, pos, duration_ms, trim(track_uri, ' ') AS track_uri,
-            regexp_extract(track_uri, '([^:]+)$', 1) AS track_id, trim(track_name, ' ') AS track_name,
-            artist_uri, regexp_extract(artist_uri, '([^:]+)$', 1) AS artist_id, artist_name, album_uri,
-            nullif(regexp_extract(album_uri, '([^:]+)$', 1), '') AS album_id,
-            nullif(trim(album_name, ' '), '') AS album_name
-        FROM document_items""",
 }
 
 
@@ -162,10 +162,12 @@ def oracle_sql() -> dict[str, str]:
         "album_uri", "album_id", "album_name", "duration_ms",
     )
     name = "CASE WHEN c_nationkey = 0 THEN '  ' WHEN c_nationkey < 5 THEN '  ' || c_name || ' ' ELSE c_name END"
+    sampled = _sample(f"({CTES['context']})", "validation", VALIDATION_SAMPLE)
     rounded_metrics = ", ".join(f"round({m}, {PLACES}) AS {m}" for m in ("recall", "precision", "ndcg"))
     return {
         "scan_nested_json": _sql(f"""
-            SELECT CASE WHEN c_acctbal >= -900 THEN c_custkey END AS pid, {name} AS name, items AS num_tracks,
+            SELECT 7::INTEGER AS slice_start, 1006::INTEGER AS slice_end,
+                CASE WHEN c_acctbal >= -900 THEN c_custkey END AS pid, {name} AS name, items AS num_tracks,
                 items::INTEGER AS items, coalesce(duration, 0)::BIGINT AS duration FROM document_collections"""),
         "flatten_collections": _sql(f"""
             SELECT c_custkey AS pid, nullif(trim({name}, ' '), '') AS name,
@@ -181,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "item_dimension": _sql(f"""
             SELECT track_uri, {", ".join(_first(a) for a in attributes)} FROM cleaned_items GROUP BY track_uri"""),
         "flatten_interactions": _sql("""
-            SELECT pid, pos::INTEGER AS pos, track_uri, track_id, artist_uri, artist_id, album_uri, album_id, duration_ms
+            SELECT pid, pos::BIGINT AS pos, track_uri, track_id, artist_uri, artist_id, album_uri, album_id, duration_ms
             FROM cleaned_items WHERE pid IS NOT NULL AND pos IS NOT NULL"""),
         "clean_text": _plain("""
             SELECT 'customer' AS source, c_custkey AS id, c_name || chr(9) AS cleaned FROM customer
@@ -264,4 +266,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT true AS full_data_mode, count(DISTINCT pid) AS sampled_train_playlists,
                 (SELECT count(DISTINCT pid) FROM context) AS sampled_validation_playlists FROM train"""),
         "end_to_end": _sql(f"SELECT baseline_name, k, {rounded_metrics} FROM metrics"),
+        "end_to_end_sampled": _sql(
+            f"SELECT baseline_name, k, {rounded_metrics} FROM metrics",
+            train=f"SELECT * FROM ({CTES['train']}) WHERE pid IN ({_sample(f'({CTES["train"]})', 'train', TRAIN_SAMPLE)})",
+            context=f"SELECT * FROM ({CTES['context']}) WHERE pid IN ({sampled})",
+            targets=f"SELECT * FROM ({CTES['targets']}) WHERE pid IN ({sampled})",
+        ),
+        "end_to_end_documents": _sql(
+            f"SELECT baseline_name, k, {rounded_metrics} FROM metrics",
+            baskets="SELECT pid, pos, track_id, artist_id, album_id, duration_ms FROM cleaned_items WHERE pid IS NOT NULL AND pos IS NOT NULL",
+            lengths="""SELECT c_custkey AS pid, coalesce(n, items) AS playlist_length FROM document_collections
+                LEFT JOIN (SELECT pid, count(*) AS n FROM baskets GROUP BY pid) b ON c_custkey = b.pid
+                WHERE c_acctbal >= -900""",
+        ),
     }

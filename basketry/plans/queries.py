@@ -36,7 +36,7 @@ from basketry.operators.splits import (
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 from basketry.plans import standin
-from basketry.plans.jobs import build_splits, run_baselines
+from basketry.plans.jobs import build_splits, ingest, run_baselines
 from basketry.sources.documents import collections_of, parse_documents, scan_nested_json
 from basketry.sources.tables import load_layer, save_table, scratch_root, write_tables
 
@@ -99,11 +99,15 @@ class _Run:
 
 
 def q_scan_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default file names, found inside the name; a file of another name is not read."""
     folder = f"{scratch_root(spark)}/documents"
-    texts = standin.documents(spark, sf_dir).select("value")
-    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    standin.write_documents(spark, sf_dir, f"{folder}/deeper", "full_mpd.slice.7-1006")
+    spark.range(1).select(F.lit(1).alias("playlists")).write.option("mapreduce.output.basename", "mpd.slice.x-y").json(f"{folder}/others")
     playlist = F.col("playlist")
-    return scan_nested_json(spark, folder, name_glob="part-*.txt", name_pattern=r"\.txt$").select(
+    start, end = source_slice_range("source_file")
+    return scan_nested_json(spark, folder).select(
+        start.alias("slice_start"),
+        end.alias("slice_end"),
         playlist["pid"].alias("pid"),
         playlist["name"].alias("name"),
         playlist["num_tracks"].alias("num_tracks"),
@@ -295,6 +299,31 @@ def q_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics, METRICS)
 
 
+def q_end_to_end_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flow in its default mode, on a sample of the collections."""
+    root = scratch_root(spark)
+    silver, gold, artifacts = (f"{root}/{layer}" for layer in ("silver", "gold", "artifacts"))
+    write_tables(
+        {"playlists": standin.headers(spark, sf_dir), "playlist_tracks": standin.baskets(spark, sf_dir)}, silver
+    )
+    build_splits(spark, silver, gold, SPEC, complete_headers=True)
+    metrics, _ = run_baselines(
+        spark, gold, artifacts, KS, train_sample_size=TRAIN_SAMPLE, validation_sample_size=VALIDATION_SAMPLE, hash_fn="md5"
+    )
+    return _rounded(metrics, METRICS)
+
+
+def q_end_to_end_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three jobs, from nested documents on."""
+    root = scratch_root(spark)
+    bronze, silver, gold, artifacts = (f"{root}/{layer}" for layer in ("bronze", "silver", "gold", "artifacts"))
+    standin.write_documents(spark, sf_dir, bronze, "mpd.slice.0-999")
+    ingest(spark, bronze, silver)
+    build_splits(spark, silver, gold, SPEC, complete_headers=True)
+    metrics, _ = run_baselines(spark, gold, artifacts, KS, full_data=True, hash_fn="md5")
+    return _rounded(metrics, METRICS)
+
+
 def queries() -> dict[str, Query]:
     return {
         "scan_nested_json": q_scan_nested_json,
@@ -337,4 +366,6 @@ def queries() -> dict[str, Query]:
         "ingest_summary": lambda s, d: ingest_summary(parse_documents(standin.documents(s, d))),
         "run_summary": q_run_summary,
         "end_to_end": q_end_to_end,
+        "end_to_end_sampled": q_end_to_end_sampled,
+        "end_to_end_documents": q_end_to_end_documents,
     }

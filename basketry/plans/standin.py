@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.functions.ranking import GIANT_ROWS, group_rank, heaviest
 from basketry.sources.tables import table_path
@@ -25,15 +22,8 @@ PURCHASE_ORDER = (
 )
 
 
-@cache
-def _schema(path: str) -> StructType:
-    return SparkSession.active().read.parquet(path).schema
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Its schema is looked up once, as reading footers is a job of its own."""
-    path = table_path(sf_dir, name)
-    return spark.read.schema(_schema(path)).parquet(path)
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def _purchases(spark: SparkSession, sf_dir: str, giant_rows: int) -> DataFrame:
@@ -51,12 +41,8 @@ def _purchases(spark: SparkSession, sf_dir: str, giant_rows: int) -> DataFrame:
     )
     order = [F.col(c) for c in PURCHASE_ORDER]
     giants = heaviest(sizes, "n", ["pid"], giant_rows)
-    # A job over two columns finds out whether there is a giant; mostly there is none, and one window is enough.
-    if giants.isEmpty():
-        ranked = purchases.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(*order)))
-    else:
-        flagged = purchases.join(F.broadcast(giants.withColumn("giant", F.lit(True))), "pid", "left")
-        ranked = group_rank(flagged, ["pid"], order, "position", F.coalesce("giant", F.lit(False)))
+    flagged = purchases.join(F.broadcast(giants.withColumn("giant", F.lit(True))), "pid", "left")
+    ranked = group_rank(flagged, ["pid"], order, "position", F.coalesce("giant", F.lit(False)), giant_rows)
     return ranked.withColumn("pos", F.col("position").cast("bigint") - 1)
 
 
@@ -108,7 +94,18 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, giant_rows: int = GIANT_ROWS) -> DataFrame:
-    """``source_file, value``: customers and purchases as nested JSON documents of bounded size.
+    """``source_file, value``: the contents of :func:`nested` as JSON text."""
+    return nested(spark, sf_dir, giant_rows).select("source_file", F.to_json(F.struct("playlists")).alias("value"))
+
+
+def write_documents(spark: SparkSession, sf_dir: str, folder: str, name: str) -> None:
+    """The same documents as files of their own, whose names begin with ``name`` and end in ``.json``."""
+    contents = nested(spark, sf_dir).select("playlists")
+    contents.write.option("maxRecordsPerFile", 1).option("mapreduce.output.basename", name).json(folder)
+
+
+def nested(spark: SparkSession, sf_dir: str, giant_rows: int = GIANT_ROWS) -> DataFrame:
+    """``source_file, playlists``: customers and purchases as nested documents of bounded size.
 
     The fields carry the irregularities the flattening operators have to deal with: padding, blanks, missing
     ids, missing positions. A collection of more than CHUNK positions continues in further documents.
@@ -161,6 +158,6 @@ def documents(spark: SparkSession, sf_dir: str, giant_rows: int = GIANT_ROWS) ->
             F.format_string("mpd.slice.%d-%d.%d.json", F.col("slice"), F.col("slice") + SLICE - 1, F.col("chunk")).alias(
                 "source_file"
             ),
-            F.to_json(F.struct("playlists")).alias("value"),
+            "playlists",
         )
     )

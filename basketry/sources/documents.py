@@ -40,27 +40,30 @@ def _unreadable(playlists: str, corrupt: str) -> Column:
 def read_documents(
     spark: SparkSession,
     path: str,
-    name_glob: str = "mpd.slice.*-*.json",
+    name_glob: str = "*mpd.slice.*-*.json",
     name_pattern: str = SLICE_NAME + r".*\.json$",
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """One row per matching file at any depth below ``path``: ``source_file, playlists, unreadable``.
 
+    A file matches if ``name_pattern`` is found in its name, wherever in it; ``name_glob`` only narrows the listing.
     A missing folder or a folder without a matching file is an error. A file that is not valid JSON keeps its
     row, marked ``unreadable``; ``mode="FAILFAST"`` makes it an error instead.
     """
+    matches = F.col("_metadata.file_name").rlike(name_pattern)
+    named = {"recursiveFileLookup": True, "pathGlobFilter": name_glob}
+    # Without their content, files are only listed: one name answers whether there is any.
+    if spark.read.format("binaryFile").options(**named).load(path).where(matches).select("path").isEmpty():
+        raise FileNotFoundError(f"no file with {name_pattern} in its name under {path}")
     reader = (
         spark.read.schema(DOCUMENT if mode == "FAILFAST" else WITH_CORRUPT)
         .option("multiLine", True)
         .option("mode", mode)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name_glob)
+        .options(**named)
     )
     files = reader.json(path)
-    if not files.inputFiles():
-        raise FileNotFoundError(f"no file named like {name_glob} under {path}")
     unreadable = F.lit(False) if mode == "FAILFAST" else _unreadable("playlists", CORRUPT)
-    return files.where(F.col("_metadata.file_name").rlike(name_pattern)).select(
+    return files.where(matches).select(
         F.col("_metadata.file_path").alias("source_file"), "playlists", unreadable.alias("unreadable")
     )
 

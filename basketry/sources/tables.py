@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -67,10 +69,29 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local session without that setting gets a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``; a plainly local session without that setting gets a temporary one.
+
+    One process alone is plainly local. Any other master, or none to be read, needs a folder that all share.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="basketry-")
     return f"{base.rstrip('/')}/basketry-{uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, root: str | None = None) -> Iterator[str]:
+    """A folder for the tables of one job, in ``root`` or by :func:`scratch_root`; it is gone after the job."""
+    folder = f"{root.rstrip('/')}/basketry-{uuid4().hex}" if root else scratch_root(spark)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(frame: DataFrame) -> DataFrame:
+    """A table of a few rows, computed now, which needs no file any more."""
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)

@@ -115,6 +115,26 @@ def test_missing_or_empty_folder(spark, tmp_path):
         scan_nested_json(spark, str(tmp_path))
 
 
+def test_names_are_searched(spark, tmp_path):
+    """The pattern may stand anywhere in the name; a folder where it stands in none is an error."""
+    (tmp_path / "full_mpd.slice.0-999.json").write_text(json.dumps({"playlists": [{"pid": 1, "tracks": []}]}))
+    (tmp_path / "mpd.slice.1-2.part.json").write_text(json.dumps({"playlists": [{"pid": 2, "tracks": []}]}))
+    assert rows(flatten_collections(scan_nested_json(spark, str(tmp_path))), "pid", "slice_end") == [(1, 999), (2, 2)]
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "mpd.slice.a-b.json").write_text("{}")
+    with pytest.raises(FileNotFoundError):
+        scan_nested_json(spark, str(other))
+
+
+def test_large_positions(spark, tmp_path):
+    tracks = [item("a:track:X", 3_000_000_000), item("a:track:Y", None)]
+    (tmp_path / "mpd.slice.0-1.json").write_text(json.dumps({"playlists": [{"pid": 1, "tracks": tracks}]}))
+    documents = read_documents(spark, str(tmp_path))
+    assert rows(flatten_interactions(collections_of(documents)), "pos", "track_id") == [(3_000_000_000, "X")]
+    assert ingest_summary(documents).first().dropped_interactions == 1
+
+
 def test_documents_as_a_stream(spark, tmp_path):
     source = tmp_path / "in"
     os.mkdir(source)

@@ -9,6 +9,7 @@ from basketry.operators import SplitSpec
 from basketry.plans import build_splits, ingest, run_baselines
 from basketry.plans.jobs import ARTIFACTS, GOLD, SILVER
 from basketry.sources import load_layer
+from basketry.sources.tables import scratch_root
 
 
 @pytest.fixture(scope="module")
@@ -44,9 +45,11 @@ def test_jobs_in_a_row(spark, layers):
     ]
 
     spec = SplitSpec(0.6, 0.2, 0.2)
+    assert summary.tracks_path == layers["silver"] + "/tracks.parquet"
     counts = build_splits(spark, layers["silver"], layers["gold"], spec).first()
     gold = load_layer(spark, layers["gold"], GOLD)
-    assert sum(counts[:3]) == 200 and counts.eligible_eval_playlists == 200 - counts.train_playlists
+    assert counts.input_path == layers["silver"] and counts.test_context_path == layers["gold"] + "/test_context.parquet"
+    assert counts.train_playlists + counts.validation_playlists + counts.test_playlists == 200 and counts.eligible_eval_playlists == 200 - counts.train_playlists
     total = sum(gold[name].count() for name in GOLD[1:])
     assert total == silver["playlist_tracks"].count()
 
@@ -56,7 +59,10 @@ def test_jobs_in_a_row(spark, layers):
     assert {(r.baseline_name, r.k) for r in metrics.collect()} == {
         (b, k) for b in ("popularity", "cooccurrence") for k in (3, 10)
     }
-    assert run.first().sampled_validation_playlists == counts.validation_playlists
+    run = run.first()
+    assert run.sampled_validation_playlists == counts.validation_playlists and run.k_values == [3, 10]
+    assert run.metrics["popularity"]["NDCG@3"] == metrics.where("baseline_name = 'popularity' AND k = 3").first().ndcg
+    assert run.metrics_path == layers["artifacts"] + "/validation_metrics.json"
     report = spark.read.json(layers["artifacts"] + "/validation_metrics.json").first().baselines
     assert report.popularity["Recall@3"] == metrics.where("baseline_name = 'popularity' AND k = 3").first().recall
 
@@ -71,7 +77,36 @@ def test_jobs_in_a_row(spark, layers):
     _, sampled = run_baselines(
         spark, layers["gold"], layers["sampled"], [5], train_sample_size=30, validation_sample_size=4
     )
-    assert tuple(sampled.first()) == (False, 30, 4)
+    sampled = sampled.first()
+    assert (sampled.full_data_mode, sampled.sampled_train_playlists, sampled.sampled_validation_playlists) == (False, 30, 4)
+
+
+def test_jobs_leave_no_scratch(spark, layers, tmp_path):
+    folder = tmp_path / "scratch"
+    given = {"overwrite": True, "scratch_dir": str(folder)}
+    ingest(spark, layers["bronze"], str(tmp_path / "silver"), **given)
+    build_splits(spark, str(tmp_path / "silver"), str(tmp_path / "gold"), SplitSpec(0.6, 0.2, 0.2), **given)
+    metrics, run = run_baselines(spark, str(tmp_path / "gold"), str(tmp_path / "out"), [5], **given)
+    assert list(folder.iterdir()) == [] and metrics.count() == 2 and run.count() == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key.replace(".", "_"), default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf(**values)
+
+    for values in ({"spark_master": "local-cluster[2,1,1024]"}, {"spark_master": "spark://host:7077"}, {}):
+        with pytest.raises(ValueError):
+            scratch_root(Session(**values))
+    assert scratch_root(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://shared/")).startswith("hdfs://shared/basketry-")
+    assert scratch_root(Session(spark_master="local[4]")).startswith("/")
 
 
 def test_missing_tables_are_named(spark, layers, tmp_path):
@@ -80,7 +115,8 @@ def test_missing_tables_are_named(spark, layers, tmp_path):
 
 
 def test_wrong_arguments_fail_before_any_job(spark, tmp_path):
-    with pytest.raises(ValueError):
-        SplitSpec(0.9, 0.2, 0.1)
+    for ratios in ((0.9, 0.2, 0.1), (1.2, -0.1, -0.1)):
+        with pytest.raises(ValueError):
+            SplitSpec(*ratios)
     with pytest.raises(ValueError):
         run_baselines(spark, str(tmp_path), str(tmp_path), "0,5")

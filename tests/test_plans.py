@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import (
-    SplitSpec, cooccurrence_pairs, holdout_targets, item_popularity, ranking_metrics, recommend_cooccurrence,
+    SplitSpec, cooccurrence_pairs, holdout_rank, holdout_targets, item_popularity, ranking_metrics, recommend_cooccurrence,
     recommend_popular,
 )
 from basketry.sources.tables import save_table, scratch_root
+from tests.conftest import rows
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,45 @@ def test_top_k_is_cut_before_the_shuffle(tables):
         assert "WindowGroupLimit" in plan(frame) and "Partial" in plan(frame)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for name in ("autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+        spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_a_giant_is_spread_without_a_broadcast(spark, no_broadcast):
+    data = spark.range(20_000).select(
+        F.lit(7).cast("bigint").alias("pid"), F.col("id").alias("pos"), *[F.lit("t").alias(c) for c in ("track_id", "artist_id", "album_id")],
+        F.lit(1).cast("bigint").alias("duration_ms"),
+    )
+    data = save_table(data, scratch_root(spark), "giant")  # read back, so that the plan holds no constants
+    splits = spark.createDataFrame([(7, "test", 20_000), (8, "test", 9)], "pid long, split string, playlist_length long")
+    ranked = holdout_rank(data, splits, SplitSpec(min_length=1), giant_rows=1000)
+    tasks = ranked.select("mask_rank", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("mask_rank").alias("n"))
+    sizes = [r.n for r in tasks.collect()]
+    assert len(sizes) > 4 and max(sizes) < 10_000
+    assert rows(ranked, "mask_rank") == [(n,) for n in range(1, 20_001)]
+    targets = holdout_targets(data, splits, SplitSpec(min_length=1), "test")
+    # Printed from the result down: the final cut, the shuffle, the partial cut.
+    below = plan(targets).split("WindowGroupLimit", 1)[1]
+    assert "Final" in below.split("\n")[0] and "Exchange" in below.split("Partial")[0] and "Partial" in below
+    assert rows(targets, "pos") == rows(ranked.where("mask_rank <= hidden_count"), "pos")
+
+
+def test_hot_ranks_are_looked_up_by_broadcast(tables, no_broadcast):
+    text = plan(cooccurrence_pairs(tables["items"], tables["popularity"]))
+    assert text.count("BroadcastHashJoin") >= 4
+
+
+def test_an_item_without_a_rank_is_an_error(tables):
+    partial = tables["popularity"].where("track_id <> 't7'")
+    with pytest.raises(Exception, match="no row for the item t7"):
+        cooccurrence_pairs(tables["items"], partial).collect()
+
+
 def test_pairs_travel_as_two_numbers(tables):
     text = plan(cooccurrence_pairs(tables["items"], tables["popularity"]))
     assert "partial_sum" in text
@@ -58,4 +98,4 @@ def test_pairs_travel_as_two_numbers(tables):
 
 def test_filters_reach_the_scan(tables):
     text = plan(cooccurrence_pairs(tables["items"], tables["popularity"]))
-    assert "PushedFilters: [IsNotNull(train_frequency), GreaterThanOrEqual(train_frequency,5)" in text
+    assert "PushedFilters: [IsNotNull(train_frequency)" in text and "GreaterThanOrEqual(train_frequency,5)" in text

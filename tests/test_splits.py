@@ -7,7 +7,7 @@ from basketry.operators import (
     SplitSpec, collection_lengths, hash_split, holdout_budget, holdout_context, holdout_rank, holdout_targets,
     restrict_run_tables, sample_collections, split_counts, split_summary, train_interactions,
 )
-from basketry.operators.splits import INTERACTION, ranked_targets
+from basketry.operators.splits import INTERACTION, hidden_part
 from tests.conftest import rows
 
 SCHEMA = "pid long, pos int, track_id string, artist_id string, album_id string, duration_ms long"
@@ -71,7 +71,7 @@ def test_split_parts_add_up(spark, interactions, splits):
     parts = train
     for name in ("validation", "test"):
         context, targets = holdout_context(ranked, name), holdout_targets(interactions, splits, SPEC, name)
-        assert rows(targets) == rows(ranked_targets(ranked, name))
+        assert rows(targets) == rows(hidden_part(ranked, name))
         assert context.join(targets, ["pid", "pos"]).count() == 0
         parts = parts.unionByName(context).unionByName(targets)
     assert rows(parts) == rows(interactions)
@@ -120,7 +120,7 @@ def test_everything_hidden_leaves_no_context(spark):
     splits = spark.createDataFrame([(1, "test", 1)], "pid long, split string, playlist_length long")
     ranked = holdout_rank(items, splits, SplitSpec(min_length=1))
     assert holdout_context(ranked, "test").count() == 0
-    assert ranked_targets(ranked, "test").count() == 1
+    assert hidden_part(ranked, "test").count() == 1
 
 
 def test_both_ways_to_sample_agree(spark):
