@@ -77,16 +77,18 @@ FILTER_BITS = 26
 BITMAP_BITS = 32768
 
 
-def set_filter(frame: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
+def set_filter(frame: DataFrame, key: str, bits: int = FILTER_BITS, probes: int = 1) -> np.ndarray:
     """A bitmap over the low ``bits`` bits of the bigint column ``key``, as a byte array of fixed size.
 
     The result is a filter before a join: every key of ``frame`` passes :func:`in_filter`, few others do. When the
     keys outnumber the bits all pass and the join alone decides, so the size of the filter never depends on the data.
+    With two ``probes`` the next ``bits`` bits are marked too; that is of use where keys are hashes.
     """
-    slot = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    mask = F.lit((1 << bits) - 1)
+    slots = F.array(*(F.shiftrightunsigned(F.col(key), bits * at).bitwiseAND(mask) for at in range(probes)))
     parts = (
         frame.where(F.col(key).isNotNull())
-        .select(slot.alias("__slot"))
+        .select(F.explode(slots).alias("__slot"))
         .groupBy((F.col("__slot") / BITMAP_BITS).cast("bigint").alias("__part"))
         .agg(F.bitmap_construct_agg((F.col("__slot") % BITMAP_BITS)).alias("__bits"))
     )
@@ -97,10 +99,13 @@ def set_filter(frame: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarra
     return table
 
 
-def in_filter(table: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+def in_filter(table: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS, probes: int = 1) -> np.ndarray:
     """Which of the int64 or uint64 ``keys`` may be in the set of ``table``."""
-    slots = keys.astype(np.uint64) & np.uint64((1 << bits) - 1)
-    return (table[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    found = np.ones(len(keys), dtype=bool)
+    for at in range(probes):
+        slots = (keys.astype(np.uint64) >> np.uint64(bits * at)) & np.uint64((1 << bits) - 1)
+        found &= (table[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
 
 
 def maybe_in(frame: DataFrame, key: str, column: str) -> Column:
@@ -116,7 +121,8 @@ def maybe_in(frame: DataFrame, key: str, column: str) -> Column:
 
         return pd.Series(in_filter(shared.value, keys.to_numpy(dtype=np.int64)))
 
-    return maybe(F.coalesce(F.col(column), F.lit(0)))
+    # Not deterministic, so that Spark does not repeat the test on the other side of a join.
+    return maybe.asNondeterministic()(F.coalesce(F.col(column), F.lit(0)))
 
 
 def components(links: DataFrame, root: str, name: str) -> DataFrame:
