@@ -22,67 +22,177 @@ from basketry.llm.common import whole
 COVERAGE = 0.8
 _TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
-# Wordings of licenses, from their public texts.
+_VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
+
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files, to deal in the Software without restriction, including without limitation the rights to "
+    "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so"
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    "This product includes software developed by"
+)
+_ENDORSE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+
+
+def _gnu(kind: str, version: str) -> tuple[str, ...]:
+    name = f"GNU {kind}General Public License"
+    free = f"This program is free software: you can redistribute it and/or modify it under the terms of the {name}"
+    return (
+        f"This work is licensed under the {name}, version {version}.",
+        f"{free} as published by the Free Software Foundation, either version {version} of the License, or (at your "
+        "option) any later version.",
+        f"Licensed under the {name}, version {version}.",
+        f"{free} version {version} as published by the Free Software Foundation.",
+    )
+
+
+def _creative_commons(parts: str, version: str) -> tuple[str, ...]:
+    long = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives" if version == "4.0" else "NoDerivs"}
+    name = "-".join(long[p] for p in parts.split("-"))
+    ending = {"4.0": " International", "3.0": " Unported"}.get(version, "")
+    work = f"This work is licensed under a Creative Commons {name} {version}{ending} License."
+    short = f"Licensed under CC {parts} {version}."
+    return tuple(dict.fromkeys((short, work, short.replace(parts, parts.replace("-", " ")), work.replace(name, name.replace("-", " ")))))
+
+
+# Wordings of licenses, from their public texts. "BSD" stands for words that do not tell the number of clauses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files, to deal in the Software without restriction, including without limitation the rights to "
-        "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so",
-    ),
+    "MIT": ("Released under the MIT License.", _MIT),
+    "MIT-0": ("Released under the MIT No Attribution License.", f"{_MIT}. The software is provided as is"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
+    "Apache-1.1": ("Licensed under the Apache Software License, Version 1.1.",),
+    **{f"GPL-{v}": _gnu("", v.removesuffix(".0")) for v in ("1.0", "2.0", "3.0")},
+    **{f"LGPL-{v}": _gnu("Lesser ", v.removesuffix(".0")) for v in ("2.1", "3.0")},
+    "LGPL-2.0": _gnu("Library ", "2"),
+    "AGPL-3.0": _gnu("Affero ", "3"),
+    "MPL-2.0": (
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MPL-1.1": (
+        "Licensed under the Mozilla Public License, version 1.1.",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1",
     ),
-    "BSD-3-Clause": (
+    **{
+        f"CC-{parts}-{v}": _creative_commons(parts, v)
+        for parts in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0")
+    },
+    "CC0-1.0": ("Licensed under CC0 1.0.", "This work is licensed under a Creative Commons Zero 1.0 Universal License."),
+    "BSD": (
+        "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
-        "products derived from this software without specific prior written permission.",
+    ),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.",
+        "Released under the 2-Clause BSD License.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. This software "
+        "is provided by the copyright holders and contributors as is",
+    ),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Released under the 3-Clause BSD License.", _ENDORSE),
+    "BSD-4-Clause": (
+        "Released under the BSD 4-Clause License.",
+        "Released under the 4-Clause BSD License.",
+        _ADVERTISING,
+        f"{_ADVERTISING} the organization. {_ENDORSE}",
+    ),
+    "ISC": (
+        "Released under the ISC License.",
+        f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "0BSD": (
+        "Released under the BSD Zero Clause License.",
+        f"{_ISC}. The software is provided as is and the author disclaims all warranties with regard to this software",
     ),
     "all-rights-reserved": ("All rights reserved.",),
 }
+# Words that name a license. Those of a template, and its version numbers, have to be aligned.
+NAMES = frozenset(
+    "mit attribution apache license-2.0 gnu lesser affero library mozilla isc bsd zero 2-clause 3-clause 4-clause cc cc0 creative".split()
+)
+_KINDS = "nc sa nd noncommercial sharealike noderivatives noderivs non-commercial share-alike"
+_FORMS = (
+    "by-nc by-sa by-nd by-nc-sa by-nc-nd attribution-noncommercial attribution-sharealike attribution-noderivatives "
+    "attribution-noderivs attribution-noncommercial-sharealike attribution-noncommercial-noderivatives "
+    "attribution-noncommercial-noderivs attribution-non-commercial attribution-share-alike"
+)
+_CC = frozenset(["by", *_KINDS.split(), *_FORMS.split(), "attribution", "zero"])
+_GNU = frozenset(["lesser", "affero", "library"])
+_BSD = frozenset(["2-clause", "3-clause", "4-clause", "0-clause", "zero"])
+# Of a template that holds the words before them, the words that have to be aligned, where it has them, and
+# those that make another license of it: they may not stand unaligned between its aligned words.
+SIBLINGS: tuple[tuple[frozenset[str], frozenset[str], frozenset[str]], ...] = (
+    (frozenset(["cc"]), _CC, _CC),
+    (frozenset(["creative", "commons"]), _CC, _CC),
+    (frozenset(["gnu"]), _GNU, _GNU),
+    (frozenset(["bsd"]), _BSD, _BSD),
+    (frozenset(["mit"]), frozenset(["attribution"]), frozenset(["attribution"])),
+    (frozenset(["furnished", "provided"]), frozenset(["provided"]), frozenset(["subject", "conditions"])),
+    (frozenset(["fee", "copies"]), frozenset(["copies"]), frozenset(["supporting"])),
+    (frozenset(["fee", "disclaims"]), frozenset(["disclaims"]), frozenset(["copies", "appear", "supporting"])),
+    (frozenset(["materials", "distribution"]), frozenset(["contributors"]), frozenset(["neither", "endorse", "advertising"])),
+    (frozenset(["advertising", "endorse"]), frozenset(["advertising", "endorse"]), frozenset()),
+)
 # Words that are never the key of a template.
 COMMON = frozenset("a all an and any are at be by can for in is it its may not of on or so that the this to under use whom with work you your".split())
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """Words in lower case, each with its place in the text."""
-    return [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    """Words in lower case, each with its place in the text. A number is written as a version: ``v2.0`` is ``2``."""
+    found = []
+    for m in _TOKEN.finditer(text):
+        word = m.group().lower()
+        if word[-1].isdigit() and (version := _VERSION.fullmatch(word)):
+            word = version.group(1)
+        found.append((word, m.start(), m.end()))
+    return found
 
 
 @dataclass(frozen=True)
 class Template:
-    """``keys``: so many of its words, with their offsets, that a text without any of them covers too little of it."""
+    """``keys``: so many of its words, with their offsets, that a text without any of them covers too little of it.
+
+    ``needed``: offsets of the words that tell it from other licenses, ``barred``: words that make it another one.
+    """
 
     license: str
     words: tuple[str, ...]
     keys: Mapping[str, tuple[int, ...]]
+    needed: frozenset[int]
+    barred: frozenset[str]
 
 
 def templates(texts: Mapping[str, Sequence[str]] = TEMPLATES, coverage: float = COVERAGE) -> list[Template]:
+    """A word that has to be aligned is the only key of its template."""
     found = []
     for name, wordings in texts.items():
         for wording in wordings:
             each = tuple(w for w, _, _ in words(wording))
             if not each:
                 continue
+            near = [siblings for siblings in SIBLINGS if siblings[0] <= set(each)]
+            telling = NAMES.union(*(needed for _, needed, _ in near))
+            needed = frozenset(i for i, w in enumerate(each) if w in telling or _VERSION.fullmatch(w))
             missing = floor(len(each) * (1 - coverage) + 1e-9) + 1
             order = sorted(range(len(each)), key=lambda i: (each[i] in COMMON, -len(each[i]), i))
+            if spelled := [i for i in order if i in needed and not _VERSION.fullmatch(each[i])]:
+                order, missing = spelled, 1
             chosen = {each[i] for i in order[:missing]}
-            found.append(Template(name, each, {k: tuple(i for i, w in enumerate(each) if w == k) for k in sorted(chosen)}))
+            keys = {k: tuple(i for i, w in enumerate(each) if w == k) for k in sorted(chosen)}
+            found.append(Template(name, each, keys, needed, frozenset().union(*(barred for _, _, barred in near))))
     return found
 
 
@@ -132,20 +242,33 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _told(aligned: Sequence[tuple[int, int]], text: Sequence[str], template: Template) -> bool:
+    """Whether the words that tell the license from its siblings are aligned, and none of a sibling stands between."""
+    if not template.needed <= {j for _, j in aligned}:
+        return False
+    if not template.barred:
+        return True
+    places = {i for i, _ in aligned}
+    return not any(text[i] in template.barred and i not in places for i in range(aligned[0][0], aligned[-1][0]))
+
+
 def find_licenses(text: str, known: Sequence[Template], coverage: float = COVERAGE) -> list[tuple[str, int, int, int, int]]:
     """(license, start, end, words of the template, aligned words) in the order of the text; starts count from 0.
 
     Each occurrence of a key says where its template would begin; beginnings close together are one window. Of
-    findings that overlap, the one with most aligned words stays.
+    findings that overlap, the one with most aligned words stays. The words that tell a template from other licenses
+    have to be aligned, and words that make it another one may not stand between.
     """
     each = words(text)
     places: dict[str, list[int]] = {}
-    wanted = {k for t in known for k in t.keys}
+    wanted = {k for t in known for k in t.keys} | {t.words[i] for t in known for i in t.needed}
     for at, (word, _, _) in enumerate(each):
         if word in wanted:
             places.setdefault(word, []).append(at)
     found = []
     for template in known:
+        if not all(template.words[i] in places for i in template.needed):
+            continue
         size = len(template.words)
         slack = ceil(size / 4) + 2
         begins = sorted({at - offset for key, offsets in template.keys.items() for at in places.get(key, ()) for offset in offsets})
@@ -155,8 +278,9 @@ def find_licenses(text: str, known: Sequence[Template], coverage: float = COVERA
                 continue
             last = begin
             low, high = max(0, begin - slack), min(len(each), begin + size + slack)
-            aligned = patience([w for w, _, _ in each[low:high]], template.words)
-            if aligned and len(aligned) >= coverage * size - 1e-9:
+            window = [w for w, _, _ in each[low:high]]
+            aligned = patience(window, template.words)
+            if aligned and len(aligned) >= coverage * size - 1e-9 and _told(aligned, window, template):
                 first, end = low + aligned[0][0], low + aligned[-1][0]
                 found.append((template.license, each[first][1], each[end][2], size, len(aligned)))
     kept: list[tuple[str, int, int, int, int]] = []
@@ -182,7 +306,8 @@ def scan_licenses(
     known = templates(texts, coverage)
     keys = sorted({k for t in known for k in t.keys})
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    rows = rows.where(F.lower("text").rlike("|".join(re.escape(k) for k in keys)) if keys else F.lit(False))
+    pattern = rf"(?<![a-z0-9])(?:{'|'.join(re.escape(k) for k in keys)})(?![a-z0-9])"
+    rows = rows.where(F.lower("text").rlike(pattern) if keys else F.lit(False))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

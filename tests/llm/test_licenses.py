@@ -73,3 +73,32 @@ def test_edges(documents, clashing, prose):
     ]
     assert scan_licenses(docs.limit(0)).count() == 0
     assert scan_licenses(docs, {}).count() == 0
+
+
+def test_siblings_against_their_neighbours():
+    """Each wording is found under its own name alone, whatever its siblings say."""
+    known = templates()
+    for name, wordings in TEMPLATES.items():
+        for wording in wordings:
+            assert [f[0] for f in find_licenses(f"before it {wording} after it", known)] == [name], wording
+    lines = {
+        "Licensed under CC BY 4.0": ["CC-BY-4.0"],
+        "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-NC-ND 4.0": ["CC-BY-NC-ND-4.0"],
+        "Licensed under CC BY NC 4.0": ["CC-BY-NC-4.0"],
+        "Licensed under CC BY-NC 3.0": ["CC-BY-NC-3.0"],
+        "Licensed under CC BY-NC 5.0": [],
+        "Released under the BSD License": ["BSD"],
+        "Released under the Artistic License": [],
+        "This work is licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License v3.0": ["GPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 4": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+        "Licensed under the Mozilla Public License, Version 2.0": ["MPL-2.0"],
+        "Licensed under the MIT License": ["MIT"],
+    }
+    for line, names in lines.items():
+        assert [f[0] for f in find_licenses(line, known)] == names, line
+    three = f"{TEMPLATES['BSD'][1]} 1. {TEMPLATES['BSD-2-Clause'][2].split(' This software')[0]} {TEMPLATES['BSD-3-Clause'][2]}"
+    assert [f[0] for f in find_licenses(three, known)] == ["BSD", "BSD-3-Clause"]
