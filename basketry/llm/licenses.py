@@ -161,7 +161,7 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Template:
     """``keys``: so many of its words, with their offsets, that a text without any of them covers too little of it.
 
@@ -252,42 +252,87 @@ def _told(aligned: Sequence[tuple[int, int]], text: Sequence[str], template: Tem
     return not any(text[i] in template.barred and i not in places for i in range(aligned[0][0], aligned[-1][0]))
 
 
+def _best(each: Sequence[str], template: Template, begin: int, low: int, high: int, coverage: float) -> tuple[int, int, int] | None:
+    """(first, last, aligned words) of the template in ``each[low:high]``, sought first where it would begin, then around.
+
+    A window that holds parts of a neighbour loses words that are no longer unique; of several windows the one with
+    most aligned words counts, then the one with the shortest finding.
+    """
+    size = len(template.words)
+    slack = ceil(size / 4) + 2
+    wide = max(low, begin - slack), min(high, begin + size + slack)
+    least = coverage * size - 1e-9
+    around = each[wide[0] : wide[1]]
+    if sum((Counter(around) & Counter(template.words)).values()) < least:
+        return None
+    tight = max(low, begin), min(high, begin + size)
+    best = None
+    for start, end in dict.fromkeys((tight, wide, (wide[0], tight[1]), (tight[0], wide[1]))):
+        window = each[start:end]
+        aligned = patience(window, template.words)
+        if not aligned or len(aligned) < least or not _told(aligned, window, template):
+            continue
+        one = start + aligned[0][0], start + aligned[-1][0], len(aligned)
+        if best is None or (one[2], one[0] - one[1]) > (best[2], best[0] - best[1]):
+            best = one
+        if one[2] == size and one[1] - one[0] == size - 1:
+            break
+    return best
+
+
 def find_licenses(text: str, known: Sequence[Template], coverage: float = COVERAGE) -> list[tuple[str, int, int, int, int]]:
     """(license, start, end, words of the template, aligned words) in the order of the text; starts count from 0.
 
-    Each occurrence of a key says where its template would begin; beginnings close together are one window. Of
-    findings that overlap, the one with most aligned words stays. The words that tell a template from other licenses
-    have to be aligned, and words that make it another one may not stand between.
+    Each occurrence of a key says where its template would begin. Of findings that overlap, the one with most aligned
+    words stays, then the shortest; what it leaves of the windows around it is searched again. The words that tell a
+    template from other licenses have to be aligned, and words that make it another one may not stand between.
     """
-    each = words(text)
+    found = words(text)
+    each = [w for w, _, _ in found]
     places: dict[str, list[int]] = {}
     wanted = {k for t in known for k in t.keys} | {t.words[i] for t in known for i in t.needed}
-    for at, (word, _, _) in enumerate(each):
+    for at, word in enumerate(each):
         if word in wanted:
             places.setdefault(word, []).append(at)
-    found = []
+    # A key and where the template would begin; all windows at first, then those that a finding cut.
+    open_: list[tuple[int, int, Template]] = []
     for template in known:
-        if not all(template.words[i] in places for i in template.needed):
-            continue
-        size = len(template.words)
-        slack = ceil(size / 4) + 2
-        begins = sorted({at - offset for key, offsets in template.keys.items() for at in places.get(key, ()) for offset in offsets})
-        last = None
-        for begin in begins:
-            if last is not None and begin - last <= slack // 2:
+        if all(template.words[i] in places for i in template.needed):
+            open_ += [(at, at - offset, template) for key, offsets in template.keys.items() for at in places.get(key, ()) for offset in offsets]
+    kept: list[tuple[int, int, int, Template]] = []  # by place, without overlaps
+    while open_:
+        seen, later = {}, []
+        starts, ends = [k[0] for k in kept], [k[1] for k in kept]
+        for at, begin, template in open_:
+            next_ = bisect_left(ends, at)
+            if next_ < len(kept) and starts[next_] <= at:
                 continue
-            last = begin
-            low, high = max(0, begin - slack), min(len(each), begin + size + slack)
-            window = [w for w, _, _ in each[low:high]]
-            aligned = patience(window, template.words)
-            if aligned and len(aligned) >= coverage * size - 1e-9 and _told(aligned, window, template):
-                first, end = low + aligned[0][0], low + aligned[-1][0]
-                found.append((template.license, each[first][1], each[end][2], size, len(aligned)))
-    kept: list[tuple[str, int, int, int, int]] = []
-    for one in sorted(found, key=lambda f: (-f[4], -f[4] / f[3], f[1], f[0])):
-        if all(one[2] <= other[1] or one[1] >= other[2] for other in kept):
-            kept.append(one)
-    return sorted(kept, key=lambda f: (f[1], f[0]))
+            low, high = ends[next_ - 1] + 1 if next_ else 0, starts[next_] if next_ < len(kept) else len(each)
+            place = id(template), begin, low, high
+            if place not in seen:
+                seen[place] = _best(each, template, begin, low, high, coverage)
+            later.append((at, begin, template, seen[place]))
+        added: list[tuple[int, int, int, Template]] = []
+        firsts: list[int] = []
+        for first, last, aligned, template in sorted(
+            {(*one, template) for _, _, template, one in later if one},
+            key=lambda f: (-f[2], f[1] - f[0], -f[2] / len(f[3].words), f[0], f[3].license),
+        ):
+            at = bisect_left(firsts, first)
+            if (at == 0 or added[at - 1][1] < first) and (at == len(added) or added[at][0] > last):
+                firsts.insert(at, first)
+                added.insert(at, (first, last, aligned, template))
+        if not added:
+            break
+        kept = sorted(kept + added, key=lambda k: k[0])
+        lasts = [k[1] for k in added]
+        open_ = []
+        for at, begin, template, _ in later:
+            reach = len(template.words) + ceil(len(template.words) / 4) + 2
+            near = bisect_left(lasts, begin - reach)
+            if near < len(added) and added[near][0] <= begin + reach:
+                open_.append((at, begin, template))
+    return [(t.license, found[first][1], found[last][2], len(t.words), aligned) for first, last, aligned, t in kept]
 
 
 def scan_licenses(

@@ -102,3 +102,24 @@ def test_siblings_against_their_neighbours():
         assert [f[0] for f in find_licenses(line, known)] == names, line
     three = f"{TEMPLATES['BSD'][1]} 1. {TEMPLATES['BSD-2-Clause'][2].split(' This software')[0]} {TEMPLATES['BSD-3-Clause'][2]}"
     assert [f[0] for f in find_licenses(three, known)] == ["BSD", "BSD-3-Clause"]
+
+
+def test_back_to_back():
+    """Repeated lines are as many findings, with and without words that are not of the template."""
+    known = templates()
+    edited = {
+        "Licensed under a CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "This work is licensed under the terms of the GNU Lesser General Public License, version 3": "LGPL-3.0",
+        " ".join(w for n, w in enumerate(MIT.split()) if n % 8): "MIT",
+    }
+    lines = {wording: name for name, wordings in TEMPLATES.items() for wording in wordings} | edited
+    for line, name in lines.items():
+        for n in (2, 3, 6):
+            text = f"before it {f'{line} ' * n}after it"
+            found = find_licenses(text, known)
+            assert [f[0] for f in found] == [name] * n, (line, n)
+            assert all(p[2] <= q[1] for p, q in zip(found, found[1:], strict=False))
+    several = "All rights reserved. All rights reserved. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0. All rights reserved."
+    names = [f[0] for f in find_licenses(several, known)]
+    assert names == ["all-rights-reserved", "all-rights-reserved", "CC-BY-4.0", "CC-BY-NC-4.0", "all-rights-reserved"]
+    assert [f[0] for f in find_licenses("Licensed under CC BY-NC. Licensed under CC BY-NC 4.0", known)] == ["CC-BY-NC-4.0"]
