@@ -17,12 +17,34 @@ from basketry.llm.common import whole
 THRESHOLD = 0.5
 #: Characters before and after a candidate whose words are features.
 NEAR = 48
-_CHARS = r"A-Za-z0-9_+/=.\-"
-# A run of 16 characters or more of keys, hashes and encodings, with at least one digit.
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z_+/=.\-]*+[0-9])[{_CHARS}]{{16,}}+"
+_CHARS = r"A-Za-z0-9_+/.\-"
+_NAME = r"[A-Za-z0-9_.\-]"
+PREFIX = "AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza|eyJ|glpat-|SG[.]"
 
 # Words of the features.
 ASSIGNING = "token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access|client|signing|webhook|session|key"
+_SIGN = r"[\"'`\]]{0,2}\s{0,4}(?:=>|:=|==?|:)\s{0,4}"
+# An assigning word, the rest of its name and what stands before the value.
+_HEAD = (
+    rf"[?&]{_NAME}{{0,64}}?(?i:{ASSIGNING}){_NAME}{{0,64}}+="
+    rf"|(?i:{ASSIGNING}){_NAME}{{0,64}}+{_SIGN}[\"'`]?(?:(?i:bearer|basic|token)\s{{1,2}})?"
+    r"|(?i:bearer)\s{1,2}"
+)
+# Its value: up to the closing quote, to the end of a part of a query string, or to white space and brackets.
+_VALUE = (
+    r"""(?<=")(?:\\.|[^"\\\n]){4,}+(?=")|(?<=')(?:\\.|[^'\\\n]){4,}+(?=')|(?<=`)[^`\n]{4,}+(?=`)"""
+    rf"""|(?<=[?&]{_NAME}{{0,140}}=)[^\s"'`&#<>]{{4,}}+"""
+    rf"""|(?<!["'`])(?<![?&]{_NAME}{{0,140}}=)[^\s"'`,;<>(){{}}\[\]]{{3,}}[^\s"'`,;<>(){{}}\[\].:]"""
+)
+# A run of 16 characters or more of keys, hashes and encodings, with a digit or the prefix of a known token, and its
+# padding. The name before a "=" or before the value of an assigning word is none.
+_RUN = (
+    rf"(?<![{_CHARS}])(?=[{_CHARS}]{{16}})(?:(?=[A-Za-z_+/.\-]*+[0-9])|(?={PREFIX}))(?![A-Za-z_]{_NAME}*+=[{_CHARS}])"
+    rf"(?!{_NAME}{{0,64}}?(?i:{ASSIGNING}){_NAME}{{0,64}}+{_SIGN}[^\s])[{_CHARS}]{{16,}}+={{0,3}}+"
+)
+#: What may be a secret; its first group is what stands before the value of an assigning word.
+CANDIDATE = rf"({_HEAD})(?:{_VALUE})|{_RUN}"
+
 HARMLESS = (
     "example|sample|dummy|placeholder|redacted|checksum|sha1|sha256|sha512|md5|hash|commit|revision|digest|uuid|guid|"
     "version|build|order|invoice|tracking|phone|card|account|isbn|serial|file|url|path|image|mail"
@@ -37,7 +59,8 @@ TEST_PATH = "test|example|sample|mock|fixture|docs?/|vendor|node_modules|readme|
 FEATURES = (
     "length", "digits", "upper", "distinct", "letter_to_digit", "digit_to_letter", "case_changes", "vowel_pairs",
     "consonant_runs", "punctuation", "hex_only", "digits_only", "dictionary", "prefix", "dots", "at_sign",
-    "assigning", "harmless", "assigned", "quoted", "repeated", "test_path",
+    "assigning", "harmless", "assigned", "quoted", "repeated", "test_path", "named", "symbols", "spaces", "letters_only",
+    "lower_only", "code", "placeholder",
 )
 
 
@@ -53,15 +76,18 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         "path",
         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
+        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)).alias("heads"),
         F.split("text", CANDIDATE, -1).alias("gaps"),
     ).withColumn("lengths", F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda c, g: F.length(c) + F.length(g)))
     pieces = F.transform(
         "found",
         lambda c, i: F.struct(
-            (F.aggregate(F.slice("lengths", F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) - F.length(c) + 1).alias("start"),
-            c.alias("candidate"),
-            F.right(F.get("gaps", i), F.lit(NEAR)).alias("before"),
-            F.left(F.get("gaps", i + 1), F.lit(NEAR)).alias("after"),
+            (
+                F.aggregate(F.slice("lengths", F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) - F.length(c) + F.length(F.get("heads", i)) + 1
+            ).alias("start"),
+            F.substr(c, F.length(F.get("heads", i)) + 1).alias("candidate"),
+            F.right(F.concat(F.get("gaps", i), F.get("heads", i)), F.lit(NEAR)).alias("before"),
+            F.left(F.concat(F.get("gaps", i + 1), F.coalesce(F.get("heads", i + 1), F.lit(""))), F.lit(NEAR)).alias("after"),
         ),
     )
     return rows.select("doc_id", "path", F.inline(pieces))
@@ -92,7 +118,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "hex_only": yes(low.rlike("^[0-9a-f]+$")),
         "digits_only": yes(text.rlike(r"^[0-9.\-]+$")),
         "dictionary": (F.length(low) - F.length(F.regexp_replace(low, f"({DICTIONARY})", ""))) / size,
-        "prefix": yes(text.rlike("^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza|eyJ|glpat-|SG[.])")),
+        "prefix": yes(text.rlike(f"^({PREFIX})")),
         "dots": _share(text, "[.]"),
         "at_sign": yes(before.rlike("@$") | after.startswith("@")),
         "assigning": yes(before.rlike(f"({ASSIGNING})")),
@@ -101,6 +127,13 @@ def with_features(found: DataFrame) -> DataFrame:
         "quoted": yes(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         "repeated": yes(text.rlike(r"(.)\1{4,}")),
         "test_path": yes(path.rlike(f"({TEST_PATH})")),
+        "named": yes(before.rlike(rf"(token|secret|passw|pwd|api.?key|credential|access.?key|private.?key|bearer)[\w.\-]*[\"'`\]]*\s*[=:>]*\s*[\"'`]?$")),
+        "symbols": _share(text, r"[^A-Za-z0-9_+/=.\-\s]"),
+        "spaces": _share(text, r"\s"),
+        "letters_only": yes(low.rlike("^[a-z]+$")),
+        "lower_only": yes(text.rlike(r"^[a-z\s]+$")),
+        "code": yes(after.rlike(r"^\s?[(\[{]")),
+        "placeholder": yes(low.rlike(r"^[<$%{\[]|[>}\]]$|^(none|null|true|false|self[.].*|changeme|redacted|\*+|x+|[.]+)$|os[.]environ|your|example|placeholder")),
     }
     return found.withColumns({name: values[name].cast("double") for name in FEATURES})
 
@@ -114,6 +147,12 @@ def labelled_findings(spark: SparkSession, count: int = 3000) -> DataFrame:
     hex_, h2 = "md5(cast(id as string))", "sha2(concat('s', id), 256)"
     b64 = "translate(base64(unhex(sha2(concat('b', id), 256))), '=', 'A')"
     word = "element_at(array('service','message','handler','release','content','thention','ingreat','request'), cast(id % 8 + 1 as int))"
+    name = "element_at(array('password', 'secret', 'token', 'api_key', 'DB_PASSWORD', 'client_secret', 'pwd', 'auth_token'), cast(id / 13 % 8 + 1 as int))"
+    weak = "element_at(array('key', 'author', 'client', 'access', 'session', 'keyboard', 'private', 'the key'), cast(id / 13 % 8 + 1 as int))"
+    small = "translate(substr(md5(concat('w', id)), {}, {}), '0123456789abcdef', 'lmnoprstuiaeeaio')"
+    lower, lower2, number = small.format(1, "6 + id % 5"), small.format(12, "5 + id % 4"), "cast(id * 7 % 90 + 1 as string)"
+    password = "concat(substr(base64(unhex(md5(concat('p', id)))), 1, 5), element_at(array('&', '!', '$', '@', '#', '-'), cast(id / 5 % 6 + 1 as int)), id % 10, substr(base64(unhex(md5(concat('q', id)))), 1, 2 + cast(id % 9 as int)), element_at(array('!', '', '#', '?'), cast(id / 3 % 4 + 1 as int)))"
+    letters = "translate(substr(base64(unhex(sha2(concat('l', id), 256))), 1, 16 + cast(id % 20 as int)), '0123456789+/=', 'QwErTyUiOpAsD')"
     kinds = [  # candidate, before, after, label
         (f"substr({h2}, 1, 40)", "element_at(array('token = \"', 'secret: \"', 'api_key=\"', 'auth_token = \"'), cast(id / 23 % 4 + 1 as int))", "'\"'", 1),
         (f"upper(substr({h2}, 1, 40))", "'TOKEN = \"'", "'\"'", 1),
@@ -124,6 +163,31 @@ def labelled_findings(spark: SparkSession, count: int = 3000) -> DataFrame:
         (f"concat('eyJ', {b64}, '.', substr({b64}, 3, 30))", "'Bearer '", "''", 1),
         (f"concat('sk_live_', substr({b64}, 1, 24))", "'key: '", "''", 1),
         (f"substr({h2}, 3, 40)", "'the word token = \"'", "'\" and on'", 1),
+        (password, f"concat({name}, ' = \"')", "'\"'", 1),
+        (password, f"concat({name}, ': ')", "element_at(array('', ' and', ', '), cast(id / 31 % 3 + 1 as int))", 1),
+        (f"substr({password}, 1, 8)", f"concat({name}, '=\"')", "'\"'", 1),
+        (f"concat({lower}, {lower})", "element_at(array('password = \"', 'passwd: \"', 'secret = \"', 'db_password=\"'), cast(id / 23 % 4 + 1 as int))", "'\"'", 1),
+        (f"concat({lower}, {number}, {lower}, {number})", f"concat({name}, ' = \"')", "'\"'", 1),
+        (letters, f"concat({name}, ': \"')", "'\"'", 1),
+        (letters, f"concat({name}, '=')", "''", 1),
+        (f"concat_ws(' ', {lower}, {lower2}, {lower}, {number})", "element_at(array('password = \"', 'passphrase: \"', 'secret = \"'), cast(id / 23 % 3 + 1 as int))", "'\"'", 1),
+        (f"substr({h2}, 1, 40)", "element_at(array('API_KEY=', 'export SECRET=', '?access_token=', 'AUTH_TOKEN='), cast(id / 23 % 4 + 1 as int))", "element_at(array('', '&page=1', ' '), cast(id / 31 % 3 + 1 as int))", 1),
+        (f"concat('ghp_', substr({b64}, 1, 36))", "element_at(array('GITHUB_TOKEN=', 'token=', 'git clone x?token='), cast(id / 23 % 3 + 1 as int))", "''", 1),
+        (lower, f"concat({weak}, ': ')", "element_at(array(' and', '', ', the'), cast(id / 31 % 3 + 1 as int))", 0),
+        (word, f"concat({weak}, ' = ')", "element_at(array('', '(', ' + 1'), cast(id / 31 % 3 + 1 as int))", 0),
+        (word, f"concat({name}, ': ')", "' and'", 0),
+        (lower, "element_at(array('token: ', 'the secret: ', 'password: '), cast(id / 23 % 3 + 1 as int))", "' is'", 0),
+        (f"concat('get_', {word}, '.next')", f"concat({name}, ' = ')", "'('", 0),
+        (f"concat('self.', {word})", f"concat({name}, '=')", "''", 0),
+        (f"concat({word}, ' ', {lower}, ' ', {word})", f"concat({weak}, ' = \"')", "'\"'", 0),
+        (f"concat_ws(' ', {lower}, {lower2}, {lower}, {lower2})", f"concat({weak}, ' = \"')", "'\"'", 0),
+        (f"concat('20', 10 + id % 20, '-', 10 + id % 3, '-', 10 + id % 19)", f"concat({weak}, ': ')", "''", 0),
+        (f"concat('https://www.', {lower}, '.com/', {word})", f"concat({weak}, ': \"')", "'\"'", 0),
+        ("cast(id * 37 + 1000 as string)", f"concat({weak}, '=')", "''", 0),
+        (f"concat('${{', upper({word}), '}}')", f"concat({name}, ' = \"')", "'\"'", 0),
+        ("element_at(array('changeme', 'your-password-here', '<password>', 'none', 'null', 'true', '********', 'placeholder', 'xxxxxxxx'), cast(id / 23 % 9 + 1 as int))", f"concat({name}, ' = \"')", "'\"'", 0),
+        ("element_at(array('none', 'null', 'true', 'false', 'request', 'value'), cast(id / 23 % 6 + 1 as int))", f"concat({name}, ' = ')", "''", 0),
+        (f"substr({h2}, 1, 40)", "element_at(array('BUILD_COMMIT=', 'sha1=', 'REVISION=', 'checksum='), cast(id / 23 % 4 + 1 as int))", "' '", 0),
         (f"substr({h2}, 1, 40)", "element_at(array('commit ', 'sha1: ', 'revision ', 'checksum = \"'), cast(id / 23 % 4 + 1 as int))", "' by'", 0),
         (h2, "'sha256:'", "''", 0),
         (hex_, "'md5 '", "''", 0),
@@ -170,8 +234,9 @@ def scan_secrets(
 
     ``start`` counts code points from 1. A null text has no finding; null ids and paths are kept; repeated rows have
     repeated findings; empty tables an empty result. Texts are read whole; other columns are not read. Documents are
-    scanned where they lie, without a shuffle. A secret of fewer than 16 characters, or without a digit, is no
-    candidate.
+    scanned where they lie, without a shuffle. Values of assigning words are candidates from 4 characters on, quoted ones
+    up to the closing quote; other runs from 16 characters on, with a digit or the prefix of a known token. A name before
+    ``=`` is no part of a secret.
     """
     model = model or train_forest(labelled_findings(docs.sparkSession))
     scored = model.transform(with_features(candidates(docs, id_col, text_col, path_col)))
