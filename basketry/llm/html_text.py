@@ -8,6 +8,7 @@ by the gradient of its log-likelihood; Viterbi decoding then labels the blocks o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -54,6 +55,9 @@ CUES = frozenset(
     "policy settings previous next page skip read more tags categories archive posted sponsor".split()
 )
 
+#: A cue holds for a block that has it once in so many of all its words; up to this length once is enough.
+CUE_WORDS = 60
+
 
 @dataclass(frozen=True)
 class Block:
@@ -146,7 +150,8 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     found = []
     for at, block in enumerate(blocks):
         words = block.text.split()
-        cues = {w for w in (x.strip(".,:;!?()©&").lower() for x in words[:60]) if w in CUES}
+        counts = Counter(w for w in (x.strip(".,:;!?()©&").lower() for x in words) if w in CUES)
+        cues = {w for w, n in counts.items() if n * CUE_WORDS >= len(words)}
         tags = [t for t in block.tags if t not in ("html", "body", "div", "span")]
         found.append(
             [

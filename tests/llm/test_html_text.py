@@ -85,3 +85,11 @@ def test_edges(spark, chain, clashing):
     found = rows(extract_text(clashing(pages), chain), "page_id", "url", "n_chars")
     assert found == [(None, "u", 0), (1, None, 0), (2, "v", 33 * 3000 - 1), (2, "v", 33 * 3000 - 1)]
     assert extract_text(pages.limit(0), chain).count() == 0
+
+
+def test_cues_of_all_words():
+    """Cues late in a long block count; a word now and then in a long article does not."""
+    cues = lambda text: {f for f in block_features(leaf_blocks(f"<p>{text}</p>"))[0] if f.startswith("cue ")}
+    assert cues("word " * 70 + "consent to cookies, consent. " * 2) == {"cue consent", "cue cookies"}
+    assert cues("word " * 59 + "consent") == {"cue consent"}
+    assert cues("consent " + "word " * 400) == set()
