@@ -9,9 +9,12 @@ decides the cuts: every row is ranked, and any cuts give the same ranks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from basketry.sources.tables import save_table, scratch_root
+
 GIANT_ROWS = 1_000_000
 #: Pieces for each ``giant_rows`` rows of giant groups.
 PIECES_PER_GIANT = 4
@@ -99,3 +102,36 @@ def group_rank(
         )
 
     return add_pieces(pieced(df), pieced(giants), keys, order, into)
+
+
+def shuffle_tasks(frame: DataFrame) -> int:
+    """Partitions of a shuffle whose number is to be told: ``spark.sql.shuffle.partitions``."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str, root: str | None = None) -> DataFrame:
+    """1-based position inside each group of ``keys`` in the total ``order``, as a bigint, whatever the groups' sizes.
+
+    The rows are dealt over ranges of (keys, order), so a group of any size lies in as many partitions as its share
+    of the rows asks for. They are written once, sorted, each with its place in its partition. A group's rows in one
+    partition are consecutive, so all that remains is an offset for each (group, partition), of which there are no
+    more than groups and partitions together. No list of cuts is gathered, and no row is ranked by a window.
+    Null keys are a group. Rows that tie on the whole order are ranked in any order.
+    """
+    by = [*(F.col(k) for k in keys), *order]
+    dealt = rows.repartitionByRange(shuffle_tasks(rows), *by).sortWithinPartitions(*by)
+    placed = dealt.withColumn("__at", F.monotonically_increasing_id())
+    placed = save_table(placed, root or scratch_root(rows.sparkSession), f"placed-{uuid4().hex}")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        placed.groupBy(*keys, "__part")
+        .agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+        .select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), F.col("__part").alias("__of"), (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    )
+    if not keys:
+        runs = F.broadcast(runs)  # a row for each partition
+    same = F.col("__part") == F.col("__of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return placed.join(runs, same).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias(into))
