@@ -1,9 +1,7 @@
 """Exact ``row_number`` for groups too large for one task.
 
-A plain window ranks each group inside one task. Here a giant group is cut into ordered pieces, each piece is
-ranked on its own, and the sizes of the earlier pieces are added.
-Where to cut is read off a small sample of the sort keys, so no key distribution is assumed. The sample only
-decides the cuts: every row is ranked, and any cuts give the same ranks.
+A plain window ranks each group inside one task. For groups of any size the rows are dealt over ranges of the order
+instead, numbered where they lie, and shifted by the sizes of the earlier ranges.
 """
 
 from __future__ import annotations
@@ -16,92 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from basketry.sources.tables import save_table, scratch_root
 
 GIANT_ROWS = 1_000_000
-#: Pieces for each ``giant_rows`` rows of giant groups.
-PIECES_PER_GIANT = 4
-
-
-def heaviest(sizes: DataFrame, size: str, keys: Sequence[str], min_rows: int = GIANT_ROWS) -> DataFrame:
-    """Keys of the groups of ``min_rows`` rows or more: at most one key for every ``min_rows`` rows of the data.
-
-    With a million rows to a giant, 10^12 rows have at most a million giants, some ten MB: enough to broadcast.
-    """
-    return sizes.where(F.col(size) >= min_rows).select(*keys)
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str, is_heavy: Column) -> DataFrame:
-    """``rows`` left-joined with ``table``, whose few heavy keys are broadcast and whose other keys are shuffled.
-
-    ``is_heavy`` holds for keys of ``table`` that have very many ``rows``, so no hot key is left for the shuffle.
-    """
-    heavy = table.where(is_heavy).withColumn("__heavy", F.lit(True))
-    near = rows.join(F.broadcast(heavy), key, "left")
-    far = near.where(F.col("__heavy").isNull()).select(*rows.columns).join(table.where(~is_heavy), key, "left")
-    return near.where(F.col("__heavy")).drop("__heavy").unionByName(far)
-
-
-def _piece() -> Column:
-    """How many of the sorted ``__cuts`` are at or below ``__key``, by binary search."""
-    return F.expr(
-        """aggregate(
-            sequence(1, cast(ceil(log2(size(__cuts) + 2)) AS int)),
-            named_struct('low', 0, 'high', size(__cuts)),
-            (span, step) -> CASE
-                WHEN span.low >= span.high THEN span
-                WHEN get(__cuts, shiftright(span.low + span.high, 1)) <= __key
-                    THEN named_struct('low', shiftright(span.low + span.high, 1) + 1, 'high', span.high)
-                ELSE named_struct('low', span.low, 'high', shiftright(span.low + span.high, 1)) END,
-            span -> span.low)"""
-    )
-
-
-def add_pieces(rows: DataFrame, split: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str) -> DataFrame:
-    """``row_number`` over ``keys``, computed per ``keys`` and ``__piece``.
-
-    ``split`` holds the rows of the groups that have more than one piece. Its piece counts meet the ranked rows
-    on the partitioning the window has left behind, so the rows are shuffled once.
-    """
-    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        split.groupBy(*keys, "__piece")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*keys, "__piece", F.sum("__rows").over(earlier).alias("__offset"))
-        .where(F.col("__offset").isNotNull())
-    )
-    within = Window.partitionBy(*keys, "__piece").orderBy(*order)
-    return (
-        rows.withColumn("__rank", F.row_number().over(within))
-        .join(offsets, [*keys, "__piece"], "left")
-        .withColumn(into, F.col("__rank") + F.coalesce("__offset", F.lit(0).cast("bigint")))
-        .drop("__piece", "__rank", "__offset")
-    )
-
-
-def group_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    into: str,
-    is_giant: Column,
-    giant_rows: int = GIANT_ROWS,
-) -> DataFrame:
-    """1-based position inside each group of ``keys`` in the ascending, total ``order``, as a bigint.
-
-    Groups whose rows satisfy ``is_giant`` are ranked in pieces, the others whole. The cuts are those keys whose
-    hash picks them, ``PIECES_PER_GIANT`` in ``giant_rows`` rows, so there are as many as the data needs.
-    """
-    key = F.struct(*[F.col(k) for k in keys], *[o.alias(f"o{i}") for i, o in enumerate(order)])
-    giants = df.where(is_giant)
-    one_in = max(1, giant_rows // PIECES_PER_GIANT)
-    sample = giants.select(key.alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0)
-    cuts = sample.agg(F.sort_array(F.collect_set("key"))).scalar()
-
-    def pieced(rows: DataFrame) -> DataFrame:
-        piece = F.when(is_giant, _piece()).otherwise(-1)
-        return (
-            rows.withColumns({"__cuts": cuts, "__key": key}).withColumn("__piece", piece).drop("__cuts", "__key")
-        )
-
-    return add_pieces(pieced(df), pieced(giants), keys, order, into)
 
 
 def shuffle_tasks(frame: DataFrame) -> int:
@@ -109,6 +21,14 @@ def shuffle_tasks(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Whether all keys agree; nulls agree with nulls."""
+    same = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        same &= F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
 def range_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str, root: str | None = None) -> DataFrame:
     """1-based position inside each group of ``keys`` in the total ``order``, as a bigint, whatever the groups' sizes.
 
@@ -123,15 +43,43 @@ def range_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], in
     placed = dealt.withColumn("__at", F.monotonically_increasing_id())
     placed = save_table(placed, root or scratch_root(rows.sparkSession), f"placed-{uuid4().hex}")
     placed = placed.withColumn("__part", F.shiftright("__at", 33))
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    own = [f"__key{i}" for i in range(len(keys))]
+    earlier = Window.partitionBy(*own).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
-        placed.groupBy(*keys, "__part")
+        placed.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col("__part").alias("__of"))
         .agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-        .select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), F.col("__part").alias("__of"), (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+        .withColumn("__shift", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1)
     )
     if not keys:
         runs = F.broadcast(runs)  # a row for each partition
-    same = F.col("__part") == F.col("__of")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__key{i}"))
-    return placed.join(runs, same).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias(into))
+    found = placed.join(runs, (F.col("__part") == F.col("__of")) & same_keys(keys, own))
+    return found.select(*rows.columns, (F.col("__at") + F.col("__shift")).alias(into))
+
+
+def group_rank(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str, giants: DataFrame | None, root: str | None = None
+) -> DataFrame:
+    """1-based position inside each group of ``keys`` in the ascending ``order``, as a bigint.
+
+    Groups whose keys are in the written table ``giants`` are ranked by :func:`range_rank`, the others by a window.
+    Spark knows the size of a written table: it broadcasts a small one and divides hot keys of a join with a large one.
+    """
+    by_window = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    if giants is None or giants.isEmpty():
+        return rows.withColumn(into, by_window)
+    own = [f"__giant{i}" for i in range(len(keys))]
+    named = giants.select(*(F.col(k).alias(o) for k, o in zip(keys, own)))
+    same = same_keys(keys, own)
+    large = rows.join(named, same, "left_semi")
+    return rows.join(named, same, "left_anti").withColumn(into, by_window).unionByName(range_rank(large, keys, order, into, root))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, is_heavy: Column) -> DataFrame:
+    """``rows`` left-joined with ``table``, whose few heavy keys are broadcast and whose other keys are shuffled.
+
+    ``is_heavy`` holds for keys of ``table`` that have very many ``rows``, so no hot key is left for the shuffle.
+    """
+    heavy = table.where(is_heavy).withColumn("__heavy", F.lit(True))
+    near = rows.join(F.broadcast(heavy), key, "left")
+    far = near.where(F.col("__heavy").isNull()).select(*rows.columns).join(table.where(~is_heavy), key, "left")
+    return near.where(F.col("__heavy")).drop("__heavy").unionByName(far)

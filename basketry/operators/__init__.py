@@ -7,12 +7,16 @@ from basketry.operators.splits import (
     SplitSpec,
     collection_lengths,
     hash_split,
+    hidden_part,
+    hidden_rows,
     holdout_budget,
     holdout_context,
     holdout_rank,
     holdout_targets,
     split_counts,
     train_interactions,
+    visible_part,
+    visible_rows,
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 
@@ -23,6 +27,8 @@ __all__ = [
     "flatten_collections",
     "flatten_interactions",
     "hash_split",
+    "hidden_part",
+    "hidden_rows",
     "hits_and_dcg",
     "holdout_budget",
     "holdout_context",
@@ -44,4 +50,6 @@ __all__ = [
     "split_counts",
     "split_summary",
     "train_interactions",
+    "visible_part",
+    "visible_rows",
 ]

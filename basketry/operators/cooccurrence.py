@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketry.functions.ranking import GIANT_ROWS, lookup
+from basketry.functions.ranking import GIANT_ROWS, lookup, shuffle_tasks
 from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, by_rank, with_popularity
+from basketry.sources.tables import save_table, scratch_root
 
 # Largest number of items of one collection that meet those of another block of it in one join key.
 BLOCK_ITEMS = 1024
 # Contexts, and pairs, of one item that meet in one join key: about a million votes.
 BLOCK_ROWS = 1024
+# Partners of an item, strongest first, that vote before it is known which collections need more.
+SORTED_PARTNERS = 1000
+
+
+def sized_items(train: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``pid, track_id, occurrences, most, blocks`` of the collections that hold two items or more.
+
+    ``most``: the largest occurrence of an item in the collection. ``blocks``: of ``block_items`` items, how many it has.
+    """
+    known = train.where(F.col("track_id").isNotNull() & F.col("pid").isNotNull())
+    counted = known.groupBy("pid", "track_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    # Reading "occurrences" keeps this the same shuffle as the one above, which Spark then runs once.
+    items = F.count_if(F.col("occurrences") > 0)
+    sizes = counted.groupBy("pid").agg(F.ceil(items / F.lit(block_items)).cast("int").alias("blocks"), items.alias("items"), F.max("occurrences").alias("most"))
+    return counted.join(sizes.where(F.col("items") > 1), "pid").select("pid", "track_id", "occurrences", "most", "blocks")
+
 
+def support_bounds(sized: DataFrame) -> DataFrame:
+    """``track_id, bound``: no pair with the item can have more support.
 
-def _tasks(frame: DataFrame) -> int:
-    """Partitions of a join that multiplies its rows: all of them, whatever the size of its inputs suggests."""
-    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    An item meets another one in a collection at most as often as its own occurrences times the collection's largest.
+    Decimal, as a product of counts may pass 64 bits.
+    """
+    product = F.col("occurrences").cast("decimal(19,0)") * F.col("most").cast("decimal(19,0)")
+    return sized.groupBy("track_id").agg(F.sum(product.cast("decimal(28,0)")).alias("bound"))
 
 
 def cooccurrence_pairs(
@@ -25,59 +49,43 @@ def cooccurrence_pairs(
     min_candidate_popularity: int = 5,
     block_items: int = BLOCK_ITEMS,
     head_items: int = HEAD_ITEMS,
+    root: str | None = None,
 ) -> DataFrame:
     """``context_track_id, candidate_track_id, pair_support, candidate_popularity`` of ordered item pairs.
 
-    Support is the number of (context, candidate) occurrence pairs over all collections. ``popularity`` has to
-    cover the items of ``train``; an item without a rank is an error, not a pair that is silently missing.
+    Support is the number of (context, candidate) occurrence pairs over all collections. ``popularity``, a written
+    table, has to cover the items of ``train``; an item without a rank is an error, not a pair that is silently missing.
 
     * Repeats inside a collection are counted once and weigh in by multiplication.
+    * An item whose pairs cannot reach the support (:func:`support_bounds`) is left out before any pair is made, and so
+      is a collection with one item left.
     * Items travel as their popularity rank, two numbers per pair whatever the type of the ids.
     * Support is symmetric, so each unordered pair is counted once, more popular item first; an item below
       the popularity floor can then only be the second one. Both directions are written after the count.
     * A collection of n items makes n * n comparisons. Beyond ``block_items`` items they are divided over
       (block, block) keys, so the work of one key is bounded; all pairs of blocks meet.
     """
-    counted = (
-        train.where(F.col("track_id").isNotNull())
-        .groupBy("pid", "track_id")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
-    )
+    root = root or scratch_root(train.sparkSession)
+    sized = save_table(sized_items(train, block_items), root, f"sized-{uuid4().hex}")
     uncovered = F.raise_error(F.concat(F.lit("popularity has no row for the item "), F.col("track_id").cast("string")))
-    items = (
-        with_popularity(counted, popularity, head_items)
-        .where(F.col("pid").isNotNull())
-        .select("pid", F.coalesce("popularity_rank", uncovered.cast("bigint")).alias("popularity_rank"), "train_frequency", "occurrences")
-    )
-    # Reading "occurrences" keeps this the same shuffle as the one above, which Spark then runs once.
-    distinct_items = F.count_if(F.col("occurrences") > 0)
-    large = (
-        counted.groupBy("pid")
-        .agg(F.ceil(distinct_items / F.lit(block_items)).cast("int").alias("blocks"))
-        .where(F.col("blocks") > 1)
-    )
-    placed = (
-        lookup(items, large, "pid", F.col("blocks") * block_items >= GIANT_ROWS)
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("popularity_rank"), F.col("blocks")).cast("int"))
-    )
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    popular = placed.where(F.col("train_frequency") >= min_candidate_popularity).select(
-        "pid",
-        F.col("block").alias("block_a"),
-        every_block.alias("block_b"),
-        F.col("popularity_rank").alias("a"),
-        F.col("occurrences").alias("times_a"),
+    able = support_bounds(sized).where(F.col("bound") >= min_pair_support).select("track_id")
+    items = able.join(popularity, "track_id", "left").select(
+        "track_id", F.coalesce("popularity_rank", uncovered.cast("bigint")).alias("popularity_rank"), "train_frequency"
     )
-    rarer = placed.select(
-        "pid",
-        every_block.alias("block_a"),
-        F.col("block").alias("block_b"),
-        F.col("popularity_rank").alias("b"),
-        F.col("occurrences").alias("times_b"),
-    )
-    keys = ["pid", "block_a", "block_b"]
-    tasks = _tasks(train)
+    items = save_table(items, root, f"able-{uuid4().hex}")
+    placed = with_popularity(sized, items, head_items).where(F.col("popularity_rank").isNotNull())
+    keys = ["pid"]
+    a, b = [F.col("popularity_rank").alias("a")], [F.col("popularity_rank").alias("b")]
+    if not sized.where(F.col("blocks") > 1).isEmpty():
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("popularity_rank"), F.col("blocks")).cast("int"))
+        every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        keys += ["block_a", "block_b"]
+        a += [F.col("block").alias("block_a"), every_block.alias("block_b")]
+        b += [F.col("block").alias("block_b"), every_block.alias("block_a")]
+    popular = placed.where(F.col("train_frequency") >= min_candidate_popularity).select("pid", *a, F.col("occurrences").alias("times_a"))
+    rarer = placed.select("pid", *b, F.col("occurrences").alias("times_b"))
+    # A join that multiplies its rows uses all partitions, whatever the size of its inputs suggests.
+    tasks = shuffle_tasks(train)
     support = (
         popular.repartition(tasks, *keys)
         .join(rarer.repartition(tasks, *keys), keys)
@@ -106,32 +114,23 @@ def cooccurrence_pairs(
     return named.select("context_track_id", "candidate_track_id", "pair_support", "candidate_popularity")
 
 
-def _block_counts(rows: DataFrame, key: str, block_rows: int, into: str) -> DataFrame:
-    """How many blocks of ``block_rows`` a key needs, for the keys that need more than one."""
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-    return rows.groupBy(key).agg(blocks.alias(into)).where(F.col(into) > 1)
-
-
 def _most(*blocks: str) -> Column:
     return F.greatest(*(F.coalesce(b, F.lit(1)) for b in blocks))
 
 
-def recommend_cooccurrence(
-    context: DataFrame, pairs: DataFrame, max_k: int, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Per collection the ``max_k`` unseen items with the largest summed support from its context.
-
-    An item occurring twice in the context counts twice. Ties go to the more popular, then the lower id.
+def _votes(weights: DataFrame, partners: DataFrame, block_rows: int) -> DataFrame:
+    """``pid, track_id, votes, candidate_popularity``: each item of a context with each of its ``partners``.
 
     An item in w contexts and d pairs takes part in w * d votes. Either side is divided into blocks of about
     ``block_rows`` rows and all blocks meet, so the votes of a frequent item are spread over many tasks.
     """
-    known = context.where(F.col("track_id").isNotNull() & F.col("pid").isNotNull())
-    weights = known.groupBy("pid", "track_id").agg(F.count(F.lit(1)).alias("occurrences"))
-    partners = pairs.withColumnRenamed("context_track_id", "track_id")
-    blocks = _block_counts(weights, "track_id", block_rows, "context_blocks").join(
-        _block_counts(partners, "track_id", block_rows, "pair_blocks"), "track_id", "full"
-    )
+
+    def block_counts(rows: DataFrame, into: str) -> DataFrame:
+        """How many blocks an item needs, where it needs more than one."""
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+        return rows.groupBy("track_id").agg(blocks.alias(into)).where(F.col(into) > 1)
+
+    blocks = block_counts(weights, "context_blocks").join(block_counts(partners, "pair_blocks"), "track_id", "full")
 
     def placed(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
         heavy = _most("context_blocks", "pair_blocks") * block_rows >= GIANT_ROWS
@@ -145,8 +144,8 @@ def recommend_cooccurrence(
         )
 
     keys = ["track_id", "context_block", "pair_block"]
-    tasks = _tasks(context)
-    votes = (
+    tasks = shuffle_tasks(weights)
+    return (
         placed(weights, "pid", "context", "pair")
         .repartition(tasks, *keys)
         .join(placed(partners, "candidate_track_id", "pair", "context").repartition(tasks, *keys), keys)
@@ -157,11 +156,17 @@ def recommend_cooccurrence(
             "candidate_popularity",
         )
     )
-    # The context itself enters the same aggregation as rows without votes: one shuffle and no join finds
-    # both the scores and the items to leave out.
+
+
+def _scores(votes: DataFrame, known: DataFrame) -> DataFrame:
+    """``pid, track_id, votes, candidate_popularity`` of the items that are not in the collection.
+
+    The context itself enters the same aggregation as rows without votes: one shuffle and no join finds both the
+    scores and the items to leave out.
+    """
     nothing = F.lit(None).cast("bigint")
     own = known.select("pid", "track_id", nothing.alias("votes"), nothing.alias("candidate_popularity"))
-    scores = (
+    return (
         votes.withColumn("seen", F.lit(0))
         .unionByName(own.withColumn("seen", F.lit(1)))
         .groupBy("pid", "track_id")
@@ -171,11 +176,99 @@ def recommend_cooccurrence(
             F.max("seen").alias("seen"),
         )
         .where(F.col("seen") == 0)
+        .drop("seen")
     )
-    best_first = Window.partitionBy("pid").orderBy(F.desc("votes"), F.desc("candidate_popularity"), "track_id")
+
+
+_BEST_FIRST = (F.desc, "votes"), (F.desc, "candidate_popularity"), (F.asc, "track_id")
+
+
+def _top(scores: DataFrame, max_k: int) -> DataFrame:
+    """The first ``max_k`` of each collection with their ``rank``; Spark cuts them before the shuffle too."""
+    best_first = Window.partitionBy("pid").orderBy(*(f(c) for f, c in _BEST_FIRST))
+    return scores.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= max_k)
+
+
+@dataclass(frozen=True)
+class VoteSteps:
+    """The tables of an early end: what each step compares is there to be counted."""
+
+    #: ``track_id`` of the items with more partners than voted at first, and the support that the next one has at most.
+    cut_items: DataFrame
+    #: Votes of the strongest partners.
+    first: DataFrame
+    #: Collections that the first votes settle but for the exact scores of some candidates.
+    settled: DataFrame
+    #: Those candidates, with the votes they have.
+    contenders: DataFrame
+    #: Votes of weaker partners for them.
+    looked_up: DataFrame
+    #: Votes of all partners in the other collections.
+    rest: DataFrame
+
+
+def vote_steps(weights: DataFrame, known: DataFrame, partners: DataFrame, max_k: int, depth: int, block_rows: int, root: str) -> VoteSteps | None:
+    """A threshold algorithm over partners sorted by support; None if no item has more than ``depth`` of them.
+
+    Of each item the ``depth`` strongest partners vote first. What a collection's items have left out bounds what any
+    candidate can still gain there: occurrences times the support of the first partner left out, summed. If the
+    ``max_k``-th best candidate is above that, no candidate without a vote can reach the list; and of those with votes only
+    the ones within the bound of it are scored in full, by looking up the collection's items. All other collections vote
+    in full.
+    """
+    sorted_partners = Window.partitionBy("track_id").orderBy(F.desc("pair_support"), "candidate_track_id")
+    ranked = partners.withColumn("place", F.row_number().over(sorted_partners)).where(F.col("place") <= depth + 1)
+    ranked = save_table(ranked, root, f"strongest-{uuid4().hex}")
+    cut = ranked.where(F.col("place") == depth + 1).select("track_id", F.col("pair_support").alias("next_support"), F.col("candidate_track_id").alias("next_partner"))
+    if cut.isEmpty():
+        return None
+    strongest = ranked.where(F.col("place") <= depth).select(*partners.columns)
+    first = _votes(weights, strongest, block_rows)
+    partial = save_table(_scores(first, known), root, f"partial-{uuid4().hex}")
+    gain = weights.join(cut, "track_id").groupBy("pid").agg(F.sum(F.col("occurrences") * F.col("next_support")).alias("gain"))
+    gain = save_table(gain, root, f"gain-{uuid4().hex}")
+    last = _top(partial, max_k).where(F.col("rank") == max_k).select("pid", F.col("votes").alias("last_votes"))
+    bounds = known.select("pid").distinct().join(gain, "pid", "left").join(last, "pid", "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+    bounds = bounds.withColumn("settled", (F.col("gain") == 0) | F.coalesce(F.col("last_votes") > F.col("gain"), F.lit(False)))
+    bounds = save_table(bounds, root, f"bounds-{uuid4().hex}")
+    settled = bounds.where("settled")
+    near = F.col("last_votes").isNull() | (F.col("votes") + F.col("gain") >= F.col("last_votes"))
+    contenders = partial.join(settled, "pid").where(near).select("pid", "track_id", "votes", "candidate_popularity")
+    contenders = save_table(contenders, root, f"contenders-{uuid4().hex}")
+    # What the contenders have yet to get: from items with partners left out, those partners.
+    left_out = (F.col("pair_support") < F.col("next_support")) | (
+        (F.col("pair_support") == F.col("next_support")) & (F.col("candidate_track_id") >= F.col("next_partner"))
+    )
+    weaker = partners.join(cut, "track_id").where(left_out).select(F.col("track_id").alias("of_item"), F.col("candidate_track_id").alias("track_id"), "pair_support", "candidate_popularity")
+    of_cut = weights.join(cut.select("track_id"), "track_id", "left_semi").withColumnRenamed("track_id", "of_item")
+    asked = contenders.select("pid", "track_id").join(settled.where("gain > 0").select("pid"), "pid", "left_semi")
+    looked_up = asked.join(of_cut, "pid").join(weaker, ["of_item", "track_id"])
+    looked_up = looked_up.select("pid", "track_id", (F.col("occurrences") * F.col("pair_support")).alias("votes"), "candidate_popularity")
+    rest = _votes(weights.join(bounds.where("NOT settled").select("pid"), "pid", "left_semi"), partners, block_rows)
+    return VoteSteps(cut, first, settled, contenders, looked_up, rest)
+
+
+def recommend_cooccurrence(
+    context: DataFrame, pairs: DataFrame, max_k: int, block_rows: int = BLOCK_ROWS, depth: int = SORTED_PARTNERS, root: str | None = None
+) -> DataFrame:
+    """Per collection the ``max_k`` unseen items with the largest summed support from its context.
+
+    An item occurring twice in the context counts twice. Ties go to the more popular, then the lower id. Where items
+    have more than ``depth`` partners, :func:`vote_steps` ends early where the result is certain; no list is cut short
+    elsewhere. Both inputs are read several times: pass written tables.
+    """
+    root = root or scratch_root(context.sparkSession)
+    known = context.where(F.col("track_id").isNotNull() & F.col("pid").isNotNull())
+    weights = known.groupBy("pid", "track_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    partners = pairs.withColumnRenamed("context_track_id", "track_id")
+    many = partners.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > depth)
+    steps = None if many.isEmpty() else vote_steps(weights, known, partners, max_k, depth, block_rows, root)
+    if steps is None:
+        scores = _scores(_votes(weights, partners, block_rows), known)
+    else:
+        scores = _scores(steps.contenders.unionByName(steps.looked_up).unionByName(steps.rest), known)
     return (
-        scores.withColumn("rank", F.row_number().over(best_first))
-        .where(F.col("rank") <= max_k)
+        _top(scores, max_k)
         .withColumn("baseline_name", F.lit("cooccurrence"))
         .withColumn("score", F.col("votes").cast("double"))
         .select(*RECOMMENDATION)

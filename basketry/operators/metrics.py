@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,14 +11,25 @@ from basketry.functions.checks import validate_ks
 
 BASELINES = ("popularity", "cooccurrence")
 METRICS = ("recall", "precision", "ndcg")
+# Shares and gains are summed as whole numbers of this part of one, so that no result depends on the order of addition.
+UNITS = 1e12
 
 
 def _k_list(ks: Sequence[int]) -> Column:
     return F.array(*[F.lit(k) for k in validate_ks(ks)])
 
 
+def _units(share: Column) -> Column:
+    """A number as a whole number of units, rounded half up."""
+    return F.round(share * F.lit(UNITS)).cast("decimal(20,0)")
+
+
+def _of_units(units: Column) -> Column:
+    return units.cast("double") / F.lit(UNITS)
+
+
 def _gain(rank: Column) -> Column:
-    return F.lit(1.0) / F.log2(rank + F.lit(1))
+    return _units(F.lit(1.0) / F.log2(rank + F.lit(1)))
 
 
 def ideal_dcg(target_count: Column | str, k: Column | str) -> Column:
@@ -25,7 +37,8 @@ def ideal_dcg(target_count: Column | str, k: Column | str) -> Column:
     count, cutoff = (F.col(c) if isinstance(c, str) else c for c in (target_count, k))
     best = F.least(count.cast("int"), cutoff.cast("int"))
     ranks = F.when(best > 0, F.sequence(F.lit(1), best)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(ranks, F.lit(0.0), lambda total, rank: total + _gain(rank))
+    none = F.lit(0).cast("decimal(30,0)")
+    return _of_units(F.aggregate(ranks, none, lambda total, rank: (total + _gain(rank)).cast("decimal(30,0)")))
 
 
 def relevant_items(targets: DataFrame) -> DataFrame:
@@ -38,16 +51,17 @@ def target_counts(targets: DataFrame) -> DataFrame:
 
 def hits_and_dcg(recommendations: DataFrame, targets: DataFrame, ks: Sequence[int]) -> DataFrame:
     """``baseline_name, pid, k, hit_count, dcg`` for every collection with recommendations, in one pass."""
-    hit = relevant_items(targets).withColumn("hit", F.lit(1.0))
+    hit = relevant_items(targets).withColumn("hit", F.lit(1))
     judged = recommendations.select("baseline_name", "pid", "rank", "track_id").join(hit, ["pid", "track_id"], "left")
 
     def within(k: int) -> Column:
-        hits = F.when(F.col("rank") <= k, F.coalesce("hit", F.lit(0.0))).otherwise(0.0)
+        listed = F.col("rank") <= k
+        found = listed & F.col("hit").isNotNull()
         return F.struct(
             F.lit(k).alias("k"),
-            F.sum(F.when(F.col("rank") <= k, F.lit(1)).otherwise(0)).alias("listed"),
-            F.sum(hits).alias("hit_count"),
-            F.sum(hits * _gain(F.col("rank"))).alias("dcg"),
+            F.count_if(listed).alias("listed"),
+            F.count_if(found).cast("double").alias("hit_count"),
+            _of_units(F.coalesce(F.sum(F.when(found, _gain(F.col("rank")))), F.lit(0))).alias("dcg"),
         )
 
     return (
@@ -78,9 +92,9 @@ def ranking_metrics(
         hits.join(counts, "pid")
         .groupBy("baseline_name", "k")
         .agg(
-            F.sum(F.col("hit_count") / F.col("target_count")).alias("recall"),
-            F.sum(F.col("hit_count") / F.col("k")).alias("precision"),
-            F.sum(F.col("dcg") / ideal_dcg("target_count", "k")).alias("ndcg"),
+            F.sum(_units(F.col("hit_count") / F.col("target_count"))).alias("recall"),
+            F.sum(_units(F.col("hit_count") / F.col("k"))).alias("precision"),
+            F.sum(_units(F.col("dcg") / ideal_dcg("target_count", "k"))).alias("ndcg"),
         )
     )
     asked = (
@@ -93,7 +107,7 @@ def ranking_metrics(
     return asked.join(F.broadcast(sums), ["baseline_name", "k"], "left").select(
         "baseline_name",
         "k",
-        *[(F.coalesce(m, F.lit(0.0)) / F.col("collections")).alias(m) for m in METRICS],
+        *[(F.coalesce(m, F.lit(0)).cast("double") / (F.col("collections") * F.lit(UNITS))).alias(m) for m in METRICS],
     )
 
 
@@ -102,7 +116,7 @@ REPORT_NAMES = {"recall": "Recall", "precision": "Precision", "ndcg": "NDCG"}
 
 
 def metrics_report(metrics: DataFrame) -> DataFrame:
-    """One row ``baselines``: recommender -> ``Recall@k`` ... -> value. ``write.json`` gives the report file."""
+    """One row ``baselines``: recommender -> ``Recall@k`` ... -> value, keys sorted."""
     named = metrics.select(
         "baseline_name",
         F.inline(
@@ -118,5 +132,10 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("values")
     )
     return per_baseline.agg(
-        F.map_from_entries(F.collect_list(F.struct("baseline_name", "values"))).alias("baselines")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("baseline_name", "values")), lambda a, b: F.when(a["baseline_name"] < b["baseline_name"], -1).otherwise(1))).alias("baselines")
     )
+
+
+def report_json(metrics: DataFrame) -> str:
+    """The report as one JSON document: keys sorted, two blanks a level. ``metrics`` has a row per recommender and cutoff."""
+    return json.dumps({"baselines": metrics_report(metrics).first().baselines or {}}, indent=2, sort_keys=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from basketry.functions.ranking import GIANT_ROWS, group_rank
+from basketry.functions.ranking import range_rank
 
 # Rows of the popularity table that are broadcast: a fixed number of short rows at any data size. They hold
 # the most frequent items, so every item with a large share of the rows is among them.
@@ -17,36 +17,29 @@ BLOCK_RANKS = 1024
 RECOMMENDATION = ("baseline_name", "pid", "rank", "track_id", "score")
 
 
-def item_popularity(train: DataFrame, giant_rows: int = GIANT_ROWS) -> DataFrame:
+def item_popularity(train: DataFrame, root: str | None = None) -> DataFrame:
     """``track_id, train_frequency, popularity_rank``: occurrences per item, ranked by them, ties by id.
 
-    The rank is the number of items of higher frequency plus the rank among those of equal frequency; no task
-    sees all items. N rows have at most sqrt(2 N) different frequencies, so the histogram stays small. A
-    frequency that very many items share, such as 1, is ranked in pieces.
+    The items are dealt over ranges of (frequency, id), so no task sees all of them or all of one frequency, however
+    many items share it. The table between the two steps lies in ``root``, or in a scratch folder.
     """
     frequency = train.groupBy("track_id").agg(F.count(F.lit(1)).alias("train_frequency"))
-    higher = Window.orderBy(F.desc("train_frequency")).rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        frequency.groupBy("train_frequency")
-        .agg(F.count(F.lit(1)).alias("sharing"))
-        .withColumn("above", F.coalesce(F.sum("sharing").over(higher), F.lit(0)))
-    )
-    placed = group_rank(
-        frequency.join(F.broadcast(histogram), "train_frequency"),
-        ["train_frequency"],
-        [F.col("track_id")],
-        "place",
-        is_giant=F.col("sharing") >= giant_rows,
-        giant_rows=giant_rows,
-    )
-    return placed.select("track_id", "train_frequency", (F.col("above") + F.col("place")).alias("popularity_rank"))
+    return range_rank(frequency, [], [F.desc("train_frequency"), F.col("track_id")], "popularity_rank", root)
+
+
+def _fits(items: DataFrame, head_items: int) -> bool:
+    """Whether a table is no larger than a head; of a written table that is read off its files' footers."""
+    return items.limit(head_items + 1).count() <= head_items
 
 
 def with_popularity(rows: DataFrame, popularity: DataFrame, head_items: int = HEAD_ITEMS) -> DataFrame:
     """``rows`` left-joined with frequency and rank by ``track_id``.
 
-    Frequent items meet the broadcast head; what remains has no hot key and is joined by shuffle.
+    Frequent items meet the broadcast head; what remains has no hot key and is joined by shuffle. A table that is no
+    larger than the head is all head.
     """
+    if _fits(popularity, head_items):
+        return rows.join(F.broadcast(popularity), "track_id", "left")
     near = rows.join(F.broadcast(popularity.where(F.col("popularity_rank") <= head_items)), "track_id", "left")
     found = F.col("popularity_rank").isNotNull()
     tail = popularity.where(F.col("popularity_rank") > head_items)
@@ -57,6 +50,8 @@ def with_popularity(rows: DataFrame, popularity: DataFrame, head_items: int = HE
 def by_rank(rows: DataFrame, rank: str, popularity: DataFrame, head_items: int = HEAD_ITEMS) -> DataFrame:
     """``rows`` joined with the items at popularity rank ``rank``, broadcast head and shuffled tail as above."""
     items = popularity.withColumnRenamed("popularity_rank", rank)
+    if _fits(items, head_items):
+        return rows.join(F.broadcast(items), rank)
     in_head = F.col(rank) <= head_items
     head = rows.where(in_head).join(F.broadcast(items.where(in_head)), rank)
     return head.unionByName(rows.where(~in_head).join(items.where(~in_head), rank))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions.checks import validate_ratios
 from basketry.functions.hashing import MODULUS, hash_score
-from basketry.functions.ranking import GIANT_ROWS, add_pieces, heaviest
+from basketry.functions.ranking import GIANT_ROWS, group_rank, same_keys
+from basketry.sources.tables import save_table, scratch_root
 
 INTERACTION = ("pid", "pos", "track_id", "artist_id", "album_id", "duration_ms")
 EVALUATION = ("validation", "test")
@@ -115,41 +117,25 @@ def holdout_rank(
     names: Sequence[str] = EVALUATION,
     splits_from_spec: bool = False,
     giant_rows: int = GIANT_ROWS,
+    root: str | None = None,
 ) -> DataFrame:
     """Interactions of the evaluation collections with a pseudo-random rank inside each collection.
 
     ``splits_from_spec=True`` says that :func:`hash_split` made ``splits`` with this ``spec``. The hash then
     drops the rows of all other collections before the join, so that only evaluation rows are shuffled.
 
-    A collection of ``giant_rows`` items or more is ranked in pieces. The score is uniform, so equal ranges of it
-    hold about equally many rows, and nothing has to be sampled to find them. Its rows know their piece before they
-    meet the budget, which has a row for each piece: they are spread over tasks however the two are joined.
+    Collections of ``giant_rows`` items or more are ranked by ranges, the others by a window on the partitioning that
+    the join has made. ``splits`` is read twice, once to find the giants: pass a written table if it is dear to make.
+    Where only the hidden or the visible part is wanted, :func:`hidden_rows` and :func:`visible_rows` rank nothing else.
     """
+    root = root or scratch_root(interactions.sparkSession)
     budget = holdout_budget(splits.where(F.col("split").isin(*names)), spec)
-    giants = heaviest(budget, "playlist_length", ["pid", "split", "playlist_length"], giant_rows).select(
-        "pid", "split", (F.ceil(F.col("playlist_length") / F.lit(giant_rows)) + 1).alias("pieces")
-    )
-
-    def pieced(how: str) -> DataFrame:
-        rows = _evaluation_rows(interactions, spec, names, splits_from_spec).join(F.broadcast(giants), "pid", how)
-        piece = F.floor(spec.mask_score() * F.col("pieces") / F.lit(MODULUS))
-        return rows.withColumn("__piece", F.coalesce(piece, F.lit(0))).withColumnRenamed("split", "__giant_split")
-
-    budgets = budget.join(F.broadcast(giants), ["pid", "split"], "left").withColumn(
-        "__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)) - 1))
-    )
-    # A collection that stands in two splits has rows of either; each meets the budget of its own.
-    rows = (
-        pieced("left")
-        .drop("pieces")
-        .join(budgets.select("pid", "__piece", "split", "hidden_count"), ["pid", "__piece"])
-        .where(F.col("__giant_split").isNull() | (F.col("__giant_split") == F.col("split")))
-        .withColumn("mask_score", spec.mask_score())
-    )
+    giants = save_table(budget.where(F.col("playlist_length") >= giant_rows).select("pid").distinct(), root, f"giants-{uuid4().hex}")
+    rows = _evaluation_rows(interactions, spec, names, splits_from_spec)
+    judged = rows.join(budget.select("pid", "split", "hidden_count"), "pid").withColumn("mask_score", spec.mask_score())
     order = [F.col(c) for c in MASK_ORDER]
-    return add_pieces(rows, pieced("inner"), ["pid"], order, "mask_rank").select(
-        *INTERACTION, "split", "hidden_count", "mask_score", "mask_rank"
-    )
+    ranked = group_rank(judged, ["pid"], order, "mask_rank", giants, root)
+    return ranked.select(*INTERACTION, "split", "hidden_count", "mask_score", "mask_rank")
 
 
 def holdout_context(ranked: DataFrame, name: str) -> DataFrame:
@@ -157,25 +143,84 @@ def holdout_context(ranked: DataFrame, name: str) -> DataFrame:
     return ranked.where((F.col("split") == name) & (F.col("mask_rank") > F.col("hidden_count"))).select(*INTERACTION)
 
 
-def holdout_targets(
-    interactions: DataFrame, splits: DataFrame, spec: SplitSpec, name: str, splits_from_spec: bool = False
+def hidden_rows(
+    interactions: DataFrame,
+    splits: DataFrame,
+    spec: SplitSpec,
+    names: Sequence[str] = EVALUATION,
+    splits_from_spec: bool = False,
 ) -> DataFrame:
-    """The hidden part of the collections of one split, without ranking the rest.
+    """The rows of :func:`holdout_rank` that are hidden, without ranking the rest.
 
-    Only the first ``max_hidden`` ranks matter, and the split is given, so rows are scored and cut before they meet
-    the budget. Spark applies the literal bound before the shuffle: a collection of any size reaches its task as a
-    few rows per partition.
+    Only the first ``max_hidden`` ranks matter, so rows are scored and cut before they meet the budget. Spark applies
+    the literal bound before the shuffle: a collection of any size reaches its task as a few rows per partition.
     """
-    budget = holdout_budget(splits.where(F.col("split") == name), spec).select("pid", "hidden_count")
-    rows = _evaluation_rows(interactions, spec, [name], splits_from_spec).where(F.col("pid").isNotNull())
-    order = Window.partitionBy("pid").orderBy(*MASK_ORDER)
+    budget = holdout_budget(splits.where(F.col("split").isin(*names)), spec).select("pid", "split", "hidden_count")
+    rows = _evaluation_rows(interactions, spec, names, splits_from_spec).where(F.col("pid").isNotNull())
+    # The score depends on the split: the hash tells it, or else each is scored for itself.
+    if splits_from_spec:
+        labelled = rows.withColumn("split", spec.hash_label())
+    else:
+        labelled = rows.withColumn("split", F.explode(F.array(*(F.lit(n) for n in names))))
+    order = Window.partitionBy("pid", "split").orderBy(*MASK_ORDER)
     first = (
-        rows.withColumn("split", F.lit(name))
-        .withColumn("mask_score", spec.mask_score())
+        labelled.withColumn("mask_score", spec.mask_score())
         .withColumn("mask_rank", F.row_number().over(order))
         .where(F.col("mask_rank") <= spec.max_hidden)
     )
-    return hidden_part(first.join(budget, "pid"), name)
+    return (
+        first.join(budget, ["pid", "split"])
+        .where(F.col("mask_rank") <= F.col("hidden_count"))
+        .select(*INTERACTION, "split", "hidden_count", "mask_score", F.col("mask_rank").cast("bigint").alias("mask_rank"))
+    )
+
+
+def mask_cutoffs(hidden: DataFrame) -> DataFrame:
+    """``pid, split, cutoff, hidden_copies``: the last hidden row of each collection, as the struct of ``MASK_ORDER``.
+
+    ``hidden_copies``: how many hidden rows are equal to it; rows that repeat each other may be parted by the cut. Of a
+    collection at most ``max_hidden`` rows are gathered.
+    """
+    keys = F.collect_list(F.struct(*MASK_ORDER))
+    return (
+        hidden.groupBy("pid", "split")
+        .agg(keys.alias("keys"))
+        .withColumn("cutoff", F.array_max("keys"))
+        .select("pid", "split", "cutoff", F.size(F.filter("keys", lambda k: k == F.array_max("keys"))).alias("hidden_copies"))
+    )
+
+
+def visible_rows(
+    interactions: DataFrame,
+    hidden: DataFrame,
+    spec: SplitSpec,
+    names: Sequence[str] = EVALUATION,
+    splits_from_spec: bool = False,
+) -> DataFrame:
+    """``split`` and the rows of its collections that :func:`hidden_rows` has left: those beyond the collection's cut-off.
+
+    No row is ranked. A collection meets one cut-off, in a join that Spark may broadcast or, where a collection is
+    giant, divide: its rows need no order and no company. ``hidden`` is read more than once: pass a written table.
+    """
+    rows = _evaluation_rows(interactions, spec, names, splits_from_spec)
+    cuts = mask_cutoffs(hidden.where(F.col("split").isin(*names)))
+    key = F.struct(*MASK_ORDER)
+    beyond = rows.join(cuts, "pid").withColumn("mask_score", spec.mask_score()).where(key > F.col("cutoff"))
+    # Copies of the last hidden row, of which only as many are hidden as were ranked. They meet it by all they hold, so
+    # that nothing hinders Spark from dividing the join above.
+    last = cuts.select(F.col("pid").alias("of"), "split", "hidden_copies", *(F.col(f"cutoff.{c}").alias(f"last_{c}") for c in MASK_ORDER[1:]))
+    same = same_keys(("pid", *MASK_ORDER[1:]), ("of", *(f"last_{c}" for c in MASK_ORDER[1:])))
+    copies = rows.join(last, same).groupBy("split", "hidden_copies", *INTERACTION).agg(F.count(F.lit(1)).alias("copies"))
+    spare = F.explode(F.array_repeat(F.lit(1), (F.col("copies") - F.col("hidden_copies")).cast("int")))
+    rest = copies.where(F.col("copies") > F.col("hidden_copies")).select("split", *INTERACTION, spare.alias("copy")).drop("copy")
+    return beyond.select("split", *INTERACTION).unionByName(rest)
+
+
+def holdout_targets(
+    interactions: DataFrame, splits: DataFrame, spec: SplitSpec, name: str, splits_from_spec: bool = False
+) -> DataFrame:
+    """The hidden part of the collections of one split, without ranking the rest."""
+    return hidden_part(hidden_rows(interactions, splits, spec, [name], splits_from_spec), name)
 
 
 def hidden_part(ranked: DataFrame, name: str) -> DataFrame:
@@ -183,5 +228,10 @@ def hidden_part(ranked: DataFrame, name: str) -> DataFrame:
     return ranked.where((F.col("split") == name) & (F.col("mask_rank") <= F.col("hidden_count"))).select(*INTERACTION)
 
 
+def visible_part(visible: DataFrame, name: str) -> DataFrame:
+    """The rows of one split among those of :func:`visible_rows`."""
+    return visible.where(F.col("split") == name).select(*INTERACTION)
+
+
 def split_counts(splits: DataFrame) -> DataFrame:
     return splits.groupBy("split").agg(F.count(F.lit(1)).alias("playlists"))

@@ -1,7 +1,8 @@
 """The three batch jobs: documents -> tables, tables -> splits, splits -> recommendations and metrics.
 
 Each job writes its tables and goes on from what it wrote: nothing is computed twice, no lineage grows from
-job to job, and a lost executor costs no more than one table.
+job to job, and a lost executor costs no more than one table. A job's tables appear together when it has ended; a job
+that fails leaves its output folder as it was.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basketry.functions.checks import validate_ks
 from basketry.operators.cooccurrence import cooccurrence_pairs, recommend_cooccurrence, recommendations_union
 from basketry.operators.flatten import flatten_collections, flatten_interactions, item_dimension
-from basketry.operators.metrics import metrics_report, ranking_metrics
+from basketry.operators.metrics import metrics_report, ranking_metrics, report_json
 from basketry.operators.popularity import item_popularity, recommend_popular
 from basketry.operators.sampling import restrict_run_tables
 from basketry.operators.splits import (
@@ -22,13 +23,14 @@ from basketry.operators.splits import (
     collection_lengths,
     hash_split,
     hidden_part,
-    holdout_context,
-    holdout_rank,
+    hidden_rows,
     train_interactions,
+    visible_part,
+    visible_rows,
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 from basketry.sources.documents import collections_of, read_documents
-from basketry.sources.tables import check_targets, exists, held, load_layer, save_table, save_tables, scratch, table_path
+from basketry.sources.tables import exists, held, layer, load_layer, save_table, save_tables, scratch, table_path, write_text
 
 SILVER = ("playlists", "tracks", "playlist_tracks")
 GOLD = (
@@ -56,8 +58,7 @@ def ingest(
     The JSON text is parsed once. The tables are then cut from a columnar copy, each reading only the nested
     fields it needs. The copy lies in ``scratch_dir``, or below ``spark.checkpoint.dir``, and is removed at the end.
     """
-    check_targets(spark, output_dir, SILVER, overwrite)
-    with scratch(spark, scratch_dir) as root:
+    with layer(spark, output_dir, SILVER, overwrite) as staged, scratch(spark, scratch_dir) as root:
         documents = save_table(read_documents(spark, input_dir, **read_options), root, "documents")
         collections = collections_of(documents)
         tables = {
@@ -65,7 +66,7 @@ def ingest(
             "tracks": item_dimension(collections),
             "playlist_tracks": flatten_interactions(collections),
         }
-        save_tables(tables, output_dir, overwrite)
+        save_tables(tables, staged)
         return held(_with_paths(ingest_summary(documents), input_dir, output_dir, SILVER))
 
 
@@ -89,21 +90,19 @@ def build_splits(
     ``complete_headers=True`` says that every collection with interactions has a header row, as after
     :func:`ingest`; most train rows then need no join.
     """
-    check_targets(spark, output_dir, GOLD, overwrite)
-    silver = load_layer(spark, input_dir, ("playlists", "playlist_tracks"))
-    interactions = silver["playlist_tracks"]
-    labels = hash_split(collection_lengths(silver["playlists"], interactions), spec)
-    splits = save_table(labels, output_dir, "playlist_splits", overwrite)
-    train = train_interactions(interactions, splits, spec if complete_headers else None)
-    ranked = holdout_rank(interactions, splits, spec, splits_from_spec=True)
-    with scratch(spark, scratch_dir) as root:
-        ranked = save_table(ranked, root, "holdout")
-        tables = {"train_playlist_tracks": train}
+    with layer(spark, output_dir, GOLD, overwrite) as staged, scratch(spark, scratch_dir) as root:
+        silver = load_layer(spark, input_dir, ("playlists", "playlist_tracks"))
+        interactions = silver["playlist_tracks"]
+        labels = hash_split(collection_lengths(silver["playlists"], interactions), spec)
+        splits = save_table(labels, staged, "playlist_splits")
+        hidden = save_table(hidden_rows(interactions, splits, spec, splits_from_spec=True), root, "hidden")
+        visible = save_table(visible_rows(interactions, hidden, spec, splits_from_spec=True), root, "visible")
+        tables = {"train_playlist_tracks": train_interactions(interactions, splits, spec if complete_headers else None)}
         for name in EVALUATION:
-            tables[f"{name}_context"] = holdout_context(ranked, name)
-            tables[f"{name}_targets"] = hidden_part(ranked, name)
-        save_tables(tables, output_dir, overwrite)
-    return _with_paths(split_summary(splits), input_dir, output_dir, GOLD)
+            tables[f"{name}_context"] = visible_part(visible, name)
+            tables[f"{name}_targets"] = hidden_part(hidden, name)
+        save_tables(tables, staged)
+        return held(_with_paths(split_summary(splits), input_dir, output_dir, GOLD))
 
 
 def run_baselines(
@@ -123,34 +122,33 @@ def run_baselines(
 ) -> tuple[DataFrame, DataFrame]:
     """Both recommenders on the validation split, scored; returns the metrics and a one-row summary."""
     cutoffs = validate_ks(ks)
-    check_targets(spark, output_dir, ARTIFACTS, overwrite)
     metrics_path = f"{output_dir.rstrip('/')}/{METRICS_FILE}"
     if not overwrite and exists(spark, output_dir) and exists(spark, metrics_path):
         raise FileExistsError(f"already written: {metrics_path}")
-    gold = load_layer(spark, input_dir, ("train_playlist_tracks", "validation_context", "validation_targets"))
     sizes = (None, None) if full_data else (train_sample_size, validation_sample_size)
-    with scratch(spark, scratch_dir) as root:
+    with layer(spark, output_dir, ARTIFACTS, overwrite) as staged, scratch(spark, scratch_dir) as root:
+        gold = load_layer(spark, input_dir, ("train_playlist_tracks", "validation_context", "validation_targets"))
         run = dict(zip(("train", "context", "targets"), restrict_run_tables(*gold.values(), *sizes, seed, hash_fn)))
         if not full_data:
             run = {name: save_table(rows, root, name) for name, rows in run.items()}
         train, context, targets = run.values()
 
-        popularity = save_table(item_popularity(train), output_dir, "track_popularity", overwrite)
-        counts = cooccurrence_pairs(train, popularity, min_pair_support, min_candidate_popularity)
-        pairs = save_table(counts, output_dir, "cooccurrence_pairs", overwrite)
+        popularity = save_table(item_popularity(train, root), staged, "track_popularity")
+        counts = cooccurrence_pairs(train, popularity, min_pair_support, min_candidate_popularity, root=root)
+        pairs = save_table(counts, staged, "cooccurrence_pairs")
         both = recommendations_union(
-            recommend_popular(context, popularity, max(cutoffs)), recommend_cooccurrence(context, pairs, max(cutoffs))
+            recommend_popular(context, popularity, max(cutoffs)),
+            recommend_cooccurrence(context, pairs, max(cutoffs), root=root),
         )
-        recommendations = save_table(both, output_dir, "validation_recommendations", overwrite)
+        recommendations = save_table(both, staged, "validation_recommendations")
         metrics = held(ranking_metrics(recommendations, targets, cutoffs))
-        report = metrics_report(metrics)
-        report.write.mode("overwrite" if overwrite else "errorifexists").json(metrics_path)
+        write_text(spark, f"{staged}/{METRICS_FILE}", report_json(metrics))
         summary = _with_paths(run_summary(train, context, full_data), input_dir, output_dir, ARTIFACTS)
         summary = summary.withColumns(
             {
                 "k_values": F.array(*[F.lit(k) for k in cutoffs]),
                 "metrics_path": F.lit(metrics_path),
-                "metrics": report.select("baselines").scalar(),
+                "metrics": metrics_report(metrics).select("baselines").scalar(),
             }
         )
         return metrics, held(summary)

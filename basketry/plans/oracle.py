@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from basketry.plans.queries import KS, MAX_K, PLACES, TRAIN_SAMPLE, VALIDATION_SAMPLE
+from basketry.plans.queries import KS, MAX_K, TRAIN_SAMPLE, VALIDATION_SAMPLE
 
 K_LIST = ", ".join(str(k) for k in KS)
 INTERACTION = "pid, pos, track_id, artist_id, album_id, duration_ms"
 LAST = "9223372036854775807"
+# Shares and gains are summed as whole numbers of this part of one.
+UNITS = "1e12::DOUBLE"
+
+
+def _units(share: str) -> str:
+    return f"round(({share})::DOUBLE * {UNITS})::DECIMAL(20,0)"
+
+
+IDEAL = f"(SELECT sum({_units('1 / log2(r + 1)')})::DOUBLE / {UNITS} FROM range(1, 1000) ideal(r) WHERE r <= k AND r <= target_count)"
 
 
 def _score(text: str) -> str:
@@ -104,15 +113,15 @@ CTES = {
     "target_counts": "SELECT pid, count(*) AS target_count FROM relevant GROUP BY pid",
     "hits": f"""
         SELECT baseline_name, r.pid, k, sum(CASE WHEN v.pid IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS hit_count,
-            sum(CASE WHEN v.pid IS NULL THEN 0.0::DOUBLE ELSE 1 / log2(rank + 1) END) AS dcg
+            sum(CASE WHEN v.pid IS NULL THEN 0 ELSE {_units("1 / log2(rank + 1)")} END)::DOUBLE / {UNITS} AS dcg
         FROM recommendations r JOIN unnest([{K_LIST}]) cutoffs(k) ON rank <= k
             LEFT JOIN relevant v ON v.pid = r.pid AND v.track_id = r.track_id
         GROUP BY ALL""",
     "metrics": f"""
-        SELECT baseline_name, k, avg(coalesce(hit_count, 0) / target_count) AS recall,
-            avg(coalesce(hit_count, 0) / k) AS precision,
-            avg(coalesce(dcg, 0) / (SELECT sum(1 / log2(r + 1)) FROM range(1, 1000) ideal(r)
-                WHERE r <= k AND r <= target_count)) AS ndcg
+        SELECT baseline_name, k,
+            sum({_units("coalesce(hit_count, 0) / target_count")})::DOUBLE / (count(*) * {UNITS}) AS recall,
+            sum({_units("coalesce(hit_count, 0) / k")})::DOUBLE / (count(*) * {UNITS}) AS precision,
+            sum({_units(f"coalesce(dcg, 0) / {IDEAL}")})::DOUBLE / (count(*) * {UNITS}) AS ndcg
         FROM (FROM target_counts, unnest(['popularity', 'cooccurrence']) names(baseline_name),
             unnest([{K_LIST}]) cutoffs(k)) LEFT JOIN hits USING (baseline_name, pid, k)
         GROUP BY ALL""",
@@ -163,7 +172,6 @@ def oracle_sql() -> dict[str, str]:
     )
     name = "CASE WHEN c_nationkey = 0 THEN '  ' WHEN c_nationkey < 5 THEN '  ' || c_name || ' ' ELSE c_name END"
     sampled = _sample(f"({CTES['context']})", "validation", VALIDATION_SAMPLE)
-    rounded_metrics = ", ".join(f"round({m}, {PLACES}) AS {m}" for m in ("recall", "precision", "ndcg"))
     return {
         "scan_nested_json": _sql(f"""
             SELECT 7::INTEGER AS slice_start, 1006::INTEGER AS slice_end,
@@ -196,7 +204,9 @@ def oracle_sql() -> dict[str, str]:
         "source_slice_range": _plain("""
             SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::INTEGER END AS slice_start,
                 CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey + 999)::INTEGER END AS slice_end FROM orders"""),
-        "write_tables": "SELECT c_custkey AS pid, c_name AS name FROM customer",
+        "write_tables": _plain("""
+            SELECT c_custkey AS pid, c_name AS name, NULL::BIGINT AS num_tracks, (SELECT count(*) FROM lineitem) AS items
+            FROM customer"""),
         "load_layer": _plain("""
             SELECT 'customer' AS "table", count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders
             UNION ALL SELECT 'lineitem', count(*) FROM lineitem"""),
@@ -247,14 +257,14 @@ def oracle_sql() -> dict[str, str]:
         "recommend_cooccurrence": _sql("SELECT * FROM cooccurring"),
         "recommendations_union": _sql("SELECT * FROM recommendations"),
         "ideal_dcg": _plain(f"""
-            SELECT target_count, k, round(sum(1 / log2(r + 1)), {PLACES}) AS idcg
+            SELECT target_count, k, sum({_units("1 / log2(r + 1)")})::DOUBLE / {UNITS} AS idcg
             FROM (SELECT DISTINCT count(DISTINCT l_partkey) AS target_count FROM lineitem GROUP BY l_orderkey),
                 unnest([1, 3, {K_LIST}]) cutoffs(k), range(1, 101) ideal(r)
             WHERE r <= target_count AND r <= k GROUP BY ALL"""),
-        "hits_and_dcg": _sql(f"SELECT baseline_name, pid, k, hit_count, round(dcg, {PLACES}) AS dcg FROM hits"),
-        "ranking_metrics": _sql(f"SELECT baseline_name, k, {rounded_metrics} FROM metrics"),
+        "hits_and_dcg": _sql(f"SELECT baseline_name, pid, k, hit_count, dcg FROM hits"),
+        "ranking_metrics": _sql(f"SELECT baseline_name, k, recall, precision, ndcg FROM metrics"),
         "metrics_report": _sql(" UNION ALL ".join(
-            f"SELECT baseline_name, '{label}@' || k AS metric, round({m}, {PLACES}) AS value FROM metrics"
+            f"SELECT baseline_name, '{label}@' || k AS metric, {m} AS value FROM metrics"
             for m, label in (("recall", "Recall"), ("precision", "Precision"), ("ndcg", "NDCG"))
         )),
         "ingest_summary": _sql("""
@@ -265,15 +275,15 @@ def oracle_sql() -> dict[str, str]:
         "run_summary": _sql("""
             SELECT true AS full_data_mode, count(DISTINCT pid) AS sampled_train_playlists,
                 (SELECT count(DISTINCT pid) FROM context) AS sampled_validation_playlists FROM train"""),
-        "end_to_end": _sql(f"SELECT baseline_name, k, {rounded_metrics} FROM metrics"),
+        "end_to_end": _sql(f"SELECT baseline_name, k, recall, precision, ndcg FROM metrics"),
         "end_to_end_sampled": _sql(
-            f"SELECT baseline_name, k, {rounded_metrics} FROM metrics",
+            f"SELECT baseline_name, k, recall, precision, ndcg FROM metrics",
             train=f"SELECT * FROM ({CTES['train']}) WHERE pid IN ({_sample(f'({CTES["train"]})', 'train', TRAIN_SAMPLE)})",
             context=f"SELECT * FROM ({CTES['context']}) WHERE pid IN ({sampled})",
             targets=f"SELECT * FROM ({CTES['targets']}) WHERE pid IN ({sampled})",
         ),
         "end_to_end_documents": _sql(
-            f"SELECT baseline_name, k, {rounded_metrics} FROM metrics",
+            f"SELECT baseline_name, k, recall, precision, ndcg FROM metrics",
             baskets="SELECT pid, pos, track_id, artist_id, album_id, duration_ms FROM cleaned_items WHERE pid IS NOT NULL AND pos IS NOT NULL",
             lengths="""SELECT c_custkey AS pid, coalesce(n, items) AS playlist_length FROM document_collections
                 LEFT JOIN (SELECT pid, count(*) AS n FROM baskets GROUP BY pid) b ON c_custkey = b.pid

@@ -6,33 +6,29 @@ tables between the steps to a scratch folder, as the jobs do.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.functions.text import clean_text, last_segment_id, source_slice_range
 from basketry.operators.cooccurrence import cooccurrence_pairs, recommend_cooccurrence, recommendations_union
 from basketry.operators.flatten import flatten_collections, flatten_interactions, item_dimension
-from basketry.operators.metrics import (
-    METRICS,
-    hits_and_dcg,
-    ideal_dcg,
-    metrics_report,
-    ranking_metrics,
-    target_counts,
-)
+from basketry.operators.metrics import hits_and_dcg, ideal_dcg, metrics_report, ranking_metrics, target_counts
 from basketry.operators.popularity import item_popularity, popularity_candidates, recommend_popular
 from basketry.operators.sampling import restrict_run_tables, sample_collections
 from basketry.operators.splits import (
     SplitSpec,
     collection_lengths,
     hash_split,
+    hidden_part,
+    hidden_rows,
     holdout_budget,
-    holdout_context,
     holdout_rank,
     holdout_targets,
     split_counts,
     train_interactions,
+    visible_part,
+    visible_rows,
 )
 from basketry.operators.summaries import ingest_summary, run_summary, split_summary
 from basketry.plans import standin
@@ -46,12 +42,6 @@ SPEC = SplitSpec(hash_fn="md5")
 KS = (10, 50, 100)
 MAX_K = max(KS)
 TRAIN_SAMPLE, VALIDATION_SAMPLE = 500, 25
-# Decimals kept of floating sums, whose last digits depend on the order of addition.
-PLACES = 9
-
-
-def _rounded(frame: DataFrame, names: Sequence[str]) -> DataFrame:
-    return frame.withColumns({n: F.round(n, PLACES) for n in names})
 
 
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +53,13 @@ def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_split(collection_lengths(standin.headers(spark, sf_dir), items), SPEC)
 
 
+def _holdout(baskets: DataFrame, splits: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Visible and hidden rows of the validation split, each written once."""
+    hidden = save_table(hidden_rows(baskets, splits, SPEC, ["validation"], splits_from_spec=True), root, "hidden")
+    visible = visible_rows(baskets, hidden, SPEC, ["validation"], splits_from_spec=True)
+    return visible_part(save_table(visible, root, "visible"), "validation"), hidden_part(hidden, "validation")
+
+
 class _Run:
     """Train, context and targets of the validation split, and what is built on them, each written once."""
 
@@ -72,28 +69,25 @@ class _Run:
         baskets = standin.baskets(spark, sf_dir)
         items = standin.customer_items(spark, sf_dir)
         members = splits.where(F.col("split") == "train").select("pid")
-        ranked = holdout_rank(baskets, splits, SPEC, ["validation"], splits_from_spec=True)
-        ranked = save_table(ranked, self._root, "ranked")
         self.train = items.join(members, "pid", "left_semi")
-        self.context = holdout_context(ranked, "validation")
-        self.targets = ranked.where(F.col("mask_rank") <= F.col("hidden_count"))
+        self.context, self.targets = _holdout(baskets, splits, self._root)
         self._popularity: DataFrame | None = None
 
     @property
     def popularity(self) -> DataFrame:
         if self._popularity is None:
             self.train = save_table(self.train, self._root, "train")
-            self._popularity = save_table(item_popularity(self.train), self._root, "popularity")
+            self._popularity = save_table(item_popularity(self.train, self._root), self._root, "popularity")
         return self._popularity
 
     def pairs(self) -> DataFrame:
         popularity = self.popularity
-        return save_table(cooccurrence_pairs(self.train, popularity), self._root, "pairs")
+        return save_table(cooccurrence_pairs(self.train, popularity, root=self._root), self._root, "pairs")
 
     def recommend(self) -> DataFrame:
         union = recommendations_union(
             recommend_popular(self.context, self.popularity, MAX_K),
-            recommend_cooccurrence(self.context, self.pairs(), MAX_K),
+            recommend_cooccurrence(self.context, self.pairs(), MAX_K, root=self._root),
         )
         return save_table(union, self._root, "recommendations")
 
@@ -150,8 +144,11 @@ def q_source_slice_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = write_tables({"playlists": standin.headers(spark, sf_dir)}, scratch_root(spark))
-    return spark.read.parquet(paths["playlists"]).select("pid", "name")
+    """Two tables committed together; the first is read back with all its columns, the second counted."""
+    items = standin.order_items(spark, sf_dir)
+    paths = write_tables({"playlists": standin.headers(spark, sf_dir), "items": items}, scratch_root(spark))
+    held = spark.read.parquet(paths["items"]).agg(F.count(F.lit(1)).alias("items"))
+    return spark.read.parquet(paths["playlists"]).select("pid", "name", "num_tracks").crossJoin(F.broadcast(held))
 
 
 def q_load_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,13 +187,17 @@ def q_train_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_holdout_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = holdout_rank(standin.baskets(spark, sf_dir), _splits(spark, sf_dir), SPEC, splits_from_spec=True)
+    root = scratch_root(spark)
+    splits = save_table(_splits(spark, sf_dir), root, "splits")
+    ranked = holdout_rank(standin.baskets(spark, sf_dir), splits, SPEC, splits_from_spec=True, root=root)
     return ranked.withColumn("mask_score", F.col("mask_score").cast("bigint"))
 
 
 def q_holdout_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = holdout_rank(standin.baskets(spark, sf_dir), _splits(spark, sf_dir), SPEC, ["validation"], True)
-    return holdout_context(ranked, "validation")
+    baskets, root = standin.baskets(spark, sf_dir), scratch_root(spark)
+    hidden = hidden_rows(baskets, _splits(spark, sf_dir), SPEC, ["validation"], True)
+    hidden = save_table(hidden, root, "hidden")
+    return visible_part(visible_rows(baskets, hidden, SPEC, ["validation"], True), "validation")
 
 
 def q_holdout_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,18 +215,17 @@ def q_sample_collections_histogram(spark: SparkSession, sf_dir: str) -> DataFram
 
 def q_restrict_run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     baskets, splits = standin.baskets(spark, sf_dir), _splits(spark, sf_dir)
-    ranked = holdout_rank(baskets, splits, SPEC, ["validation"], True)
     train = train_interactions(baskets, splits, SPEC)
-    targets = holdout_targets(baskets, splits, SPEC, "validation", True)
-    context = holdout_context(ranked, "validation")
+    context, targets = _holdout(baskets, splits, scratch_root(spark))
     tables = restrict_run_tables(train, context, targets, TRAIN_SAMPLE, VALIDATION_SAMPLE, hash_fn="md5")
     labelled = [rows.withColumn("run_table", F.lit(name)) for name, rows in zip(("train", "context", "targets"), tables)]
     return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    popularity = save_table(item_popularity(rows), scratch_root(rows.sparkSession), "popularity")
-    return cooccurrence_pairs(rows, popularity)
+    root = scratch_root(rows.sparkSession)
+    popularity = save_table(item_popularity(rows, root), root, "popularity")
+    return cooccurrence_pairs(rows, popularity, root=root)
 
 
 def q_item_popularity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,24 +262,24 @@ def q_ideal_dcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct part counts per order as target counts."""
     counts = target_counts(standin.order_items(spark, sf_dir)).select("target_count").distinct()
     asked = counts.select("target_count", F.explode(F.array(*[F.lit(k) for k in (1, 3, *KS)])).alias("k"))
-    return _rounded(asked.withColumn("idcg", ideal_dcg("target_count", "k")), ["idcg"])
+    return asked.withColumn("idcg", ideal_dcg("target_count", "k"))
 
 
 def q_hits_and_dcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, sf_dir)
-    return _rounded(hits_and_dcg(run.recommend(), run.targets, KS), ["dcg"])
+    return hits_and_dcg(run.recommend(), run.targets, KS)
 
 
 def q_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, sf_dir)
-    return _rounded(ranking_metrics(run.recommend(), run.targets, KS), METRICS)
+    return ranking_metrics(run.recommend(), run.targets, KS)
 
 
 def q_metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, sf_dir)
     report = metrics_report(ranking_metrics(run.recommend(), run.targets, KS))
     entries = report.select(F.explode("baselines").alias("baseline_name", "values"))
-    return _rounded(entries.select("baseline_name", F.explode("values").alias("metric", "value")), ["value"])
+    return entries.select("baseline_name", F.explode("values").alias("metric", "value"))
 
 
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,7 @@ def q_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     build_splits(spark, silver, gold, SPEC, complete_headers=True)
     metrics, _ = run_baselines(spark, gold, artifacts, KS, full_data=True, hash_fn="md5")
-    return _rounded(metrics, METRICS)
+    return metrics
 
 
 def q_end_to_end_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ def q_end_to_end_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics, _ = run_baselines(
         spark, gold, artifacts, KS, train_sample_size=TRAIN_SAMPLE, validation_sample_size=VALIDATION_SAMPLE, hash_fn="md5"
     )
-    return _rounded(metrics, METRICS)
+    return metrics
 
 
 def q_end_to_end_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +321,7 @@ def q_end_to_end_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest(spark, bronze, silver)
     build_splits(spark, silver, gold, SPEC, complete_headers=True)
     metrics, _ = run_baselines(spark, gold, artifacts, KS, full_data=True, hash_fn="md5")
-    return _rounded(metrics, METRICS)
+    return metrics
 
 
 def queries() -> dict[str, Query]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.functions.ranking import GIANT_ROWS, group_rank, heaviest
-from basketry.sources.tables import table_path
+from basketry.functions.ranking import GIANT_ROWS, group_rank
+from basketry.sources.tables import save_table, scratch_root, table_path
 
 # Collections per document, and positions per collection in one document: both bound the size of a file.
 SLICE = 1000
@@ -26,24 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def _purchases(spark: SparkSession, sf_dir: str, giant_rows: int) -> DataFrame:
-    """Order lines with customer ``pid`` and 0-based position ``pos`` among the customer's lines."""
+def _giants(spark: SparkSession, sf_dir: str, giant_rows: int, root: str) -> DataFrame | None:
+    """Customers with ``giant_rows`` order lines or more, as a written table; None if there are not so many lines at all."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if lines.count() < giant_rows:
+        return None
     order_sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     sizes = (
         order_sizes.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("pid"))
         .agg(F.sum("n").alias("n"))
     )
+    return save_table(sizes.where(F.col("n") >= giant_rows).select("pid"), root, f"giants-{uuid4().hex}")
+
+
+def _purchases(spark: SparkSession, sf_dir: str, giant_rows: int) -> DataFrame:
+    """Order lines with customer ``pid`` and 0-based position ``pos`` among the customer's lines."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     purchases = lines.join(
         orders.select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("pid")),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
-    order = [F.col(c) for c in PURCHASE_ORDER]
-    giants = heaviest(sizes, "n", ["pid"], giant_rows)
-    flagged = purchases.join(F.broadcast(giants.withColumn("giant", F.lit(True))), "pid", "left")
-    ranked = group_rank(flagged, ["pid"], order, "position", F.coalesce("giant", F.lit(False)), giant_rows)
-    return ranked.withColumn("pos", F.col("position").cast("bigint") - 1)
+    root = scratch_root(spark)
+    giants = _giants(spark, sf_dir, giant_rows, root)
+    ranked = group_rank(purchases, ["pid"], [F.col(c) for c in PURCHASE_ORDER], "position", giants, root)
+    return ranked.withColumn("pos", F.col("position") - 1)
 
 
 def baskets(spark: SparkSession, sf_dir: str, giant_rows: int = GIANT_ROWS) -> DataFrame:

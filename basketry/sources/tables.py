@@ -28,8 +28,87 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """One file of UTF-8 text on any file system that Spark reaches; fails if it is there and may not be overwritten."""
+    files, target = _files(spark, path)
+    if files.exists(target) and not overwrite:
+        raise FileExistsError(f"already written: {path}")
+    stream = files.create(target, overwrite)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+# Hidden from Spark's listings by their first character.
+STAGED = "_staged-"
+READY = "_READY"
+
+
+def _publish(spark: SparkSession, root: str, staged: str) -> None:
+    """Move everything from a complete staging folder into the layer, in place of what is there; may be repeated."""
+    files, source = _files(spark, staged)
+    _, target = _files(spark, root)
+    for status in files.listStatus(source):
+        name = status.getPath().getName()
+        if name == READY:
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(target, name)
+        files.delete(path, True)
+        if not files.rename(status.getPath(), path):
+            raise OSError(f"could not move {status.getPath()} to {path}")
+    files.delete(source, True)
+
+
+def recover_layer(spark: SparkSession, root: str) -> None:
+    """Finish a commit that was interrupted between its marker and its last move.
+
+    A staging folder with a marker holds every table that has not been moved yet, so moving on gives the whole layer.
+    One without a marker is a write under way or a broken one, and no part of the layer.
+    """
+    files, target = _files(spark, root)
+    if not files.exists(target):
+        return
+    for status in files.listStatus(target):
+        path = status.getPath()
+        if path.getName().startswith(STAGED) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, READY)):
+            _publish(spark, root, path.toString())
+
+
+@contextmanager
+def layer(spark: SparkSession, root: str, names: Iterable[str], overwrite: bool = False) -> Iterator[str]:
+    """A folder in which the tables of a layer are written, and moved to ``root`` together when the block ends.
+
+    If the block fails, nothing of it is left and the layer is as it was. The tables are moved once a marker says that
+    all of them are complete; whoever reads the layer by :func:`load_layer` after a failure between two moves finishes
+    them first. Frames over the folder are of no use after the block.
+    """
+    recover_layer(spark, root)
+    check_targets(spark, root, names, overwrite)
+    staged = f"{root.rstrip('/')}/{STAGED}{uuid4().hex}"
+    try:
+        yield staged
+    except BaseException:
+        remove(spark, staged)
+        raise
+    write_text(spark, f"{staged}/{READY}", "")
+    _publish(spark, root, staged)
+
+
 def load_layer(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
     """Open the named tables. All missing ones are named in one error, before anything is read."""
+    recover_layer(spark, root)
     paths = {name: table_path(root, name) for name in names}
     missing = [path for path in paths.values() if not exists(spark, path)]
     if missing:
@@ -61,10 +140,10 @@ def save_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = Fa
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = False) -> dict[str, str]:
-    """Write each frame as a Parquet table below ``root``, all or, if one may not be written, none."""
+    """Write each frame as a Parquet table below ``root``: all of them, or none and the layer stays as it was."""
     for frame in list(tables.values())[:1]:
-        check_targets(frame.sparkSession, root, tables, overwrite)
-    save_tables(tables, root, overwrite)
+        with layer(frame.sparkSession, root, tables, overwrite) as staged:
+            save_tables(tables, staged)
     return {name: table_path(root, name) for name in tables}
 
 
@@ -88,8 +167,7 @@ def scratch(spark: SparkSession, root: str | None = None) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def held(frame: DataFrame) -> DataFrame:

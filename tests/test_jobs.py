@@ -2,14 +2,16 @@
 
 import json
 import random
+import threading
+from pathlib import Path
 
 import pytest
 
 from basketry.operators import SplitSpec
 from basketry.plans import build_splits, ingest, run_baselines
 from basketry.plans.jobs import ARTIFACTS, GOLD, SILVER
-from basketry.sources import load_layer
-from basketry.sources.tables import scratch_root
+from basketry.sources import load_layer, write_tables
+from basketry.sources.tables import READY, layer, save_table, scratch_root, table_path
 
 
 @pytest.fixture(scope="module")
@@ -63,8 +65,10 @@ def test_jobs_in_a_row(spark, layers):
     assert run.sampled_validation_playlists == counts.validation_playlists and run.k_values == [3, 10]
     assert run.metrics["popularity"]["NDCG@3"] == metrics.where("baseline_name = 'popularity' AND k = 3").first().ndcg
     assert run.metrics_path == layers["artifacts"] + "/validation_metrics.json"
-    report = spark.read.json(layers["artifacts"] + "/validation_metrics.json").first().baselines
-    assert report.popularity["Recall@3"] == metrics.where("baseline_name = 'popularity' AND k = 3").first().recall
+    report = json.loads(Path(layers["artifacts"], "validation_metrics.json").read_text())
+    assert list(report) == ["baselines"] and sorted(report["baselines"]) == ["cooccurrence", "popularity"]
+    assert report["baselines"]["popularity"]["Recall@3"] == metrics.where("baseline_name = 'popularity' AND k = 3").first().recall
+    assert not [f.name for layer in ("silver", "gold", "artifacts") for f in Path(layers[layer]).iterdir() if f.name.startswith("_")]
 
     # A second run may not overwrite, unless asked to; the sampled mode uses fewer collections.
     with pytest.raises(FileExistsError):
@@ -120,3 +124,72 @@ def test_wrong_arguments_fail_before_any_job(spark, tmp_path):
             SplitSpec(*ratios)
     with pytest.raises(ValueError):
         run_baselines(spark, str(tmp_path), str(tmp_path), "0,5")
+
+
+def _broken(spark):
+    from pyspark.sql import functions as F
+
+    return spark.range(5).select(F.when(F.col("id") < 9, F.raise_error(F.lit("no third table"))).alias("id"))
+
+
+@pytest.mark.parametrize("overwrite", [False, True])
+def test_a_failing_table_leaves_none(spark, tmp_path, overwrite):
+    if overwrite:
+        write_tables({n: spark.range(3) for n in ("one", "two", "three")}, str(tmp_path))
+    with pytest.raises(Exception, match="no third table"):
+        write_tables({"one": spark.range(7), "two": spark.range(7), "three": _broken(spark)}, str(tmp_path), overwrite)
+    assert sorted(p.name for p in tmp_path.iterdir()) == (["one.parquet", "three.parquet", "two.parquet"] if overwrite else [])
+    if overwrite:
+        assert [t.count() for t in load_layer(spark, str(tmp_path), ("one", "two", "three")).values()] == [3, 3, 3]
+
+
+def test_a_killed_write_leaves_none(spark, tmp_path):
+    """One of three concurrent writes is cancelled while it runs."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    slow = spark.range(8).repartition(8).select(F.udf(lambda x: (time.sleep(20), x)[1], "bigint")("id").alias("id"))
+    known = {j for j in spark.sparkContext.statusTracker().getActiveJobsIds()}
+    failed = []
+
+    def write():
+        try:
+            write_tables({"one": spark.range(3), "two": slow, "three": spark.range(3)}, str(tmp_path))
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    thread = threading.Thread(target=write)
+    thread.start()
+    staged = lambda: [p.name for s in tmp_path.glob("_staged-*") for p in s.iterdir() if (p / "_SUCCESS").exists()]
+    for _ in range(300):
+        if {"one.parquet", "three.parquet"} <= set(staged()) and set(spark.sparkContext.statusTracker().getActiveJobsIds()) - known:
+            break
+        time.sleep(0.1)
+    assert not list(tmp_path.glob("*.parquet"))
+    spark.sparkContext.cancelAllJobs()
+    thread.join(60)
+    assert failed and list(tmp_path.iterdir()) == []
+
+
+def test_an_interrupted_commit_is_finished_by_the_next_reader(spark, tmp_path):
+    """A driver lost between two moves: the staging folder has its marker and the tables that were not moved."""
+    write_tables({"one": spark.range(3), "two": spark.range(3)}, str(tmp_path))
+    staged = tmp_path / "_staged-x"
+    save_table(spark.range(9), str(staged), "two")
+    (staged / READY).write_text("")
+    save_table(spark.range(9), str(tmp_path), "one", overwrite=True)
+    save_table(spark.range(1), str(tmp_path / "_staged-unfinished"), "one")
+    tables = load_layer(spark, str(tmp_path), ("one", "two"))
+    assert [t.count() for t in tables.values()] == [9, 9] and not staged.exists()
+
+
+def test_a_layer_is_not_overwritten_unasked(spark, tmp_path):
+    write_tables({"one": spark.range(3)}, str(tmp_path))
+    with pytest.raises(FileExistsError):
+        write_tables({"two": spark.range(3), "one": spark.range(4)}, str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["one.parquet"]
+    with layer(spark, str(tmp_path), ("one",), overwrite=True) as staged:
+        save_table(spark.range(4), staged, "one")
+        assert spark.read.parquet(table_path(str(tmp_path), "one")).count() == 3
+    assert spark.read.parquet(table_path(str(tmp_path), "one")).count() == 4

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import (
-    SplitSpec, cooccurrence_pairs, holdout_rank, holdout_targets, item_popularity, ranking_metrics, recommend_cooccurrence,
-    recommend_popular,
+    SplitSpec, cooccurrence_pairs, hidden_rows, holdout_rank, holdout_targets, item_popularity, ranking_metrics, recommend_cooccurrence,
+    recommend_popular, visible_part, visible_rows,
 )
 from basketry.sources.tables import save_table, scratch_root
 from tests.conftest import rows
@@ -60,18 +60,28 @@ def no_broadcast(spark):
         spark.conf.unset(f"spark.sql.{name}")
 
 
-def test_a_giant_is_spread_without_a_broadcast(spark, no_broadcast):
-    data = spark.range(20_000).select(
+@pytest.fixture
+def giant(spark):
+    """One collection with 40,000 rows, its splits, in files of their own."""
+    data = spark.range(0, 40_000, 1, 8).select(
         F.lit(7).cast("bigint").alias("pid"), F.col("id").alias("pos"), *[F.lit("t").alias(c) for c in ("track_id", "artist_id", "album_id")],
         F.lit(1).cast("bigint").alias("duration_ms"),
     )
-    data = save_table(data, scratch_root(spark), "giant")  # read back, so that the plan holds no constants
-    splits = spark.createDataFrame([(7, "test", 20_000), (8, "test", 9)], "pid long, split string, playlist_length long")
+    splits = spark.createDataFrame([(7, "test", 40_000), (8, "test", 9)], "pid long, split string, playlist_length long")
+    root = scratch_root(spark)
+    return save_table(data, root, "giant"), save_table(splits, root, "splits")
+
+
+def tasks_of(frame):
+    return [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_a_giant_is_ranked_in_many_tasks(spark, no_broadcast, giant):
+    data, splits = giant
     ranked = holdout_rank(data, splits, SplitSpec(min_length=1), giant_rows=1000)
-    tasks = ranked.select("mask_rank", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("mask_rank").alias("n"))
-    sizes = [r.n for r in tasks.collect()]
-    assert len(sizes) > 4 and max(sizes) < 10_000
-    assert rows(ranked, "mask_rank") == [(n,) for n in range(1, 20_001)]
+    assert rows(ranked, "mask_rank") == [(n,) for n in range(1, 40_001)]
+    sizes = tasks_of(ranked.select("mask_rank", "pos"))
+    assert len(sizes) > 4 and max(sizes) < 20_000
     targets = holdout_targets(data, splits, SplitSpec(min_length=1), "test")
     # Printed from the result down: the final cut, the shuffle, the partial cut.
     below = plan(targets).split("WindowGroupLimit", 1)[1]
@@ -79,9 +89,32 @@ def test_a_giant_is_spread_without_a_broadcast(spark, no_broadcast):
     assert rows(targets, "pos") == rows(ranked.where("mask_rank <= hidden_count"), "pos")
 
 
+def test_the_visible_part_of_a_giant_is_cut_in_many_tasks(spark, no_broadcast, giant):
+    """No window, no pieces, no broadcast: the join with the cut-off may be divided."""
+    data, splits = giant
+    spec = SplitSpec(min_length=1)
+    hidden = save_table(hidden_rows(data, splits, spec), scratch_root(spark), "hidden")
+    small = {"skewJoin.skewedPartitionThresholdInBytes": "10k", "skewJoin.skewedPartitionFactor": "1.1", "advisoryPartitionSizeInBytes": "20k"}
+    for name, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        visible = visible_part(visible_rows(data, hidden, spec), "test")
+        assert "Window" not in plan(visible) and "BroadcastExchange" not in plan(visible)
+        path = f"{scratch_root(spark)}/visible"
+        visible.withColumn("task", F.spark_partition_id()).write.parquet(path)
+        written = spark.read.parquet(path)
+        sizes = [r["count"] for r in written.groupBy("task").count().collect()]
+        assert sum(sizes) == 40_000 - 10 and len(sizes) > 4 and max(sizes) < 20_000
+        assert written.join(hidden, "pos").isEmpty()
+    finally:
+        for name in small:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+
+
 def test_hot_ranks_are_looked_up_by_broadcast(tables, no_broadcast):
-    text = plan(cooccurrence_pairs(tables["items"], tables["popularity"]))
-    assert text.count("BroadcastHashJoin") >= 4
+    for head_items in (50_000, 10):
+        text = plan(cooccurrence_pairs(tables["items"], tables["popularity"], head_items=head_items))
+        assert text.count("BroadcastHashJoin") >= 4
 
 
 def test_an_item_without_a_rank_is_an_error(tables):
@@ -93,7 +126,9 @@ def test_an_item_without_a_rank_is_an_error(tables):
 def test_pairs_travel_as_two_numbers(tables):
     text = plan(cooccurrence_pairs(tables["items"], tables["popularity"]))
     assert "partial_sum" in text
-    assert "ReadSchema: struct<pid:bigint,track_id:string>" in text
+    # Printed from the result down: the pairs are grouped, and shuffled, by two ranks.
+    grouped = text.split("partial_sum", 1)[1].split("Exchange", 1)[0]
+    assert "keys=[a#" in text and "track_id" not in text.split("partial_sum", 1)[0].rsplit("keys=[a#", 1)[1].split("]")[0] and grouped
 
 
 def test_filters_reach_the_scan(tables):

@@ -10,7 +10,9 @@ from basketry.operators import (
     cooccurrence_pairs, item_popularity, popularity_candidates, recommend_cooccurrence, recommend_popular,
     recommendations_union,
 )
+from basketry.operators.cooccurrence import sized_items, support_bounds, vote_steps
 from basketry.plans import standin
+from basketry.sources.tables import scratch_root
 from tests.conftest import rows
 
 
@@ -31,10 +33,26 @@ def popularity_of(data):
     return [(i, n, r) for r, (i, n) in enumerate(ranked, 1)]
 
 
-@pytest.mark.parametrize("giant_rows", [10**6, 5, 1])
-def test_popularity(spark, giant_rows):
+@pytest.mark.parametrize("tasks", ["1", "8", "64"])
+def test_popularity(spark, tasks):
     data = baskets(1)
-    assert rows(item_popularity(frame(spark, data), giant_rows)) == sorted(popularity_of(data))
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        assert rows(item_popularity(frame(spark, data))) == sorted(popularity_of(data))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_a_million_items_of_one_frequency_are_ranked_in_many_tasks(spark):
+    """No list of cuts is gathered, and no task ranks them all."""
+    train = spark.range(1_000_000).select(F.lit(1).alias("pid"), (F.col("id") * 7919 % 1_000_000).alias("track_id"))
+    ranked = item_popularity(train)
+    assert ranked.where(F.col("popularity_rank") != F.col("track_id") + 1).isEmpty()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "Window" not in plan.split("BroadcastExchange")[0]
+    sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+    files = [r["count"] for r in ranked.groupBy(F.col("_metadata.file_name")).count().collect()] if "_metadata" in ranked.columns else sizes
+    assert sum(sizes) == 1_000_000 and len(files) > 4 and max(files) < 400_000
 
 
 def test_popularity_of_nothing(spark):
@@ -98,8 +116,51 @@ def test_pairs_do_not_depend_on_partitions(spark):
         assert rows(cooccurrence_pairs(train.repartition(n), popularity, block_items=6)) == expected
 
 
-@pytest.mark.parametrize("k, block_rows", [(1, 1024), (5, 3), (100, 1)])
-def test_cooccurring_items(spark, k, block_rows):
+def test_pairs_without_enough_support_are_never_made(spark):
+    """The bound of an item holds for every pair of it, and items below the support are gone before the join."""
+    data = baskets(8, collections=60, items=200, hot=False) + [(p, "i000") for p in range(60) for _ in range(p % 3)]
+    train = frame(spark, data)
+    bounds = {r.track_id: int(r.bound) for r in support_bounds(sized_items(train)).collect()}
+    for (a, b), (support, _) in pairs_of(data, 1, 1).items():
+        assert support <= min(bounds[a], bounds[b])
+    able = {item for item, bound in bounds.items() if bound >= 12}
+    assert 0 < len(able) < len(bounds) / 2
+    popularity = item_popularity(train).cache()
+    got = cooccurrence_pairs(train, popularity, 12, 1)
+    assert rows(got) == sorted((a, b, n, p) for (a, b), (n, p) in pairs_of(data, 12, 1).items())
+    # An item that is left out needs no rank; one that is not does.
+    rare = min(bounds, key=bounds.get)
+    assert rows(cooccurrence_pairs(train, popularity.where(F.col("track_id") != rare), 12, 1)) == rows(got)
+
+
+def test_lone_items_and_products_beyond_64_bits(spark):
+    train = frame(spark, [(1, "a")] * 5 + [(2, "b"), (2, "c")] + [(None, "b"), (3, None)])
+    assert {r.pid for r in sized_items(train).collect()} == {2}
+    many = spark.createDataFrame([("a", 2**40, 2**40)] * 3, "track_id string, occurrences long, most long")
+    assert [int(r.bound) for r in support_bounds(many).collect()] == [3 * 2**80]
+
+
+def test_early_end_saves_votes(spark):
+    """Many weak partners: few collections need them, and only for candidates that may still win."""
+    rng = random.Random(11)
+    items = [f"i{n:03d}" for n in range(120)]
+    pairs = [(a, b, 1000 + rng.randint(0, 50) if abs(n - m) < 4 else rng.randint(1, 3), 10) for n, a in enumerate(items) for m, b in enumerate(items) if a != b]
+    context = [(p, rng.choice(items)) for p in range(80) for _ in range(4)] + [(900, items[0])]
+    table = spark.createDataFrame(pairs, "context_track_id string, candidate_track_id string, pair_support long, candidate_popularity long").cache()
+    known = frame(spark, context).cache()
+    weights = known.groupBy("pid", "track_id").agg(F.count("*").alias("occurrences")).cache()
+    partners = table.withColumnRenamed("context_track_id", "track_id")
+    before = weights.join(partners, "track_id").count()
+    steps = vote_steps(weights, known, partners, 3, 6, 1024, scratch_root(spark))
+    after = steps.first.count() + steps.looked_up.count() + steps.rest.count()
+    assert steps.settled.count() > 60 and after < before / 3
+    whole = recommend_cooccurrence(known, table, 3)
+    for depth in (1, 6, 40):
+        assert rows(recommend_cooccurrence(known, table, 3, depth=depth)) == rows(whole)
+
+
+@pytest.mark.parametrize("k, block_rows, depth", [(1, 1024, 1000), (5, 3, 2), (100, 1, 1), (3, 1024, 1), (1, 1024, 1), (2, 2, 5)])
+def test_cooccurring_items(spark, k, block_rows, depth):
     train, context = baskets(6), baskets(7, collections=20, hot=False) + [(3000, "unheard-of")]
     pairs = pairs_of(train, 2, 3)
     scores, seen = {}, set(context)
@@ -115,7 +176,7 @@ def test_cooccurring_items(spark, k, block_rows):
         [(a, b, n, p) for (a, b), (n, p) in pairs.items()],
         "context_track_id string, candidate_track_id string, pair_support long, candidate_popularity long",
     )
-    got = recommend_cooccurrence(frame(spark, context), table, k, block_rows)
+    got = recommend_cooccurrence(frame(spark, context), table, k, block_rows, depth)
     assert rows(got) == sorted(expected)
     union = recommendations_union(got, got.withColumn("baseline_name", F.lit("again")))
     assert union.count() == 2 * len(expected)

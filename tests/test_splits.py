@@ -7,7 +7,7 @@ from basketry.operators import (
     SplitSpec, collection_lengths, hash_split, holdout_budget, holdout_context, holdout_rank, holdout_targets,
     restrict_run_tables, sample_collections, split_counts, split_summary, train_interactions,
 )
-from basketry.operators.splits import INTERACTION, hidden_part
+from basketry.operators.splits import INTERACTION, hidden_part, hidden_rows, visible_part, visible_rows
 from tests.conftest import rows
 
 SCHEMA = "pid long, pos int, track_id string, artist_id string, album_id string, duration_ms long"
@@ -91,7 +91,26 @@ def test_shortcuts_give_the_same_rows(spark, interactions, splits):
 
 @pytest.mark.parametrize("exact", [False, True])
 @pytest.mark.parametrize("hash_fn", ["md5", "xxhash64"])
-def test_ranking_in_pieces_equals_ranking_whole(spark, interactions, splits, hash_fn, exact):
+def test_the_cut_off_parts_what_the_ranks_part(spark, interactions, splits, hash_fn, exact):
+    spec = replace(SPEC, hash_fn=hash_fn, exact_mask_scores=exact)
+    # Every third collection has each row twice, or four times: the cut may part equal rows.
+    copies = interactions.where("pid % 3 = 0")
+    several = interactions.unionByName(copies).unionByName(copies.where("pid % 2 = 0")).unionByName(copies.where("pid % 2 = 0"))
+    made = hash_split(splits.select("pid", "playlist_length"), spec).cache()
+    for rows_of in (interactions, several):
+        ranked = holdout_rank(rows_of, made, spec).cache()
+        for from_spec in (False, True):
+            hidden = hidden_rows(rows_of, made, spec, splits_from_spec=from_spec).cache()
+            assert rows(hidden) == rows(ranked.where("mask_rank <= hidden_count"))
+            visible = visible_rows(rows_of, hidden, spec, splits_from_spec=from_spec)
+            for name in ("validation", "test"):
+                assert rows(visible_part(visible, name)) == rows(holdout_context(ranked, name))
+                assert rows(hidden_part(hidden, name)) == rows(hidden_part(ranked, name))
+
+
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("hash_fn", ["md5", "xxhash64"])
+def test_ranking_by_ranges_equals_ranking_whole(spark, interactions, splits, hash_fn, exact):
     spec = replace(SPEC, hash_fn=hash_fn, exact_mask_scores=exact)
     whole = rows(holdout_rank(interactions, splits, spec))
     for giant_rows in (1, 6, 20):
