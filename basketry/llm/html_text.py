@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -25,6 +26,9 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_UNSEEN = re.compile(
+    r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.IGNORECASE
+)
 _WORDS = re.compile(r"[A-Za-z]+(?:(?<=[a-z])(?=[A-Z]))?")
 
 # Kinds of elements of HTML.
@@ -59,23 +63,84 @@ CUES = frozenset(
 CUE_WORDS = 60
 
 
+# Elements that divide a page; the nearest one around a block says more than those farther out.
+SECTIONS = frozenset("article section aside nav header footer main form figure table ul ol dl blockquote li".split())
+_PLAIN = frozenset("html body div span".split())
+
+
+class Element:
+    """An open element. ``added``: the features it adds to those of its ancestors, which lie with these alone."""
+
+    __slots__ = ("tag", "names", "parent", "added", "near", "section", "at")
+
+    def __init__(self, tag: str, names: frozenset[str], parent: Element | None, held: Counter, at: int) -> None:
+        self.tag, self.names, self.parent, self.at = tag, names, parent, at
+        added = [f"name {n}" for n in names]
+        if tag not in _PLAIN:
+            added.append(f"in {tag}")
+        if tag == "article" and held["in article"]:
+            added.append("article in article")
+        self.added = [f for f in sorted(added) if not held[f]]
+        self.near = names or (parent.near if parent else frozenset())
+        self.section = tag if tag in SECTIONS else parent.section if parent else ""
+
+
 @dataclass(frozen=True)
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    element: Element | None
     link_chars: int
 
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """The tags around the block, the outermost first."""
+        found, element = [], self.element
+        while element:
+            found.append(element.tag)
+            element = element.parent
+        return tuple(reversed(found))
+
 
 def _names(attributes: str) -> frozenset[str]:
     found = " ".join("".join(groups) for groups in _NAMES.findall(attributes))
-    return frozenset(w.lower() for w in _WORDS.findall(found)) if found else frozenset()
+    names = {w.lower() for w in _WORDS.findall(found)} if found else set()
+    if "idden" in attributes or "none" in attributes or "IDDEN" in attributes or "NONE" in attributes:
+        if _UNSEEN.search(attributes):
+            names.add("unseen")
+    return frozenset(names)
+
+
+class _Open:
+    """The open elements. What it holds is found, added and removed without a walk through the ancestors."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.held: Counter = Counter()
+        self.count = 0
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        element = Element(tag, names, self.stack[-1] if self.stack else None, self.held, self.count)
+        self.count += 1
+        self.held.update(element.added)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def close(self, kinds: Iterable[str], fence: Iterable[str] = ()) -> None:
+        """Close the nearest open element of these kinds, and all in it, unless a fence lies between."""
+        nearest = max((self.places[k][-1] for k in kinds if self.places.get(k)), default=-1)
+        if nearest < 0 or any(self.places[f][-1] > nearest for f in fence if self.places.get(f)):
+            return
+        while len(self.stack) > nearest:
+            element = self.stack.pop()
+            self.held.subtract(element.added)
+            self.places[element.tag].pop()
 
 
 def leaf_blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order: references decoded, white space made single spaces, none empty."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    opened = _Open()
     pieces: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -84,19 +149,10 @@ def leaf_blocks(html: str) -> list[Block]:
         text = "".join(p for p, _ in pieces)
         text = " ".join((unescape(text) if "&" in text else text).split())
         if text:
-            names = frozenset().union(*(n for _, n in stack))
             linked = sum(len(p) for p, link in pieces if link)
-            blocks.append(Block(text, tuple(t for t, _ in stack), names, linked))
+            blocks.append(Block(text, opened.stack[-1] if opened.stack else None, linked))
         pieces.clear()
 
-    def close(kinds: set[str], fence: set[str]) -> None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] in kinds:
-                del stack[at:]
-                return
-            if stack[at][0] in fence:
-                return
-
     links, at, end = 0, 0, len(html)
     while at < end:
         match = _TAG.search(html, at)
@@ -115,12 +171,12 @@ def leaf_blocks(html: str) -> list[Block]:
                 links = 0
             if name in BLOCKS:
                 flush()
-            if any(t == name for t, _ in stack):
-                close({name}, set())
+            opened.close((name,))
         elif name == "br":
             pieces.append((" ", False))
         elif name in HIDDEN:
-            if not attributes.endswith("/"):
+            # A slash closes foreign elements alone; on others it means nothing.
+            if name != "svg" or not attributes.endswith("/"):
                 ends = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
                 at = ends.end() if ends else end
             pieces.append((" ", False))
@@ -128,15 +184,17 @@ def leaf_blocks(html: str) -> list[Block]:
             if name in BLOCKS:
                 flush()
                 if name in IMPLIED_ENDS:
-                    close(*IMPLIED_ENDS[name])
+                    opened.close(*IMPLIED_ENDS[name])
                 elif name not in ("html", "head", "body"):
-                    close({"p"}, {"table", "button"})
+                    opened.close(("p",), ("table", "button"))
                 if name in ("body", "article", "main"):
                     links = 0
             if name == "a":
                 links = 1
-            if name not in VOID and (name in BLOCKS or _NAMES.search(attributes)):
-                stack.append((name, _names(attributes)))
+            if name not in VOID:
+                names = _names(attributes)
+                if name in BLOCKS or names:
+                    opened.push(name, names)
     flush()
     return blocks
 
@@ -145,23 +203,24 @@ def _step(value: float, steps: tuple[float, ...]) -> int:
     return sum(value >= s for s in steps)
 
 
-def block_features(blocks: list[Block]) -> list[list[str]]:
-    """The names of the features that hold for each block."""
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """The names of the features of each block besides those that its elements add."""
     found = []
     for at, block in enumerate(blocks):
         words = block.text.split()
         counts = Counter(w for w in (x.strip(".,:;!?()©&").lower() for x in words) if w in CUES)
         cues = {w for w, n in counts.items() if n * CUE_WORDS >= len(words)}
-        tags = [t for t in block.tags if t not in ("html", "body", "div", "span")]
+        element = block.element
         found.append(
             [
-                *{f"in {t}" for t in tags},
-                f"leaf {block.tags[-1] if block.tags else ''}",
-                *(f"name {n}" for n in block.names),
-                *(f"cue {c}" for c in cues),
+                f"leaf {element.tag if element else ''}",
+                f"section {element.section if element else ''}",
+                *(f"near {n}" for n in sorted(element.near if element else ())),
+                *(f"cue {c}" for c in sorted(cues)),
                 f"words {_step(len(words), (2, 4, 8, 15, 30, 60))}",
                 f"links {_step(block.link_chars / max(len(block.text), 1), (0.05, 0.3, 0.7))}",
                 f"stop {block.text[-1] in '.!?…。”»'}",
+                f"says {block.text[-1] == ':' and len(words) < 6}",
                 f"commas {_step(block.text.count(','), (1, 3))}",
                 f"cues {_step(len(cues), (1, 2, 4))}",
                 f"mark {'©' in block.text}",
@@ -172,6 +231,17 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     return found
 
 
+def block_features(blocks: list[Block]) -> list[list[str]]:
+    """The names of the features that hold for each block."""
+    found = own_features(blocks)
+    for names, block in zip(found, blocks, strict=True):
+        element = block.element
+        while element:
+            names += element.added
+            element = element.parent
+    return found
+
+
 @dataclass(frozen=True)
 class Chain:
     """Weights for the state main text (the other state has none), and scores of ``moves[from][to]``, 1 being main."""
@@ -181,11 +251,30 @@ class Chain:
 
     def decode(self, features: list[list[str]]) -> list[bool]:
         """Viterbi: which blocks are main text on the most likely path."""
-        weights, moves = self.weights, self.moves
+        return self._best([sum(self.weights.get(n, 0.0) for n in names) for names in features])
+
+    def label(self, blocks: list[Block]) -> list[bool]:
+        """:meth:`decode` of the blocks' features; what elements add is summed once for each of them."""
+        weights, sums = self.weights, {}
+
+        def around(element: Element | None) -> float:
+            path = []
+            while element and element.at not in sums:
+                path.append(element)
+                element = element.parent
+            total = sums[element.at] if element else 0.0
+            for inner in reversed(path):
+                total = sums[inner.at] = total + sum(weights.get(f, 0.0) for f in inner.added)
+            return total
+
+        own = own_features(blocks)
+        return self._best([around(b.element) + sum(weights.get(n, 0.0) for n in names) for b, names in zip(blocks, own, strict=True)])
+
+    def _best(self, scores: list[float]) -> list[bool]:
+        moves = self.moves
         other = main = 0.0
         back: list[tuple[bool, bool]] = []
-        for at, names in enumerate(features):
-            emitted = sum(weights.get(n, 0.0) for n in names)
+        for at, emitted in enumerate(scores):
             if at:
                 to_other, to_main = main + moves[1][0] > other + moves[0][0], main + moves[1][1] > other + moves[0][1]
                 back.append((to_other, to_main))
@@ -195,7 +284,7 @@ class Chain:
                 )
             else:
                 main = emitted
-        if not features:
+        if not scores:
             return []
         path = [main > other]
         for step in reversed(back):
@@ -247,8 +336,9 @@ def train_chain(pages: list[tuple[list[list[str]], list[bool]]], steps: int = 25
     return Chain({n: float(w) for n, w in zip(names, weights, strict=False)}, weights[-4:].reshape(2, 2).tolist())
 
 
+@cache
 def default_chain() -> Chain:
-    """The chain trained on the labelled pages of ``html_training``, a fixed number of them."""
+    """The chain trained, once in a process, on the labelled pages of ``html_training``, a fixed number of them."""
     pages = []
     for html, labels in labelled_pages():
         blocks = leaf_blocks(html)
@@ -258,7 +348,7 @@ def default_chain() -> Chain:
 
 def main_text(html: str, chain: Chain) -> str:
     blocks = leaf_blocks(html)
-    return "\n".join(b.text for b, main in zip(blocks, chain.decode(block_features(blocks)), strict=True) if main)
+    return "\n".join(b.text for b, main in zip(blocks, chain.label(blocks), strict=True) if main)
 
 
 def extract_text(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

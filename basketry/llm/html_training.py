@@ -10,7 +10,7 @@ from collections.abc import Callable
 from html import escape
 from random import Random
 
-PAGES = 260
+PAGES = 420
 # Words and phrases that fill the layouts.
 WORDS = (
     "river stone window market garden letter winter morning captain village history science number measure paper water "
@@ -113,6 +113,8 @@ def _form(p: _Page) -> str:
 
 
 def _comments(p: _Page) -> str:
+    if p.draw.random() < 0.5:
+        return _blog_comments(p)
     each = "".join(
         p.box("div li article p", "comment reply comment-body user", f"<b>{p.short(False)}</b><p>{p.prose(False, 1, 2)}</p>")
         for _ in range(p.draw.randint(1, 4))
@@ -120,6 +122,45 @@ def _comments(p: _Page) -> str:
     return p.box("section div", "comments comment-list discussion responses replies disqus", f"<h3>{p.put('Comments', False)}</h3>{each}")
 
 
+def _blog_comments(p: _Page) -> str:
+    """Readers' comments as blogs mark them: a list of articles, each with who said it and when."""
+    draw = p.draw
+    title = p.put(draw.choice((f"{draw.randint(2, 30)} thoughts on {p.sentence(1, 3)}", f"{draw.randint(1, 90)} Comments", "Join the discussion", "What readers say")), False)
+    each = ""
+    for _ in range(draw.randint(1, 4)):
+        who, when = p.draw.choice(WORDS).capitalize(), f"{draw.choice(WORDS)} {draw.randint(1, 28)}, 20{draw.randint(10, 24)}"
+        said = f"<b class=fn>{who}</b> <span class=says>says:</span>"
+        p.labels[f"{who} says:"] = False
+        about = f"<div class='comment-author vcard'>{said}</div><div class=comment-metadata><a href=x>{p.put(when, False)}</a></div>"
+        meta = draw.choice((f"<footer class=comment-meta>{about}</footer>", f"<header class='comment-meta'>{about}</header>", about))
+        words = "".join(f"<p>{p.prose(False, 1, 3)}</p>" for _ in range(draw.randint(1, 2)))
+        body = draw.choice((f"<div class=comment-content>{words}</div>", f"<section class='comment-content comment'>{words}</section>", words))
+        reply = f"<div class=reply><a href=x>{p.put('Reply', False)}</a></div>" if draw.random() < 0.5 else ""
+        inner = f"{meta}{body}{reply}"
+        inner = f"<article class=comment-body>{inner}</article>" if draw.random() < 0.6 else f"<div class=comment-body>{inner}</div>"
+        each += f"<li class='comment depth-1'>{inner}</li>"
+    respond = f"<div id=respond class=comment-respond><h3>{p.put('Leave a reply', False)}</h3>{_form(p)}</div>" if draw.random() < 0.4 else ""
+    tag, name = draw.choice(("div", "div", "section")), draw.choice(("comments", "comments-area", "post-comments", "comment-section", "responses"))
+    kind = draw.choice(("id", "class", "id=comments class"))
+    return f"<{tag} {kind}={name}><h2 class=comments-title>{title}</h2><ol class=comment-list>{each}</ol>{respond}</{tag}>"
+
+
+def _entry_footer(p: _Page) -> str:
+    """What stands under an article about it: where it was posted, its tags, its author's other work."""
+    draw = p.draw
+    text = draw.choice(("Posted in {}. Tagged {}", "Filed under {}, {}", "Tags: {}, {}", "Categories: {} {}", "This entry was posted in {} and tagged {}.", "By {}, {}"))
+    text = p.put(text.format(*(draw.choice(WORDS).capitalize() for _ in range(2))), False)
+    name = draw.choice(("entry-footer", "entry-meta", "post-meta", "post-footer", "meta", "tags", "article-footer"))
+    return draw.choice((f"<footer class={name}>{text}</footer>", f"<footer><p>{text}</p></footer>", f"<div class={name}><span>{text}</span></div>", f"<p class='{name}'>{text}</p>"))
+
+
+def _unseen(p: _Page) -> str:
+    """Text that no reader sees."""
+    mark = p.draw.choice(("hidden", "hidden=hidden", "style='display:none'", 'style="color:red; display: none;"', "style='visibility:hidden'", "aria-hidden=true", "aria-hidden='true' class=note"))
+    text = p.prose(False) if p.draw.random() < 0.6 else p.short(False)
+    return p.draw.choice((f"<div {mark}><p>{text}</p></div>", f"<p {mark}>{text}</p>", f"<section {mark}>{text}</section>", f"<div {mark}>{text}</div>"))
+
+
 def _footer(p: _Page) -> str:
     inner = "".join(f"<p>{p.put(p.draw.choice(FOOTERS), False)}</p>" for _ in range(p.draw.randint(0, 3)))
     inner += f"&copy; {p.draw.choice(WORDS)}.example.com &middot; {p.sentence(3, 9)}" if p.draw.random() < 0.6 else ""
@@ -132,8 +173,10 @@ def _footer(p: _Page) -> str:
 def _article(p: _Page) -> str:
     parts = []
     if p.draw.random() < 0.85:
-        heading = f"<h1>{p.short(True) if p.draw.random() < 0.6 else p.sentence_of(True)}</h1>"
-        parts.append(f"<header>{heading}</header>" if p.draw.random() < 0.2 else heading)
+        named = p.draw.choice(("", "", " class=entry-title", " class='post-title'", " itemprop=headline"))
+        heading = f"<h1{named}>{p.short(True) if p.draw.random() < 0.6 else p.sentence_of(True)}</h1>"
+        header = p.draw.choice(("", "", " class=entry-header", " class='post-header'", " class=article-header"))
+        parts.append(f"<header{header}>{heading}</header>" if p.draw.random() < 0.3 else heading)
     for _ in range(p.draw.randint(1, 9)):
         kind = p.draw.random()
         if kind < 0.1:
@@ -158,12 +201,21 @@ def _article(p: _Page) -> str:
             parts.append(f"<table>{cells}</table>")
         elif kind < 0.97:
             parts.append(f"<pre>{p.short(True)}</pre>")
-        elif p.draw.random() < 0.5:
+        elif p.draw.random() < 0.4:
             parts.append(_advert(p))
         else:
-            parts.append(p.draw.choice([_social, _form, _sidebar])(p))
+            parts.append(p.draw.choice([_social, _form, _sidebar, _unseen])(p))
+    if p.draw.random() < 0.25:
+        parts.append(_entry_footer(p))
     style = p.draw.random()
-    if style < 0.45:
+    if style < 0.2:
+        # As blogs do it: a main element with the article and its comments, or an article that holds them.
+        inside = p.draw.random() < 0.5
+        comments = _comments(p) if p.draw.random() < 0.6 else ""
+        body = f"<div class={p.draw.choice(('entry-content', 'post-content', 'article-body', 'content'))}>{''.join(parts)}</div>" if p.draw.random() < 0.5 else "".join(parts)
+        article = f"<article class='{p.draw.choice(('post', 'hentry post', 'entry', 'post-7 type-post'))}'>{body}{comments if inside else ''}</article>"
+        return f"<main{p.draw.choice(('', ' id=main', ' class=site-main', ' role=main'))}>{article}{'' if inside else comments}</main>"
+    if style < 0.5:
         return p.box("article article main", "post entry article", "".join(parts))
     if style < 0.8:
         return p.box("div section", "content article post entry main body story text article-body post-content entry-content", "".join(parts))
@@ -173,9 +225,9 @@ def _article(p: _Page) -> str:
 def _page(draw: Random) -> tuple[str, dict[str, bool]]:
     p = _Page(draw)
     some: Callable[[Callable, float], str] = lambda part, chance: part(p) if draw.random() < chance else ""
-    before = [some(_banner, 0.4), some(_menu, 0.8), some(_crumbs, 0.2), some(_notice, 0.3), some(_advert, 0.4), some(_sidebar, 0.2)]
+    before = [some(_banner, 0.4), some(_menu, 0.8), some(_crumbs, 0.2), some(_notice, 0.3), some(_advert, 0.4), some(_sidebar, 0.2), some(_unseen, 0.1)]
     draw.shuffle(before)
-    after = [some(_comments, 0.35), some(_sidebar, 0.3), some(_social, 0.2), some(_form, 0.25), some(_notice, 0.2), some(_advert, 0.25)]
+    after = [some(_comments, 0.35), some(_sidebar, 0.3), some(_social, 0.2), some(_form, 0.25), some(_notice, 0.2), some(_advert, 0.25), some(_unseen, 0.1)]
     draw.shuffle(after)
     body = "".join(before) + _article(p) + "".join(after) + some(_footer, 0.8)
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>", p.labels

@@ -21,7 +21,8 @@ def test_held_out_pages(chain):
     right = total = 0
     for html, labels in labelled_pages(150, seed=99):
         blocks = leaf_blocks(html)
-        found = chain.decode(block_features(blocks))
+        found = chain.label(blocks)
+        assert found == chain.decode(block_features(blocks))
         right += sum(labels[b.text] == main for b, main in zip(blocks, found, strict=True))
         total += len(blocks)
     assert total > 2000 and right / total > 0.98
@@ -93,3 +94,54 @@ def test_cues_of_all_words():
     assert cues("word " * 70 + "consent to cookies, consent. " * 2) == {"cue consent", "cue cookies"}
     assert cues("word " * 59 + "consent") == {"cue consent"}
     assert cues("consent " + "word " * 400) == set()
+
+
+RIVER = ["A river story", "The river rose in the night, and the village moved up the hill.", "All was quiet by morning. Nobody spoke of it."]
+STORY = f"<h1>{RIVER[0]}</h1><p>{RIVER[1]}</p><p>{RIVER[2]}</p>"
+# Layouts that no rule of the training pages makes.
+LAYOUTS = {
+    "a blog with comments in main": (
+        f"<main><article class='post hentry'><header class=entry-header><h1 class=entry-title>{RIVER[0]}</h1></header><div class=entry-content><p>{RIVER[1]}</p><p>{RIVER[2]}</p></div>"
+        "<footer class=entry-footer>Posted in News. Tagged rivers</footer></article><div id=comments class=comments-area><h2 class=comments-title>2 thoughts on rivers</h2>"
+        "<ol class=comment-list><li class=comment><article class=comment-body><footer class=comment-meta><div class=comment-author><b class=fn>Bob</b> <span class=says>says:</span></div>"
+        "</footer><div class=comment-content><p>I was there that night, and the water was not high at all.</p></div></article></li></ol></div></main>"
+    ),
+    "hidden text": f"<article>{STORY}<div hidden><p>This paragraph is hidden from every reader of the page.</p></div><p style='display:none'>So is this one, by its style.</p></article>",
+    "a script with a slash": f"<script/>var x = 1;</script><article>{STORY}</article>",
+    "a news page with threads": (
+        f"<div class=page><div id=header><a href=/>Daily</a></div><div class=story-body>{STORY}</div><div class=discussion-thread><div class='thread-comment user-comment'>"
+        "<span class=author>Eve wrote:</span><p>The mayor should have warned us, as in the year before.</p></div></div><div id=footer>Daily, all rights reserved.</div></div>"
+    ),
+    "a page builder": (
+        f"<div class='elementor-widget'><ul class=nav-menu><li><a href=a>Start</a><li><a href=b>Shop</a></ul></div><section class='post-content widget-theme'>{STORY}</section>"
+        "<div class='cookie-notice-container' role=dialog>We use cookies. <button>OK</button></div><div class='related-posts'><h4>You may also like</h4><a href=c>A hill story</a></div>"
+    ),
+    "tables for layout": f"<table><tr><td class=menu><a href=a>Home</a><br><a href=b>News</a></td><td class=content>{STORY}</td></tr></table><p class=copyright>© 1999 Village</p>",
+    "an article that holds its comments": (
+        f"<article id=post-9>{STORY}<p class=post-meta>Filed under Water, Villages</p><section class=comments><h3>3 Comments</h3><div class='comment odd'><cite>Ann says:</cite>"
+        "<p>A fine story. My grandfather told it the same way.</p></div></section></article>"
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(chain, name):
+    assert main_text(f"<!DOCTYPE html><html><body>{LAYOUTS[name]}</body></html>", chain).split("\n") == RIVER
+
+
+def test_deep_pages_take_time_in_proportion(chain):
+    from time import process_time
+
+    def seconds(n):
+        page = "<div class=c>x" * n
+        start = process_time()
+        assert main_text(page, chain) is not None
+        return process_time() - start
+
+    seconds(500)
+    small, large = min(seconds(4000) for _ in range(2)), min(seconds(16000) for _ in range(2))
+    assert large < 9 * small + 0.2
+    nested = "<p><table>" + "<div id=a>y" * 8000
+    start = process_time()
+    leaf_blocks(nested)
+    assert process_time() - start < 3
