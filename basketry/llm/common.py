@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as itertools_count, islice
 
 import numpy as np
 import xxhash
@@ -25,6 +26,12 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def fresh_names(frame: DataFrame, count: int) -> list[str]:
+    """Column names that ``frame`` does not have, in any spelling."""
+    taken = {c.lower() for c in frame.columns}
+    return list(islice((name for n in itertools_count() if (name := f"__own{n}") not in taken), count))
+
+
 def fold_ascii(text: str) -> str:
     """A-Z in lower case, every other character as it is."""
     return text.translate(LOWER_ASCII)

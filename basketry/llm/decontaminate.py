@@ -1,157 +1,200 @@
 """Benchmark decontamination by greedy string tiling: passages are found although their parts are reordered.
 
-Seeds are runs of ``MIN_TILE`` words that a document shares with a test. Every tile consists of seeds, so only the
-stretches of a document whose seeds may occur in a test go on, and only the tests whose seeds could reach the
-threshold are tiled. Tiling then marks the longest unmarked common runs of words, found by running Karp-Rabin hashes,
-again and again, and the tiles' share of the test decides.
+Seeds are runs of ``MIN_TILE`` words that a document shares with a test, or a whole test that is shorter. Every tile
+consists of seeds, so only the stretches of a document whose seeds may occur in a test go on. A document meets a test
+by the test's rarest seeds: those around a few of its words more than may stay uncovered, one of which any tiling that
+reaches the threshold has to cover. The pairs are tiled: the longest free common runs, found by running Karp-Rabin
+hashes, are marked again and again, and the tiles' share of the test decides.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.llm.common import WordHashes, in_filter, set_filter, shingle_hashes, whole
+from basketry.llm.common import WordHashes, fresh_names, in_filter, mixed, set_filter, shingle_hashes, whole
 from basketry.sources.tables import save_table, scratch_root
 
 MIN_TILE = 5
 COVERAGE = 0.8
-_TOKEN = re.compile(r"\w+")
+# Scripts that put no spaces between words. Their characters are words of their own.
+_UNSEGMENTED = (
+    "฀-໿"  # Thai, Lao
+    "က-႟"  # Myanmar
+    "ក-៿"  # Khmer
+    "぀-ヿㇰ-ㇿ"  # Hiragana, Katakana
+    "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"  # Han
+)
+_TOKEN = re.compile(rf"(?=\w)[{_UNSEGMENTED}]|[^\W{_UNSEGMENTED}]+")
 
 
 def tokens(text: str) -> list[str]:
-    """Runs of letters, digits and underscores, in lower case."""
+    """Runs of letters, digits and underscores, in lower case; single characters of scripts without spaces."""
     return _TOKEN.findall(text.lower())
 
 
-def _scan(text: list[str], item: list[str], text_free: list[bool], item_free: list[bool], length: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """Common runs of at least ``length`` free words: the longest length, and (length, item start, text start)."""
-    places: dict[int, list[int]] = defaultdict(list)
-
-    def windows(words: list[str], free: list[bool]) -> Iterator[tuple[int, int]]:
-        # Running hashes: drop the word that leaves, add the one that enters; a marked word starts anew.
-        base, size, value, run = 1_000_003, (1 << 61) - 1, 0, 0
-        lead = pow(base, length - 1, size)
-        for at, word in enumerate(words):
-            if not free[at]:
-                value = run = 0
-                continue
-            if run >= length:
-                value = (value - hash(words[at - length]) % size * lead) % size
-            value = (value * base + hash(word) % size) % size
-            run += 1
-            if run >= length:
-                yield at - length + 1, value
-
-    for start, value in windows(text, text_free):
-        places[value].append(start)
-    longest, found = 0, []
-    for start, value in windows(item, item_free):
-        for place in places.get(value, ()):
-            if text[place : place + length] != item[start : start + length]:
-                continue
-            end = length
-            while (
-                start + end < len(item) and place + end < len(text) and item_free[start + end] and text_free[place + end]
-                and item[start + end] == text[place + end]
-            ):
-                end += 1
-            found.append((end, start, place))
-            longest = max(longest, end)
-            if end > 2 * length:
-                return longest, found
-    return longest, found
+def _numbered(text: list[str], item: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers of the item's words; words that the item lacks are -1."""
+    numbers = {word: i for i, word in enumerate(dict.fromkeys(item))}
+    return (np.fromiter((numbers.get(w, -1) for w in words), dtype=np.int64, count=len(words)) for words in (text, item))
+
+
+def _common_runs(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(length, item start, text start) of the runs of ``least`` words or more that no further word prolongs."""
+    item_seeds, text_seeds = (shingle_hashes(mixed(words.astype(np.uint64)), least) for words in (item, text))
+    order = np.argsort(item_seeds, kind="stable")
+    low, high = (np.searchsorted(item_seeds[order], text_seeds, side=side) for side in ("left", "right"))
+    counts = high - low
+    at = np.repeat(np.arange(len(text_seeds)), counts)
+    start = order[np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts - low, counts)]
+    # Equal hashes are compared word by word.
+    same = np.ones(len(at), dtype=bool)
+    for k in range(least):
+        same &= text[at + k] == item[start + k]
+    at, start = at[same], start[same]
+    by = np.lexsort((start, at - start))
+    at, start = at[by], start[by]
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(at - start) != 0) | (np.diff(start) != 1)])) if len(at) else at
+    sizes = np.diff(np.concatenate([heads, [len(at)]])) + least - 1
+    return list(zip(sizes.tolist(), start[heads].tolist(), at[heads].tolist(), strict=True))
 
 
 def tile(text: list[str], item: list[str], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (length, item start, text start) of tiles that overlap neither in item nor in text."""
-    text_free, item_free = [True] * len(text), [True] * len(item)
+    """Greedy string tiling: (length, item start, text start) of tiles that overlap neither in item nor in text.
+
+    The longest run of free words goes first, ties by item start and then text start, until none has ``least`` words.
+    A run that is partly covered when its turn comes leaves its free parts to the queue, so every tile is the longest
+    there is.
+    """
+    if min(len(text), len(item)) < least:
+        return []
+    text_words, item_words = _numbered(text, item)
+    queue = [(-size, start, place) for size, start, place in _common_runs(text_words, item_words, least)]
+    heapq.heapify(queue)
+    text_free, item_free = np.ones(len(text), dtype=bool), np.ones(len(item), dtype=bool)
     tiles = []
-    length = max(least, min(20, len(item)))
-    while len(item) >= least:
-        longest, found = _scan(text, item, text_free, item_free, length)
-        if longest > 2 * length:
-            length = longest
+    while queue:
+        size, start, place = heapq.heappop(queue)
+        size = -size
+        free = item_free[start : start + size] & text_free[place : place + size]
+        if free.all():
+            item_free[start : start + size] = text_free[place : place + size] = False
+            tiles.append((size, start, place))
             continue
-        for size, start, place in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if all(item_free[start : start + size]) and all(text_free[place : place + size]):
-                item_free[start : start + size] = text_free[place : place + size] = [False] * size
-                tiles.append((size, start, place))
-            elif size > length:  # partly covered by a longer tile: what is free of it is found by the next scan
-                found = []
-        if found or not longest:
-            if length == least:
-                break
-            length = max(least, length // 2)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+        for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if high - low >= least:
+                heapq.heappush(queue, (low - high, start + low, place + low))
     return tiles
 
 
+def _seeds(hashes: WordHashes, words: list[str], length: int) -> np.ndarray:
+    """Keys of all runs of ``length`` words; runs of different lengths have different keys."""
+    return mixed(shingle_hashes(hashes.of(words), length) + np.uint64(length))
+
+
 def _item_rows(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             words = [tokens(t) for t in batch.column("text").to_pylist()]
-            seeds = [shingle_hashes(hashes.of(w), least).view(np.int64).tolist() for w in words]
+            own = [min(least, len(w)) for w in words]
+            seeds = [_seeds(hashes, w, n).view(np.int64).tolist() if n else [] for w, n in zip(words, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_key"), batch.column("item_id"), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(seeds, pa.list_(pa.int64()))],
-                names=["item_key", "item_id", "item_words", "n_words", "seeds"],
+                [batch.column("item_key"), batch.column("item_id"), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(own, pa.int32()), pa.array(seeds, pa.list_(pa.int64()))],
+                names=["item_key", "item_id", "item_words", "n_words", "least", "seeds"],
             )
 
     return rows
 
 
-def _stretches(least: int, shared):
-    """Of each text: the maximal stretches of words in which every run of ``least`` words may be a seed."""
+def _stretches(lengths: list[int], shared):
+    """Of each text, by length of the seeds: the stretches of words in which every run of that length may be a seed."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), shared.value
         for batch in batches:
-            owners, starts, words_of, seeds_of = [], [], [], []
+            owners, leasts, starts, words_of, seeds_of = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 words = tokens(text)
-                seeds = shingle_hashes(hashes.of(words), least)
-                at = np.flatnonzero(in_filter(table, seeds))
+                for least in lengths:
+                    seeds = _seeds(hashes, words, least)
+                    at = np.flatnonzero(in_filter(table, seeds))
+                    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                        owners.append(row)
+                        leasts.append(least)
+                        starts.append(int(run[0]))
+                        words_of.append(" ".join(words[run[0] : run[-1] + least]))
+                        seeds_of.append(seeds[run[0] : run[-1] + 1].view(np.int64).tolist())
                 hashes.trim()
-                for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
-                    owners.append(row)
-                    starts.append(int(run[0]))
-                    words_of.append(" ".join(words[run[0] : run[-1] + least]))
-                    seeds_of.append(seeds[run[0] : run[-1] + 1].view(np.int64).tolist())
             chosen = batch.select(["doc_key", "doc_id"]).take(pa.array(owners, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*chosen.columns, pa.array(starts, pa.int32()), pa.array(words_of, pa.string()), pa.array(seeds_of, pa.list_(pa.int64()))],
-                names=["doc_key", "doc_id", "start", "words", "seeds"],
+                [*chosen.columns, pa.array(leasts, pa.int32()), pa.array(starts, pa.int32()), pa.array(words_of, pa.string()), pa.array(seeds_of, pa.list_(pa.int64()))],
+                names=["doc_key", "doc_id", "least", "start", "words", "seeds"],
             )
 
     return rows
 
 
-def _tilings(least: int):
+def rarest_seeds(documents: list[int], least: int, spared: int) -> list[int]:
+    """Places of seeds of which every tiling has one that leaves at most ``spared`` words of the test uncovered.
+
+    ``documents``: in how many documents each seed stands. Of any ``spared`` + 1 words one is covered, by a tile that has
+    a seed around it. The words whose seeds stand in the fewest documents are taken.
+    """
+    n = len(documents) + least - 1
+    counts = np.array(documents, dtype=np.int64)
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    word = np.arange(n)
+    first, last = np.maximum(word - least + 1, 0), np.minimum(word, len(counts) - 1)
+    cost = sums[last + 1] - sums[first]
+    chosen = np.argsort(cost, kind="stable")[: spared + 1]
+    places = {p for w in chosen.tolist() for p in range(first[w], last[w] + 1) if documents[p]}
+    return sorted(places)
+
+
+def _choices(coverage: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            covered, counts = [], []
-            for stretches, item in zip(batch.column("stretches").to_pylist(), batch.column("item_words").to_pylist(), strict=True):
-                text: list[str] = []
-                for stretch in sorted(stretches, key=lambda s: s["start"]):
-                    text += [*stretch["words"].split(" "), ""]  # no word is empty, so no tile crosses a gap
-                tiles = tile(text, item.split(" "), least)
-                covered.append(sum(size for size, _, _ in tiles))
-                counts.append(len(tiles))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_key"), batch.column("doc_id"), batch.column("item_id"), batch.column("n_words"), pa.array(covered, pa.int32()), pa.array(counts, pa.int32())],
-                names=["doc_key", "doc_id", "item_id", "n_words", "n_covered", "n_tiles"],
-            )
+            keys, seeds_of = [], []
+            names = ("item_key", "n_words", "least", "seeds", "known")
+            for key, n, least, seeds, known in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                counts = {k["seed"]: k["documents"] for k in known}
+                spared = n - int(np.ceil(n * coverage - 1e-9))
+                chosen = rarest_seeds([counts.get(s, 0) for s in seeds], least, spared)
+                found = {seeds[p] for p in chosen}
+                keys += [key] * len(found)
+                seeds_of += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seeds_of, pa.int64())], names=["item_key", "seed"])
 
     return rows
 
 
-def _doc_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), whole(text_col))
+def _tilings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        covered, counts = [], []
+        names = ("stretches", "item_words", "least")
+        for stretches, item, least in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            text: list[str] = []
+            for stretch in sorted(stretches, key=lambda s: s["start"]):
+                text += [*stretch["words"].split(" "), ""]  # no word is empty, so no tile crosses a gap
+            tiles = tile(text, item.split(" "), least)
+            covered.append(sum(size for size, _, _ in tiles))
+            counts.append(len(tiles))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_key"), batch.column("item_id"), batch.column("n_words"), pa.array(covered, pa.int32()), pa.array(counts, pa.int32())],
+            names=["doc_key", "item_id", "n_words", "n_covered", "n_tiles"],
+        )
+
+
+def _doc_key(text_col: str):
+    """Documents go by the SHA-256 of their text: copies are compared once."""
+    return F.sha2(whole(text_col).cast("binary"), 256)
 
 
 def contaminated(
@@ -167,9 +210,9 @@ def contaminated(
     """Documents and the tests they hold: ``doc_id``, ``item_id``, ``n_words``, ``n_covered``, ``n_tiles``, ``coverage``, ``doc_key``.
 
     A row for each pair of a document and a test of which tiles of ``least`` words or more cover the share
-    ``coverage``. Null texts are empty. A test of fewer than ``least`` words has no tile and is never found. Tests
-    with one text are all reported; null ids are kept; repeated rows of a document or of a test count once. Empty
-    tables give an empty result, other columns are not read.
+    ``coverage``. A test of fewer than ``least`` words is found where all its words stand in a row; one without words
+    (null texts are empty) is never found. Tests with one text are all reported; null ids are kept; repeated rows of a
+    document or of a test count once. Empty tables give an empty result, other columns are not read.
 
     Documents are read once, whole, and filtered by a bitmap of fixed size; what passes is joined with the seeds.
     """
@@ -177,44 +220,49 @@ def contaminated(
     root = scratch_root(spark)
     kinds = {"item": tests.schema[item_col].dataType.simpleString(), "doc": docs.schema[id_col].dataType.simpleString()}
     items = tests.select(F.col(item_col).alias("item_id"), whole(item_text_col).alias("text"))
-    items = items.withColumn("item_key", F.xxhash64("item_id", "text")).dropDuplicates(["item_key"]).mapInArrow(
-        _item_rows(least), f"item_key bigint, item_id {kinds['item']}, item_words string, n_words int, seeds array<bigint>"
+    items = items.distinct().withColumn("item_key", F.xxhash64("item_id", "text")).mapInArrow(
+        _item_rows(least), f"item_key bigint, item_id {kinds['item']}, item_words string, n_words int, least int, seeds array<bigint>"
     )
-    items = save_table(items, root, "tests")
-    item_seeds = items.select("item_key", "n_words", F.posexplode("seeds").alias("at", "seed"))
+    items = save_table(items.where("n_words > 0"), root, "tests")
+    lengths = sorted(r.least for r in items.select("least").distinct().collect())  # at most ``least`` of them
+    item_seeds = items.select(F.explode("seeds").alias("seed"))
     shared = spark.sparkContext.broadcast(set_filter(item_seeds, "seed"))
-    rows = docs.select(_doc_key(id_col, text_col).alias("doc_key"), F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    rows = docs.select(_doc_key(text_col).alias("doc_key"), F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     stretches = rows.mapInArrow(
-        _stretches(least, shared), f"doc_key bigint, doc_id {kinds['doc']}, start int, words string, seeds array<bigint>"
+        _stretches(lengths, shared), f"doc_key string, doc_id {kinds['doc']}, least int, start int, words string, seeds array<bigint>"
     )
     stretches = save_table(stretches, root, "stretches")
-    # Repeated rows of a document have one key and equal stretches.
+    # Copies of a text have one key and equal stretches.
     seeds = stretches.select("doc_key", F.explode("seeds").alias("seed")).distinct()
-    reach = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + least - 1)))))
-    pairs = (
-        seeds.join(item_seeds, "seed")
-        .groupBy("doc_key", "item_key")
-        .agg(F.collect_set("at").alias("places"), F.first("n_words").alias("n"))  # places: at most the words of a test
-        .where(reach >= F.col("n") * coverage)
-        .select("doc_key", "item_key")
-    )
-    texts = stretches.groupBy("doc_key", "doc_id").agg(F.collect_set(F.struct("start", "words")).alias("stretches"))
+    documents = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("documents"))
+    # Of a test there are at most as many seeds as words.
+    known = items.select("item_key", F.explode(F.array_distinct("seeds")).alias("seed")).join(documents, "seed")
+    known = known.groupBy("item_key").agg(F.collect_list(F.struct("seed", "documents")).alias("known"))
+    chosen = items.select("item_key", "n_words", "least", "seeds").join(known, "item_key").mapInArrow(_choices(coverage), "item_key bigint, seed bigint")
+    chosen = save_table(chosen, root, "chosen")
+    pairs = seeds.join(chosen, "seed").select("doc_key", "item_key").distinct()
+    texts = stretches.groupBy("doc_key", "least").agg(F.collect_set(F.struct("start", "words")).alias("stretches"))
     found = (
-        pairs.join(texts, "doc_key")
-        .join(items.drop("seeds"), "item_key")
-        .mapInArrow(
-            _tilings(least),
-            f"doc_key bigint, doc_id {kinds['doc']}, item_id {kinds['item']}, n_words int, n_covered int, n_tiles int",
-        )
-        .where(F.col("n_covered") >= F.col("n_words") * coverage)
+        pairs.join(items.drop("seeds"), "item_key")
+        .join(texts, ["doc_key", "least"])
+        .select("doc_key", "item_id", "item_words", "n_words", "least", "stretches")
+        .mapInArrow(_tilings, f"doc_key string, item_id {kinds['item']}, n_words int, n_covered int, n_tiles int")
+        .where(F.col("n_covered") >= F.ceil(F.col("n_words") * coverage - 1e-9))
     )
-    return found.select(
+    owners = stretches.select("doc_key", "doc_id").distinct()
+    return owners.join(found, "doc_key").select(
         "doc_id", "item_id", "n_words", "n_covered", "n_tiles", (F.col("n_covered") / F.col("n_words")).alias("coverage"), "doc_key"
     )
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test, with all their columns."""
+    """The rows of ``docs`` that hold no test, with all their columns, whatever the names of these.
+
+    Tests are found as by :func:`contaminated`, with its rules for nulls and empty texts. A document goes by its text, so
+    rows that repeat a found text go, under whatever id; another text under the same id, or a null one, stays. An empty
+    table gives an empty result, without tests everything stays.
+    """
     found = contaminated(docs, tests, id_col=id_col, text_col=text_col, **options)
-    found = found.select(F.col("doc_key").alias("__key")).distinct()
-    return docs.join(found, _doc_key(id_col, text_col) == found["__key"], "left_anti")
+    (key,) = fresh_names(docs, 1)
+    found = found.select(F.col("doc_key").alias(key)).distinct()
+    return docs.join(found, _doc_key(text_col) == F.col(key), "left_anti")
