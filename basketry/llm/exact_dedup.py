@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketry.llm.common import whole
+from basketry.llm.common import fresh_names, whole
 from basketry.sources.tables import save_table, scratch_root
 
 
@@ -64,9 +64,14 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns, whatever the names of these.
+
+    Which row stays, and what nulls, empty texts and ids that repeat mean, is told by :func:`exact_duplicates`. Of rows
+    that share the staying id and text any one stays, whole. An empty table gives an empty result.
+    """
+    sha, stays, stays_sha = fresh_names(docs, 3)
     found = exact_duplicates(docs, keep, id_col, text_col).where("kept")
-    staying = found.select(F.col("doc_id").alias("__stays"), F.unhex("text_sha256").alias("__stays_sha")).distinct()
-    keyed = docs.withColumn("__sha", F.unhex(F.sha2(whole(text_col).cast("binary"), 256)))
-    same = keyed[id_col].eqNullSafe(staying["__stays"]) & (keyed["__sha"] == staying["__stays_sha"])
-    return keyed.join(staying, same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    staying = found.select(F.col("doc_id").alias(stays), F.unhex("text_sha256").alias(stays_sha)).distinct()
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(whole(text_col).cast("binary"), 256)))
+    same = F.col(id_col).eqNullSafe(F.col(stays)) & (F.col(sha) == F.col(stays_sha))
+    return keyed.join(staying, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketry.llm.common import WORD, whole
+from basketry.llm.common import WORD, fresh_names, whole
 from basketry.sources.tables import save_table, scratch_root
 
 WEIGHTS = (3, 1, 2)
@@ -213,15 +213,16 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with all columns, a document of two copies twice, of none not at all."""
+    """The mix itself: the rows of ``docs`` with all columns, a document of two copies twice, of none not at all.
+
+    The columns may have any names. How often a document is taken, and what null ids, texts and sources mean, is told by
+    :func:`mix`; rows that repeat an id, source and size share one verdict. An empty table gives an empty result.
+    """
     decided = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     taken = decided.where(F.col("copies") > 0).select("doc_id", "source", "size", "copies").distinct()
-    taken = taken.toDF("__id", "__source", "__size", "__copies")
-    keyed = docs.withColumn("__words", word_count(text_col))
-    same = (
-        keyed[id_col].eqNullSafe(taken["__id"])
-        & keyed[source_col].eqNullSafe(taken["__source"])
-        & (keyed["__words"] == taken["__size"])
-    )
-    joined = keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
-    return joined.select(*(keyed[c] for c in docs.columns))
+    own_id, source, size, copies, words, copy = fresh_names(docs, 6)
+    taken = taken.toDF(own_id, source, size, copies)
+    keyed = docs.withColumn(words, word_count(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    joined = keyed.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+    return joined.drop(own_id, source, size, copies, words, copy)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.llm.common import WordHashes, components, maybe_in, mixed, shingle_hashes, whole
+from basketry.llm.common import WordHashes, components, fresh_names, maybe_in, mixed, shingle_hashes, whole
 from basketry.sources.tables import save_table, scratch_root
 
 SHINGLE = 5
@@ -383,7 +383,12 @@ def _in_cells(placed: DataFrame, group: list[str], *more: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns; null ids stay."""
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns, whatever their names.
+
+    Components are those of :func:`near_duplicates`, with its rules for empty texts and repeated ids. Rows with a null id
+    or an empty text stay. An empty table gives an empty result.
+    """
+    (name,) = fresh_names(docs, 1)
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti")
