@@ -47,6 +47,8 @@ class UrlRules:
                 raise ValueError(f"more than {max_rules} rules: divide them over several indexes")
         self.digest = digest
         self.lengths = sorted({len(rule) - rule.index("/") for rule in verdicts})
+        # Parts of the longest host of a rule: a longer suffix of a url's host fits none.
+        self.parts = max((rule[: rule.index("/")].count(".") + 1 for rule in verdicts), default=0)
         ordered = sorted((digest(rule.encode()), rule) for rule in verdicts)
         texts = [rule.encode() for _, rule in ordered]
         arrays = {
@@ -76,9 +78,8 @@ class UrlRules:
 
     def candidates(self, host: str, path: str) -> Iterator[str]:
         """The rules that could fit, longest first for each length of path."""
-        suffixes = [host]
-        while "." in suffixes[-1]:
-            suffixes.append(suffixes[-1].split(".", 1)[1])
+        ends = host.rsplit(".", self.parts)[-self.parts :] if self.parts else []
+        suffixes = [".".join(ends[at:]) for at in range(len(ends))]
         for length in self.lengths:
             if length <= len(path):
                 start = path[:length]
