@@ -41,7 +41,7 @@ _ENDORSE = (
 )
 
 
-def _gnu(kind: str, version: str) -> tuple[str, ...]:
+def _gnu(kind: str, version: str, month: str) -> tuple[str, ...]:
     name = f"GNU {kind}General Public License"
     free = f"This program is free software: you can redistribute it and/or modify it under the terms of the {name}"
     return (
@@ -50,6 +50,7 @@ def _gnu(kind: str, version: str) -> tuple[str, ...]:
         "option) any later version.",
         f"Licensed under the {name}, version {version}.",
         f"{free} version {version} as published by the Free Software Foundation.",
+        f"{name} Version {version}, {month}",
     )
 
 
@@ -64,18 +65,20 @@ def _creative_commons(parts: str, version: str) -> tuple[str, ...]:
 
 # Wordings of licenses, from their public texts. "BSD" stands for words that do not tell the number of clauses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": ("Released under the MIT License.", _MIT),
+    "MIT": ("Released under the MIT License.", _MIT, "MIT Licensed."),
     "MIT-0": ("Released under the MIT No Attribution License.", f"{_MIT}. The software is provided as is"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
+        "Licensed under Apache 2.0.",
+        "Licensed under the Apache 2.0 License.",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
     ),
     "Apache-1.1": ("Licensed under the Apache Software License, Version 1.1.",),
-    **{f"GPL-{v}": _gnu("", v.removesuffix(".0")) for v in ("1.0", "2.0", "3.0")},
-    **{f"LGPL-{v}": _gnu("Lesser ", v.removesuffix(".0")) for v in ("2.1", "3.0")},
-    "LGPL-2.0": _gnu("Library ", "2"),
-    "AGPL-3.0": _gnu("Affero ", "3"),
+    **{f"GPL-{v}": _gnu("", v.removesuffix(".0"), month) for v, month in (("1.0", "February 1989"), ("2.0", "June 1991"), ("3.0", "29 June 2007"))},
+    **{f"LGPL-{v}": _gnu("Lesser ", v.removesuffix(".0"), month) for v, month in (("2.1", "February 1999"), ("3.0", "29 June 2007"))},
+    "LGPL-2.0": _gnu("Library ", "2", "June 1991"),
+    "AGPL-3.0": _gnu("Affero ", "3", "19 November 2007"),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -117,11 +120,35 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD Zero Clause License.",
         f"{_ISC}. The software is provided as is and the author disclaims all warranties with regard to this software",
     ),
+    "Unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
+    **{
+        f"EPL-{v}": (
+            f"Licensed under the Eclipse Public License, version {v}.",
+            f"This program and the accompanying materials are made available under the terms of the Eclipse Public License v{v}",
+        )
+        for v in ("1.0", "2.0")
+    },
+    "Zlib": (
+        "Released under the zlib License.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not "
+        "be misrepresented",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Artistic-2.0": ("Licensed under the Artistic License 2.0.",),
     "all-rights-reserved": ("All rights reserved.",),
 }
+_MARK = "SPDX-License-Identifier"
+# Licenses of the list above whose identifiers have several forms, and those without an identifier.
+_FORMS_OF = {n: (n, f"{n}-only", f"{n}-or-later", f"{n}+") for n in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+_UNLISTED = ("BSD", "all-rights-reserved")
+for _name in TEMPLATES:
+    if _name not in _UNLISTED:
+        TEMPLATES[_name] += tuple(f"{_MARK}: {form}" for form in _FORMS_OF.get(_name, (_name,)))
 # Words that name a license. Those of a template, and its version numbers, have to be aligned.
 NAMES = frozenset(
-    "mit attribution apache license-2.0 gnu lesser affero library mozilla isc bsd zero 2-clause 3-clause 4-clause cc cc0 creative".split()
+    "mit attribution apache license-2.0 gnu lesser affero library mozilla isc bsd zero 2-clause 3-clause 4-clause cc cc0 creative "
+    "unlicense unencumbered eclipse zlib boost artistic".split()
 )
 _KINDS = "nc sa nd noncommercial sharealike noderivatives noderivs non-commercial share-alike"
 _FORMS = (
@@ -145,7 +172,13 @@ SIBLINGS: tuple[tuple[frozenset[str], frozenset[str], frozenset[str]], ...] = (
     (frozenset(["fee", "disclaims"]), frozenset(["disclaims"]), frozenset(["copies", "appear", "supporting"])),
     (frozenset(["materials", "distribution"]), frozenset(["contributors"]), frozenset(["neither", "endorse", "advertising"])),
     (frozenset(["advertising", "endorse"]), frozenset(["advertising", "endorse"]), frozenset()),
+    # An identifier is one word, and tells the license by itself.
+    (frozenset([_MARK.lower()]), frozenset(f.lower().removesuffix("+") for n in TEMPLATES for f in _FORMS_OF.get(n, (n,))), frozenset()),
 )
+# Words that deny the license named after them, and those that a "t" after them makes so.
+_DENIALS = frozenset("not never neither nor".split())
+_SHORTENED = frozenset("isn aren wasn weren".split())
+_SENTENCE_END = re.compile(r"[.!?;:]\s|\n\s*\n")
 # Words that are never the key of a template.
 COMMON = frozenset("a all an and any are at be by can for in is it its may not of on or so that the this to under use whom with work you your".split())
 
@@ -285,7 +318,8 @@ def find_licenses(text: str, known: Sequence[Template], coverage: float = COVERA
 
     Each occurrence of a key says where its template would begin. Of findings that overlap, the one with most aligned
     words stays, then the shortest; what it leaves of the windows around it is searched again. The words that tell a
-    template from other licenses have to be aligned, and words that make it another one may not stand between.
+    template from other licenses have to be aligned, and words that make it another one may not stand between. A finding
+    that one of the two words before it denies is left out.
     """
     found = words(text)
     each = [w for w, _, _ in found]
@@ -332,7 +366,18 @@ def find_licenses(text: str, known: Sequence[Template], coverage: float = COVERA
             near = bisect_left(lasts, begin - reach)
             if near < len(added) and added[near][0] <= begin + reach:
                 open_.append((at, begin, template))
-    return [(t.license, found[first][1], found[last][2], len(t.words), aligned) for first, last, aligned, t in kept]
+    stated = [k for k in kept if not _denied(text, found, k[0])]
+    return [(t.license, found[first][1], found[last][2], len(t.words), aligned) for first, last, aligned, t in stated]
+
+
+def _denied(text: str, found: Sequence[tuple[str, int, int]], first: int) -> bool:
+    """Whether one of the two words before a finding, in its sentence, denies it."""
+    for back in range(max(0, first - 2), first):
+        word = found[back][0]
+        denies = word in _DENIALS or (word == "t" and back > 0 and found[back - 1][0] in _SHORTENED)
+        if denies and not _SENTENCE_END.search(text, found[back][2], found[first][1]):
+            return True
+    return False
 
 
 def scan_licenses(

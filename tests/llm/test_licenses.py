@@ -97,6 +97,29 @@ def test_siblings_against_their_neighbours():
         "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
         "Licensed under the Mozilla Public License, Version 2.0": ["MPL-2.0"],
         "Licensed under the MIT License": ["MIT"],
+        "SPDX-License-Identifier: MIT": ["MIT"],
+        "// SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0"],
+        "# SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"],
+        "/* SPDX-License-Identifier: LGPL-2.1+ */": ["LGPL-2.1"],
+        "SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"],
+        "SPDX-License-Identifier: Proprietary": [],
+        "SPDX-License-Identifier: CC-BY-SA-4.0": ["CC-BY-SA-4.0"],
+        "MIT Licensed": ["MIT"],
+        "Licensed under Apache 2.0": ["Apache-2.0"],
+        "Licensed under the Apache 2.0 license": ["Apache-2.0"],
+        "Licensed under Apache 3.0": [],
+        "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": ["GPL-3.0"],
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": ["GPL-2.0"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "Licensed under the Eclipse Public License, Version 2.0": ["EPL-2.0"],
+        "Licensed under the Eclipse Public License, Version 1.0": ["EPL-1.0"],
+        "Released under the zlib license": ["Zlib"],
+        "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+        "Licensed under the Artistic License 2.0": ["Artistic-2.0"],
+        "It is not released under the MIT License": [],
+        "This file isn't licensed under the Apache License, Version 2.0": [],
+        "This is no toy, it is never released under the MIT License.": [],
+        "Copying is not. Released under the MIT License": ["MIT"],
     }
     for line, names in lines.items():
         assert [f[0] for f in find_licenses(line, known)] == names, line
