@@ -24,14 +24,19 @@ PREFIX = "AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza|eyJ|glpat-|SG[.]"
 # Words of the features.
 ASSIGNING = "token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access|client|signing|webhook|session|key"
 _SIGN = r"[\"'`\]]{0,2}\s{0,4}(?:=>|:=|==?|:)\s{0,4}"
+# The user of an address with a password: scheme://user:password@host.
+_USER = r"://[^\s/:@\"'<>]{0,64}:"
+_PASSWORD = r"[^\s/@\"'<>]{4,200}+"
 # An assigning word, the rest of its name and what stands before the value.
 _HEAD = (
-    rf"[?&]{_NAME}{{0,64}}?(?i:{ASSIGNING}){_NAME}{{0,64}}+="
+    rf"[A-Za-z][A-Za-z0-9+.\-]{{0,20}}{_USER}(?={_PASSWORD}@)"
+    rf"|[?&]{_NAME}{{0,64}}?(?i:{ASSIGNING}){_NAME}{{0,64}}+="
     rf"|(?i:{ASSIGNING}){_NAME}{{0,64}}+{_SIGN}[\"'`]?(?:(?i:bearer|basic|token)\s{{1,2}})?"
     r"|(?i:bearer)\s{1,2}"
 )
 # Its value: up to the closing quote, to the end of a part of a query string, or to white space and brackets.
 _VALUE = (
+    rf"""(?<={_USER}){_PASSWORD}(?=@)|"""
     r"""(?<=")(?:\\.|[^"\\\n]){4,}+(?=")|(?<=')(?:\\.|[^'\\\n]){4,}+(?=')|(?<=`)[^`\n]{4,}+(?=`)"""
     rf"""|(?<=[?&]{_NAME}{{0,140}}=)[^\s"'`&#<>]{{4,}}+"""
     rf"""|(?<!["'`])(?<![?&]{_NAME}{{0,140}}=)[^\s"'`,;<>(){{}}\[\]]{{3,}}[^\s"'`,;<>(){{}}\[\].:]"""
@@ -60,7 +65,7 @@ FEATURES = (
     "length", "digits", "upper", "distinct", "letter_to_digit", "digit_to_letter", "case_changes", "vowel_pairs",
     "consonant_runs", "punctuation", "hex_only", "digits_only", "dictionary", "prefix", "dots", "at_sign",
     "assigning", "harmless", "assigned", "quoted", "repeated", "test_path", "named", "symbols", "spaces", "letters_only",
-    "lower_only", "code", "placeholder",
+    "lower_only", "code", "placeholder", "address_password",
 )
 
 
@@ -135,6 +140,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "code": yes(after.rlike(r"^\s?[(\[{]")),
         "placeholder": yes(low.rlike(r"^[<$%{\[]|[>}\]]$|^(none|null|true|false|self[.].*|changeme|redacted|\*+|x+|[.]+)$|os[.]environ|your|example|placeholder")),
     }
+    values["address_password"] = yes(before.rlike(r"://[^\s/:@]{0,64}:$") & after.startswith("@"))
     return found.withColumns({name: values[name].cast("double") for name in FEATURES})
 
 
@@ -199,6 +205,9 @@ def labelled_findings(spark: SparkSession, count: int = 3000) -> DataFrame:
         (f"concat({word}, 'Manager', {word}, id % 10)", "'class '", "'('", 0),
         (f"concat('src/', {word}, '/', {word}, id % 10, '.java')", "'file '", "''", 0),
         (f"concat('your-', {word}, '-token-example', id % 10)", "'token = \"'", "'\"'", 0),
+        (password, "element_at(array('postgres://admin:', 'DB=mysql://app:', 'https://bot:', 'redis://:'), cast(id / 23 % 4 + 1 as int))", "concat('@db', id % 9, '.host/main')", 1),
+        (f"concat({lower}, {number}, {lower})", "element_at(array('amqp://queue:', 'mongodb+srv://root:', 'ftp://me:'), cast(id / 23 % 3 + 1 as int))", "concat('@', 'h', id % 9)", 1),
+        ("element_at(array('password', '<password>', '${PASSWORD}', '******', 'your-password', 'changeme'), cast(id / 23 % 6 + 1 as int))", "element_at(array('postgres://user:', 'https://user:', 'mysql://root:'), cast(id / 29 % 3 + 1 as int))", "'@localhost'", 0),
         ("concat('xxxxxxxxxxxxxxxxxxxx', id % 10)", "'secret: \"'", "'\"'", 0),
         (f"concat('EXAMPLE', upper({word}), 'KEY1234567')", "'api_key=\"'", "'\"'", 0),
         (f"concat('=====', '----------', id % 10, {word})", "'line '", "''", 0),
@@ -235,8 +244,8 @@ def scan_secrets(
     ``start`` counts code points from 1. A null text has no finding; null ids and paths are kept; repeated rows have
     repeated findings; empty tables an empty result. Texts are read whole; other columns are not read. Documents are
     scanned where they lie, without a shuffle. Values of assigning words are candidates from 4 characters on, quoted ones
-    up to the closing quote; other runs from 16 characters on, with a digit or the prefix of a known token. A name before
-    ``=`` is no part of a secret.
+    up to the closing quote, and so are passwords of addresses (``scheme://user:password@host``); other runs from 16
+    characters on, with a digit or the prefix of a known token. A name before ``=`` is no part of a secret.
     """
     model = model or train_forest(labelled_findings(docs.sparkSession))
     scored = model.transform(with_features(candidates(docs, id_col, text_col, path_col)))
