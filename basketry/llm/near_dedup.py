@@ -1,9 +1,11 @@
 """Near duplicates by an LSH forest over MinHash signatures, each link confirmed on the whole sets.
 
-A forest is several orders of the signatures. In each order, documents that share a prefix of ``DEPTH`` values form a
-region. A region of two is a candidate pair. In a larger one the prefix is too short to tell, so its documents are
-sorted by the values that follow, and neighbours with the longest common prefixes are compared first: each block of
-the order yields the most similar pairs that connect it (a maximum spanning forest), never all pairs. When those are
+A forest is several orders of the signatures: each begins at another value and goes round all of them. In an order,
+documents that share a prefix of ``DEPTH`` values form a region, which is as deep as a pair at the threshold is sure to
+meet in some order. A region of two is a candidate pair. In a larger one that depth is too small to tell, so its
+documents are sorted by the rest of the order, and it is divided where neighbours have the shortest common prefixes,
+until its parts are small: the depth of a part is the longest prefix that its neighbours share, more where the region
+is crowded. Each part yields the most similar pairs that connect it (a maximum spanning forest), never all pairs. When those are
 confirmed and connected, only components that meet in a region and are still apart are left. Those that look alike
 make a family, in which the documents outside the main component are compared with all others, on whole sets, block
 by block. So no pair that shares a region is lost, a group of n copies costs in the order of n comparisons, and no
@@ -92,8 +94,20 @@ def _sets(length: int):
     return rows
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, np.ndarray]]:
-    """Consecutive rows with one value of ``by``, across batches; of a group beyond ``2 * BLOCK``, pieces of ``BLOCK``."""
+def common_prefixes(signatures: np.ndarray) -> np.ndarray:
+    """How many leading values each row of a sorted region shares with the row before it."""
+    equal = signatures[1:] == signatures[:-1]
+    return np.where(equal.all(1), signatures.shape[1], equal.argmin(1))
+
+
+def shallowest(columns: dict[str, np.ndarray], low: int) -> int:
+    """Rows from ``low`` on that go before the shortest common prefix among the places where a part may end."""
+    prefixes = common_prefixes(columns["signature"][low + BLOCK // 2 - 1 : low + 2 * BLOCK])
+    return BLOCK // 2 + int(prefixes.argmin())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str, cut=lambda columns, low: BLOCK) -> Iterator[dict[str, np.ndarray]]:
+    """Consecutive rows with one value of ``by``, across batches; of a group beyond ``2 * BLOCK``, parts as ``cut`` tells."""
     rest: dict[str, np.ndarray] = {}
     for batch in batches:
         columns = {}
@@ -113,8 +127,9 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, np
             yield {n: v[low:high] for n, v in columns.items()}
         low = edges[-2]
         while len(key) - low > 2 * BLOCK:
-            yield {n: v[low : low + BLOCK] for n, v in columns.items()}
-            low += BLOCK
+            size = cut(columns, low)
+            yield {n: v[low : low + size] for n, v in columns.items()}
+            low += size
         rest = {n: v[low:] for n, v in columns.items()}
     if rest and len(rest[by]):
         yield rest
@@ -128,23 +143,21 @@ def _alike(signature: np.ndarray, n: np.ndarray, i: int, others: slice | np.ndar
 
 
 def _forest(ratio: float, surely_less: float):
-    """Of each block of a sorted region: the most similar pairs that connect it."""
+    """Of each part of a sorted region: the most similar pairs that connect it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "prefix"):
-            node, n, signature = group["node"], group["n"], group["signature"]
-            for low in range(0, len(node), BLOCK):
-                ids, sizes, bytes_ = node[low : low + BLOCK], n[low : low + BLOCK], signature[low : low + BLOCK]
-                found = []
-                for i in range(len(ids) - 1):
-                    share = _alike(bytes_, sizes, i, slice(i + 1, None), ratio)
-                    found += [(-share[j], i, i + 1 + j) for j in np.flatnonzero(share >= surely_less)]
-                found_roots, pairs = _Roots(), []
-                for _, i, j in sorted(found):
-                    if found_roots.join(i, j):
-                        pairs.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
-                if pairs:
-                    yield _pairs(pairs)
+        for group in _groups(batches, "prefix", shallowest):
+            ids, sizes, bytes_ = group["node"], group["n"], group["signature"]
+            found = []
+            for i in range(len(ids) - 1):
+                share = _alike(bytes_, sizes, i, slice(i + 1, None), ratio)
+                found += [(-share[j], i, i + 1 + j) for j in np.flatnonzero(share >= surely_less)]
+            found_roots, pairs = _Roots(), []
+            for _, i, j in sorted(found):
+                if found_roots.join(i, j):
+                    pairs.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+            if pairs:
+                yield _pairs(pairs)
 
     return rows
 
@@ -310,15 +323,17 @@ def near_duplicates(
     twos = twos.mapInArrow(_pair_filter(SURELY_LESS), "a bigint, b bigint")
 
     crowds = members.join(regions.where(F.col("m") > 2).select("prefix", "m"), "prefix")
-    after = F.substring(F.col("signature"), F.col("tree") * DEPTH % (SIGNATURE - 8) + 1, F.lit(8))
-    crowds = crowds.join(nodes.select("node", "n", "signature"), "node").select("prefix", "m", after.alias("after"), "node", "n", "signature")
+    # Each order goes on from its own values, round the whole signature. What agrees in two signatures still does.
+    begin = F.col("tree") * DEPTH % SIGNATURE
+    turned = F.concat(F.substring(F.col("signature"), begin + 1, F.lit(SIGNATURE)), F.substring(F.col("signature"), F.lit(1), begin))
+    crowds = crowds.join(nodes.select("node", "n", "signature"), "node").select("prefix", "m", "node", "n", turned.alias("signature"))
     crowds = save_table(crowds, root, "crowds")
-    spread = crowds.select("prefix", "after", "node", "n", "signature").repartitionByRange("prefix", "after", "node")
-    first = spread.sortWithinPartitions("prefix", "after", "node").mapInArrow(_forest(threshold, SURELY_LESS), "a bigint, b bigint")
+    spread = crowds.select("prefix", "node", "n", "signature").repartitionByRange("prefix", "signature", "node")
+    first = spread.sortWithinPartitions("prefix", "signature", "node").mapInArrow(_forest(threshold, SURELY_LESS), "a bigint, b bigint")
     links = _confirm(twos.union(first.select("a", "b")), texts, shingle, threshold, root, "first")
     found = components(links, root, "first-components")
 
-    placed = crowds.drop("after").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = crowds.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     alike = _in_cells(placed, ["prefix"]).mapInArrow(_apart(threshold, SURELY_LESS), "a bigint, b bigint")
     families = components(alike.select("a", "b"), root, "families")
     families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))

@@ -101,3 +101,27 @@ def test_signature_bytes_estimate_similarity(prose):
     exact = common / (len(one) + len(two) - common)
     a, b = (near_dedup._signature(s)[: near_dedup.SIGNATURE] for s in (one, two))
     assert abs((a == b).mean() - exact) < 0.15
+
+
+def test_regions_are_divided_at_the_shortest_common_prefixes():
+    """Three crowds of a region: each part holds one of them, or the beginning of one that is too large."""
+    import numpy as np
+    import pyarrow as pa
+
+    from basketry.llm.near_dedup import BLOCK, SIGNATURE, _groups, common_prefixes, shallowest
+
+    draw = np.random.default_rng(1)
+    rows_of = []
+    for lead, count in ((1, 300), (2, 200), (3, 400)):
+        part = draw.integers(0, 256, (count, SIGNATURE)).astype(np.uint8)
+        part[:, :6], part[:, 5] = 9, lead
+        part[:, 6:20] = lead
+        rows_of += [r.tobytes() for r in part]
+    rows_of.sort()
+    table = pa.RecordBatch.from_arrays([pa.array(np.zeros(900, np.int64)), pa.array(np.arange(900)), pa.array(rows_of, pa.binary())], names=["prefix", "node", "signature"])
+    parts = [p["node"].tolist() for p in _groups(iter([table]), "prefix", shallowest)]
+    assert sum(parts, []) == list(range(900)) and parts[0] == list(range(300)) and max(map(len, parts)) <= 2 * BLOCK
+    assert 500 in [p[0] for p in parts] or any(p[0] == 300 for p in parts)
+    signatures = np.frombuffer(b"".join(rows_of), dtype=np.uint8).reshape(-1, SIGNATURE)
+    plain = [next((k for k in range(SIGNATURE) if a[k] != b[k]), SIGNATURE) for a, b in zip(signatures, signatures[1:])]
+    assert common_prefixes(signatures).tolist() == plain
