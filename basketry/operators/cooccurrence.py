@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions.ranking import GIANT_ROWS, lookup, shuffle_tasks
-from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, by_rank, with_popularity
+from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, by_rank, fits_head, with_popularity
 from basketry.sources.tables import save_table, scratch_root
 
 # Largest number of items of one collection that meet those of another block of it in one join key.
@@ -72,8 +72,11 @@ def cooccurrence_pairs(
     items = able.join(popularity, "track_id", "left").select(
         "track_id", F.coalesce("popularity_rank", uncovered.cast("bigint")).alias("popularity_rank"), "train_frequency"
     )
-    items = save_table(items, root, f"able-{uuid4().hex}")
-    placed = with_popularity(sized, items, head_items).where(F.col("popularity_rank").isNotNull())
+    if fits_head(popularity, head_items):
+        placed = sized.join(F.broadcast(items), "track_id")
+    else:
+        items = save_table(items, root, f"able-{uuid4().hex}")
+        placed = with_popularity(sized, items, head_items).where(F.col("popularity_rank").isNotNull())
     keys = ["pid"]
     a, b = [F.col("popularity_rank").alias("a")], [F.col("popularity_rank").alias("b")]
     if not sized.where(F.col("blocks") > 1).isEmpty():

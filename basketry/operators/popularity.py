@@ -27,7 +27,7 @@ def item_popularity(train: DataFrame, root: str | None = None) -> DataFrame:
     return range_rank(frequency, [], [F.desc("train_frequency"), F.col("track_id")], "popularity_rank", root)
 
 
-def _fits(items: DataFrame, head_items: int) -> bool:
+def fits_head(items: DataFrame, head_items: int) -> bool:
     """Whether a table is no larger than a head; of a written table that is read off its files' footers."""
     return items.limit(head_items + 1).count() <= head_items
 
@@ -38,7 +38,7 @@ def with_popularity(rows: DataFrame, popularity: DataFrame, head_items: int = HE
     Frequent items meet the broadcast head; what remains has no hot key and is joined by shuffle. A table that is no
     larger than the head is all head.
     """
-    if _fits(popularity, head_items):
+    if fits_head(popularity, head_items):
         return rows.join(F.broadcast(popularity), "track_id", "left")
     near = rows.join(F.broadcast(popularity.where(F.col("popularity_rank") <= head_items)), "track_id", "left")
     found = F.col("popularity_rank").isNotNull()
@@ -50,7 +50,7 @@ def with_popularity(rows: DataFrame, popularity: DataFrame, head_items: int = HE
 def by_rank(rows: DataFrame, rank: str, popularity: DataFrame, head_items: int = HEAD_ITEMS) -> DataFrame:
     """``rows`` joined with the items at popularity rank ``rank``, broadcast head and shuffled tail as above."""
     items = popularity.withColumnRenamed("popularity_rank", rank)
-    if _fits(items, head_items):
+    if fits_head(items, head_items):
         return rows.join(F.broadcast(items), rank)
     in_head = F.col(rank) <= head_items
     head = rows.where(in_head).join(F.broadcast(items.where(in_head)), rank)

@@ -150,14 +150,20 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, overwrite: bool = F
 def scratch_root(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a plainly local session without that setting gets a temporary one.
 
-    One process alone is plainly local. Any other master, or none to be read, needs a folder that all share.
+    One process alone is plainly local. Any other master, or none to be read, needs a folder that all share. The folder
+    is gone when the driver's process ends, with all frames over it; :func:`scratch` removes one earlier.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="basketry-")
-    return f"{base.rstrip('/')}/basketry-{uuid4().hex}"
+    folder = f"{base.rstrip('/')}/basketry-{uuid4().hex}"
+    if getattr(spark, "_jvm", None) is not None:
+        files, path = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
 @contextmanager
