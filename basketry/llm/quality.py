@@ -78,16 +78,27 @@ class Features:
             min(1.0, 2 * counts.get("|", 0) / n),
         ]
 
-    def of(self, text: str, recorded: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Slots and values: the words share a length of 1, each statistic has its step and its plain value."""
+    def parts(self, text: str, recorded: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of the words, each once, and the statistics, each from 0 to 1."""
         words = text.split()
         counts = Counter(words)
-        slots = np.unique(np.fromiter((self._slot(w) for w in counts), dtype=np.int64, count=len(counts)))
-        numbers = np.clip(self.statistics(text, words, counts, recorded), 0, 1)
-        base = WORD_SLOTS + np.arange(len(numbers)) * (STEPS + 1)
-        steps = np.minimum((numbers * STEPS).astype(np.int64), STEPS - 1)
-        values = np.concatenate([np.full(len(slots), 1 / np.sqrt(max(len(slots), 1))), np.full(len(numbers), 0.5), numbers])
-        return np.concatenate([slots, base + steps, base + STEPS]), values
+        slots = np.unique(np.fromiter((self._slot(w) for w in counts), dtype=np.uint16, count=len(counts)))
+        return slots, np.clip(self.statistics(text, words, counts, recorded), 0, 1)
+
+
+def vector(words: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values: the words share a length of 1, each statistic has its step and its plain value."""
+    base = WORD_SLOTS + np.arange(len(numbers)) * (STEPS + 1)
+    steps = np.minimum((numbers * STEPS).astype(np.int64), STEPS - 1)
+    values = np.concatenate([np.full(len(words), 1 / np.sqrt(max(len(words), 1))), np.full(len(numbers), 0.5), numbers])
+    return np.concatenate([words.astype(np.int64), base + steps, base + STEPS]), values
+
+
+def vectors(documents: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and values of several documents, and where each begins."""
+    found = [vector(*d) for d in documents]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])[:-1]]).astype(np.int64)
+    return np.concatenate([s for s, _ in found]), np.concatenate([v for _, v in found]), starts
 
 
 @dataclass(frozen=True)
@@ -107,7 +118,10 @@ class FactorisationMachine:
 
 
 def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 300, batch: int = 128, rate: float = 0.08, decay: float = 1e-4, seed: int = 1) -> FactorisationMachine:
-    """Fit by mini-batches of the logistic loss with per-slot step sizes, ``steps`` at least. Without both labels: the smoothed rate."""
+    """Fit by mini-batches of the logistic loss with per-slot step sizes, ``steps`` at least. Without both labels: the smoothed rate.
+
+    ``documents`` are parts as of :meth:`Features.parts`; only those of a batch are vectors at a time.
+    """
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(share / (1 - share)))
     draw = np.random.default_rng(seed)
@@ -118,10 +132,8 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, st
     for _ in range(max(4, -(-steps * batch // len(documents)))):
         for start in range(0, len(order := draw.permutation(len(documents))), batch):
             chosen = order[start : start + batch]
-            sizes = np.array([len(documents[d][0]) for d in chosen])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            slots = np.concatenate([documents[d][0] for d in chosen])
-            values = np.concatenate([documents[d][1] for d in chosen])
+            slots, values, starts = vectors([documents[d] for d in chosen])
+            sizes = np.diff(np.concatenate([starts, [len(slots)]]))
             model = FactorisationMachine(bias, weights, factors)
             error = (model.scores(slots, values, starts) - labels[chosen]) / len(chosen)
             each = np.repeat(error, sizes) * values
@@ -151,13 +163,35 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, chars_col: str) -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), recorded.alias("recorded"))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows and characters of the texts that are vectors at a time.
+PART_ROWS, PART_CHARS = 500, 2_000_000
+
+
+def _parts(features: Features, texts: pa.Array, recorded: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The documents of a batch, as parts, a few at a time: at most ``PART_ROWS``, ``PART_CHARS`` but for a single text."""
+    found, chars = [], 0
+    for text, number in zip(texts, recorded, strict=True):
+        text = text.as_py()
+        if found and (len(found) >= PART_ROWS or chars + len(text) > PART_CHARS):
+            yield found
+            found, chars = [], 0
+        found.append(features.parts(text, number.as_py()))
+        chars += len(text)
+    if found:
+        yield found
+
+
+def _scores(model: tuple, features: Features, texts: pa.Array, recorded: pa.Array) -> pa.Array:
+    machine = FactorisationMachine(*model)
+    return pa.array(np.concatenate([np.zeros(0), *(machine.scores(*vectors(part)) for part in _parts(features, texts, recorded))]))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
     for batch in batches:
-        found = [features.of(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("recorded").to_pylist(), strict=True)]
+        found = [d for part in _parts(features, batch.column("text"), batch.column("recorded")) for d in part]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("quality"), pa.array([s.tolist() for s, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))],
-            names=["quality", "slots", "x"],
+            [batch.column("quality"), *(pa.array([d[i].tobytes() for d in found], pa.binary()) for i in range(2))], names=["quality", "words", "numbers"]
         )
 
 
@@ -165,18 +199,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
     """Learn ``labels`` (``doc_id``, ``quality`` 0 or 1) from at most ``sample`` labelled documents.
 
     The sample is those with the smallest hashes of their ids, held-out ids excluded. Null and other labels are not
-    used; of several labels of a document the smallest counts. Language, source and id are no features.
+    used; of several labels of a document the smallest counts, of several texts under an id the first in order. Language,
+    source and id are no features. The driver gathers ``sample`` rows of at most ``WORD_SLOTS`` numbers of two bytes.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = _columns(docs, id_col, text_col, chars_col).join(F.broadcast(chosen), "doc_id").select("quality", "text", "recorded")
-    found = rows.mapInArrow(_vectors, "quality int, slots array<bigint>, x array<double>").toArrow()
-    documents = sorted(
-        ((q, np.array(s), np.array(x)) for q, s, x in zip(*(found[c].to_pylist() for c in ("quality", "slots", "x")), strict=True)),
-        key=lambda d: (d[0], len(d[1]), d[1].tobytes(), d[2].tobytes()),
-    )
-    return train([(s, x) for _, s, x in documents], np.array([q for q, _, _ in documents], dtype=float))
+    rows = _columns(docs, id_col, text_col, chars_col).join(F.broadcast(chosen), "doc_id")  # ``sample`` short rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "recorded", "quality")).alias("row")).select("row.*")
+    found = rows.mapInArrow(_packed, "quality int, words binary, numbers binary").toArrow()
+    # In an order of their own, whatever the partitions.
+    documents = sorted(zip(*(found[c].to_pylist() for c in ("quality", "words", "numbers")), strict=True))
+    parts = [(np.frombuffer(w, dtype=np.uint16), np.frombuffer(n)) for _, w, n in documents]
+    return train(parts, np.array([q for q, _, _ in documents], dtype=float))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -190,14 +225,8 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [features.of(t, r) for t, r in zip(part.column("text").to_pylist(), part.column("recorded").to_pylist(), strict=True)]
-                starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])[:-1]]).astype(np.int64)
-                scores = FactorisationMachine(*shared.value).scores(np.concatenate([s for s, _ in found]), np.concatenate([v for _, v in found]), starts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(scores)], names=["doc_id", "held_out", "score"]
-                )
+            scores = _scores(shared.value, features, batch.column("text"), batch.column("recorded"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"])
 
     rows = _columns(docs, id_col, text_col, chars_col).withColumn("held_out", held_out("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -205,22 +234,19 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns, where they lie."""
+def keep_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns, where they lie.
+
+    Scores are those of :func:`score_quality`, with its rules for nulls and empty texts: a document with a null text is
+    judged as an empty one. Rows that repeat each other are kept or go together; no column but the two named is read,
+    and no name is added, so other columns may have any name. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors))
     features = Features()
 
-    @F.pandas_udf("double")
-    def score(text, recorded):
-        import pandas as pd
-
-        known = recorded.notna().tolist()
-        values = [int(r) if k else None for r, k in zip(recorded.tolist(), known, strict=True)]
-        found = [features.of(t, r) for t, r in zip(text.tolist(), values, strict=True)]
-        if not found:
-            return pd.Series([], dtype="float64")
-        starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])[:-1]]).astype(np.int64)
-        return pd.Series(FactorisationMachine(*shared.value).scores(np.concatenate([s for s, _ in found]), np.concatenate([v for _, v in found]), starts))
+    @F.arrow_udf("double")
+    def score(text: pa.Array, recorded: pa.Array) -> pa.Array:
+        return _scores(shared.value, features, text, recorded)
 
     recorded = F.col(chars_col).cast("bigint") if chars_col in docs.columns else F.lit(None).cast("bigint")
     return docs.where(score(whole(text_col), recorded) >= threshold)

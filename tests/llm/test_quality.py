@@ -76,3 +76,39 @@ def test_edges(spark, documents, clashing, model, prose):
     assert {r.score for r in score_quality(docs, blank).collect()} == {0.5}
     odd = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 7, 0), (3, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert {r.score > 0.5 for r in score_quality(docs, fit_quality(docs, odd)).collect()} == {True}
+
+
+def test_a_repeated_id_is_learnt_once(spark, documents, monkeypatch):
+    """The sample bounds what the driver gathers, however often an id stands in the documents."""
+    import basketry.llm.quality as quality
+
+    learnt = []
+    monkeypatch.setattr(quality, "train", lambda documents, labels: learnt.append((len(documents), labels.tolist())))
+    docs = documents(*[(1, f"text {i % 7}") for i in range(3000)], *[(i, f"other {i}") for i in range(2, 12)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id bigint, quality int, toxic int")
+    fit_quality(docs, labels, sample=5)
+    assert learnt[0][0] == len(learnt[0][1]) == 5
+
+
+def test_scores_do_not_depend_on_parts(documents, model, prose, monkeypatch):
+    import basketry.llm.quality as quality
+
+    docs = documents(*[(i, prose(20 * i, i)) for i in range(40)]).coalesce(1)
+    whole = rows(score_quality(docs, model))
+    monkeypatch.setattr(quality, "PART_ROWS", 3)
+    monkeypatch.setattr(quality, "PART_CHARS", 500)
+    assert rows(score_quality(docs, model)) == whole
+    parts = list(quality._parts(quality.Features(), *[__import__("pyarrow").array(c) for c in (["x" * 300] * 5, [None] * 5)]))
+    assert [len(p) for p in parts] == [1] * 5
+
+
+def test_whole_scores_by_plain_sums(documents, model, prose):
+    """Every pair of features by its inner product, for whole texts, against the query's scores."""
+    from basketry.llm.quality import Features, vector
+
+    texts = {i: prose(5 + 9 * i, i) + ("| |" if i % 2 else ". 12 X") for i in range(8)}
+    for row in score_quality(documents(*texts.items()), model).collect():
+        slots, values = vector(*Features().parts(texts[row.doc_id], len(texts[row.doc_id])))
+        total = model.bias + sum(model.weights[s] * v for s, v in zip(slots, values))
+        total += sum(model.factors[slots[i]] @ model.factors[slots[j]] * values[i] * values[j] for i, j in combinations(range(len(slots)), 2))
+        assert row.score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-9)
