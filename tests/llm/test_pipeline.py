@@ -85,6 +85,19 @@ def test_rows_with_nulls_and_repeats_pass(spark, tmp_path):
     spark.createDataFrame([(None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, None, 2, 3}
+    # Columns with the names that the stages might use themselves.
+    from pyspark.sql import functions as F
+
+    clash = tmp_path / "clash"
+    names = ["__key", "__sha", "__gone", "__id", "__words", "__copies", "__copy", "__own0", "__own1", "score", "kept", "hash", "n", "size", "node", "component_id"]
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    given.write.parquet(f"{clash}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{clash}/{name}.parquet")
+    found = corpus_pipeline.run(spark, str(clash))
+    assert found.columns == given.columns
+    for row in found.collect():
+        assert [row[n] for n in names] == [None if row.doc_id is None else f"{n}{row.doc_id}" for n in names]
     empty = tmp_path / "empty"
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     for name in ("labels", "benchmark"):
