@@ -72,14 +72,3 @@ def group_rank(
     same = same_keys(keys, own)
     large = rows.join(named, same, "left_semi")
     return rows.join(named, same, "left_anti").withColumn(into, by_window).unionByName(range_rank(large, keys, order, into, root))
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str, is_heavy: Column) -> DataFrame:
-    """``rows`` left-joined with ``table``, whose few heavy keys are broadcast and whose other keys are shuffled.
-
-    ``is_heavy`` holds for keys of ``table`` that have very many ``rows``, so no hot key is left for the shuffle.
-    """
-    heavy = table.where(is_heavy).withColumn("__heavy", F.lit(True))
-    near = rows.join(F.broadcast(heavy), key, "left")
-    far = near.where(F.col("__heavy").isNull()).select(*rows.columns).join(table.where(~is_heavy), key, "left")
-    return near.where(F.col("__heavy")).drop("__heavy").unionByName(far)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from basketry.functions.ranking import GIANT_ROWS, lookup, shuffle_tasks
+from basketry.functions.ranking import shuffle_tasks
 from basketry.operators.popularity import HEAD_ITEMS, RECOMMENDATION, by_rank, fits_head, with_popularity
 from basketry.sources.tables import save_table, scratch_root
 
@@ -117,10 +117,6 @@ def cooccurrence_pairs(
     return named.select("context_track_id", "candidate_track_id", "pair_support", "candidate_popularity")
 
 
-def _most(*blocks: str) -> Column:
-    return F.greatest(*(F.coalesce(b, F.lit(1)) for b in blocks))
-
-
 def _votes(weights: DataFrame, partners: DataFrame, block_rows: int) -> DataFrame:
     """``pid, track_id, votes, candidate_popularity``: each item of a context with each of its ``partners``.
 
@@ -136,8 +132,8 @@ def _votes(weights: DataFrame, partners: DataFrame, block_rows: int) -> DataFram
     blocks = block_counts(weights, "context_blocks").join(block_counts(partners, "pair_blocks"), "track_id", "full")
 
     def placed(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
-        heavy = _most("context_blocks", "pair_blocks") * block_rows >= GIANT_ROWS
-        counted = lookup(rows, blocks, "track_id", heavy).withColumns(
+        # Spark broadcasts a small table of blocks, else it divides the hot items of the join.
+        counted = rows.join(blocks, "track_id", "left").withColumns(
             {name: F.coalesce(f"{name}_blocks", F.lit(1)) for name in ("context", "pair")}
         )
         return counted.select(

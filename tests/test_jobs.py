@@ -2,7 +2,10 @@
 
 import json
 import random
+import subprocess
+import sys
 import threading
+import time
 from pathlib import Path
 
 import pytest
@@ -145,8 +148,6 @@ def test_a_failing_table_leaves_none(spark, tmp_path, overwrite):
 
 def test_a_killed_write_leaves_none(spark, tmp_path):
     """One of three concurrent writes is cancelled while it runs."""
-    import time
-
     from pyspark.sql import functions as F
 
     slow = spark.range(8).repartition(8).select(F.udf(lambda x: (time.sleep(20), x)[1], "bigint")("id").alias("id"))
@@ -193,3 +194,23 @@ def test_a_layer_is_not_overwritten_unasked(spark, tmp_path):
         save_table(spark.range(4), staged, "one")
         assert spark.read.parquet(table_path(str(tmp_path), "one")).count() == 3
     assert spark.read.parquet(table_path(str(tmp_path), "one")).count() == 4
+
+
+def test_a_query_leaves_nothing_behind(tmp_path):
+    """Scratch tables are there while the driver runs, as the result reads them, and gone after it."""
+    code = f"""
+from glob import glob
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+conf = {{"spark.checkpoint.dir": {str(tmp_path)!r}, "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+assert entry.queries()["item_popularity"](spark, "/root/testdata/sf0.001").count() > 0
+assert glob({str(tmp_path)!r} + "/basketry-*")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=300)
+    for _ in range(100):  # the JVM ends after the driver's Python
+        if not list(tmp_path.glob("basketry-*")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("basketry-*"))

@@ -37,3 +37,21 @@ def test_entry_gives_the_known_metrics(spark):
     assert set(got) == set(known)
     for key, values in known.items():
         assert got[key] == pytest.approx(values, abs=1e-6)
+
+
+def test_a_missing_library_of_the_operators_leaves_the_rest(monkeypatch):
+    def missing(name):
+        return lambda _: (_ for _ in ()).throw(ImportError(f"no {name}", name=name))
+
+    for name in ("basketry.llm", "basketry.llm.queries", "corpus_pipeline"):
+        monkeypatch.setattr(entry, "import_module", missing(name))
+        assert entry._optional("basketry.llm.queries") is None
+    monkeypatch.setattr(entry, "import_module", missing("xxhash"))
+    with pytest.warns(UserWarning, match="no xxhash"):
+        assert entry._optional("basketry.llm.queries") is None
+    monkeypatch.setattr(entry, "import_module", missing("basketry.operators"))
+    with pytest.raises(ImportError):
+        entry._optional("basketry.llm.queries")
+    monkeypatch.setattr(entry, "_llm", None)
+    monkeypatch.setattr(entry, "_pipeline", None)
+    assert set(entry.queries()) == set(plan_queries.queries()) and set(entry.oracle_sql()) == set(plan_oracle.oracle_sql())
