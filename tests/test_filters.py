@@ -1,0 +1,75 @@
+"""What is left out before a shuffle, and what is computed once."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from basketry.functions.filters import maybe_in
+from basketry.operators import item_dimension
+from basketry.plans import queries as plan_queries, standin
+from basketry.sources.documents import collections_of
+from tests.conftest import rows
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("bits", [6, 8, 25])
+def test_the_filter_keeps_all_keys_and_few_others(spark, bits):
+    rng = random.Random(bits)
+    keys = {rng.randint(-(2**62), 2**62) for _ in range(40)}
+    others = [rng.randint(-(2**62), 2**62) for _ in range(4000)]
+    schema = "key long, n int"
+    all_rows = spark.createDataFrame([(k, n) for n, k in enumerate([*keys, *keys, *others, None])], schema)
+    of = spark.createDataFrame([(k,) for k in [*keys, None]], "other long")
+    found = maybe_in(all_rows, "key", of, "other", bits)
+    assert found.columns == ["key", "n"]
+    left = [r.key for r in found.collect()]
+    assert sorted(k for k in left if k in keys) == sorted([*keys, *keys]) and None not in left
+    assert bits < 25 or len(left) == 2 * len(keys)
+    assert maybe_in(all_rows, "key", of.where("false"), "other", bits).isEmpty()
+
+
+def test_some_baskets_are_those_of_all(spark):
+    some = F.col("pid") % 7 == 3
+    for giant_rows in (1_000_000, 20):
+        got = standin.baskets(spark, SMALL, giant_rows, of=some)
+        assert rows(got) == rows(standin.baskets(spark, SMALL).where(some)) and not got.isEmpty()
+
+
+def test_lines_of_other_customers_are_not_shuffled(spark):
+    """Where the orders of the wanted customers are too many to broadcast, their lines are all that travels."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = standin.baskets(spark, SMALL, of=F.col("pid") == 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = next(part for part in plan.split("Exchange hashpartitioning(l_orderkey")[1:])
+    assert "getbit" in lines.split("SortMergeJoin")[0] or "bit_get" in lines.split("SortMergeJoin")[0]
+
+
+def test_a_hold_out_reads_lines_once(spark):
+    """Hidden and visible rows come from one written table, not from the purchases again."""
+    plan = plan_queries.q_holdout_context(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "l_orderkey" not in plan
+
+
+def test_occurrences_are_shuffled_once(spark):
+    data = [("f", [(1, [("x:a:1 ", None, 5, 1), ("x:a:1", "n", 4, 0)]), (None, [("x:a:1", "m", 9, 0), ("  ", "z", 1, 0)])])]
+    track = "track_uri string, track_name string, artist_uri string, artist_name string, album_uri string, album_name string, duration_ms long, pos long"
+    full = [(f, [(pid, [(uri, name, None, None, None, None, ms, pos) for uri, name, ms, pos in tracks]) for pid, tracks in lists]) for f, lists in data]
+    documents = spark.createDataFrame(full, f"source_file string, playlists array<struct<pid: long, tracks: array<struct<{track}>>>>")
+    found = item_dimension(collections_of(documents))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_min" in plan
+    assert [tuple(r)[:3] + (r.duration_ms,) for r in found.collect()] == [("x:a:1", "1", "n", 4)]
+
+
+def test_lines_of_documents_are_shuffled_four_times(spark):
+    """By order, part, customer and document; the other three shuffles are of orders, parts and customers."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = standin.nested(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 7
