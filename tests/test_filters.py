@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.functions.filters import maybe_in
 from basketry.operators import item_dimension
 from basketry.plans import queries as plan_queries, standin
-from basketry.sources.documents import collections_of
+from basketry.sources.documents import collections_of, scan_nested_json
 from tests.conftest import rows
 
 SMALL = "/root/testdata/sf0.001"
@@ -73,3 +73,19 @@ def test_lines_of_documents_are_shuffled_four_times(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 7
+
+
+def test_compressed_documents_hold_the_same(spark, tmp_path, monkeypatch):
+    """As the whole flow writes and reads them; the files are a small part of the plain ones."""
+    asked = {}
+    monkeypatch.setattr(plan_queries, "ingest", lambda *a, **options: asked.update(options, folder=a[1]) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        plan_queries.q_end_to_end_documents(spark, SMALL)
+    packed_in = asked.pop("folder")
+    plain_in = str(tmp_path / "plain")
+    standin.write_documents(spark, SMALL, plain_in, "mpd.slice.0-999")
+    found = [scan_nested_json(spark, plain_in), scan_nested_json(spark, packed_in, **asked)]
+    plain, packed = (rows(f.select("playlist.pid", "playlist.name", F.array_sort("playlist.tracks").cast("string"))) for f in found)
+    assert plain == packed and plain
+    sizes = [spark.read.format("binaryFile").load(f"{folder}/*json*").agg(F.sum("length")).first()[0] for folder in (plain_in, packed_in)]
+    assert sizes[1] * 4 < sizes[0]
