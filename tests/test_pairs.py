@@ -60,6 +60,14 @@ def test_pairs_below_the_support_leave_no_task():
     assert given == [(2, 9, 3), (2, 10, 5)]
 
 
+def test_support_of_one_is_left_out():
+    groups = [{1: (1, 1, 1), 2: (1, 1, 1), 3: (1, 1, 1)}, {1: (1, 1, 1), 3: (1, 1, 1), 4: (2, 1, 1)}]
+    (batch,) = pair_stripes(True)(made(groups, 100, {}))
+    assert [tuple(r.values()) for r in batch.to_pylist()] == [(2, 0, [1], []), (3, 0, [1, 2], [2, 1]), (4, 0, [1, 3], [2, 2])]
+    given = [tuple(r.values()) for found in supported_pairs(1)(iter([batch])) for r in found.to_pylist()]
+    assert given == [(1, 2, 1), (1, 3, 2), (2, 3, 1), (1, 4, 2), (3, 4, 2)]
+
+
 def test_support_beyond_64_bits_is_an_error():
     big = np.array([2**40, 2**40])
     with pytest.raises(OverflowError):
