@@ -214,3 +214,9 @@ spark.stop()
             break
         time.sleep(0.2)
     assert not list(tmp_path.glob("basketry-*"))
+
+
+def test_tables_are_written_small(spark, tmp_path):
+    """What a job writes and reads again is compressed with zstd."""
+    found = save_table(spark.range(1000), str(tmp_path), "numbers")
+    assert all(name.endswith(".zstd.parquet") for name in found.inputFiles()) and found.count() == 1000
