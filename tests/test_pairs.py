@@ -12,7 +12,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from basketry.functions.pairs import PACKED, added_up, pair_stripes, products, supported_pairs
+from basketry.functions.pairs import PACKED, STRIPE_PAIRS, added_up, as_bytes, of_bytes, pair_stripes, products, shelved, supported_pairs, unshelved
 from basketry.operators import cooccurrence_pairs, item_popularity
 from basketry.operators.cooccurrence import sized_items
 from basketry.sources.tables import save_table, scratch_root
@@ -54,6 +54,47 @@ def test_stripes_add_up_to_the_pairs(batch_rows, flush, stripe, shift, most):
         assert {p: n for p, n in total.items() if n >= least} == {p: n for p, n in expected.items() if n >= least}
 
 
+def test_numbers_as_bytes():
+    rng = random.Random(5)
+    for values in ([], [0], [0, 127, 128, 2**14 - 1, 2**14, 2**62, 2**63 - 1], [rng.getrandbits(rng.randint(1, 63)) for _ in range(500)]):
+        data, lengths = as_bytes(np.array(values, dtype=np.int64))
+        assert of_bytes(data).tolist() == values and lengths.tolist() == [max(1, -(-v.bit_length() // 7)) for v in values]
+
+
+@pytest.mark.parametrize("batch_rows, flush, stripe, shift", [(1000, 10**6, 1024, 0), (3, 7, 2, 0), (5, 1, 1, 0), (4, 30, 3, 2**33)])
+@pytest.mark.parametrize("most, shelf", [(1, 4), (4, 4), (3, 1), (2, 1000)])
+def test_shelves_add_up_to_the_pairs(batch_rows, flush, stripe, shift, most, shelf):
+    rng = random.Random(4)
+    groups = [{rng.randint(1, 25) + shift: (rng.randint(1, most), int(rng.random() < 0.9), int(rng.random() < 0.9)) for _ in range(rng.randint(1, 12))} for _ in range(60)]
+    expected = Counter()
+    for group in groups:
+        for a in group:
+            for b in group:
+                if a < b and group[a][1] and group[b][2]:
+                    expected[(a, b)] += group[a][0] * group[b][0]
+    parts, lone = {rank + shift: 3 for rank in (6, 9)}, 9 + shift
+    found = list(shelved(pair_stripes(not shift, flush, stripe), lone, shelf, stripe)(made(groups, batch_rows, parts)))
+    stripes = sorted((tuple(r.values()) for batch in found for r in batch.to_pylist()), key=lambda r: r[:2])
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*stripes)], names=["b", "part", "others", "supports"])
+    for least in (1, 3):
+        total = Counter()
+        for batch in unshelved(supported_pairs(least, flush), lone, shelf)(whole.slice(at, 4) for at in range(0, len(stripes), 4)):
+            for row in batch.to_pylist():
+                total[(row["a"], row["b"])] += row["pair_support"]
+        assert {p: n for p, n in total.items() if n >= least} == {p: n for p, n in expected.items() if n >= least}
+
+
+def test_pairs_of_rare_items_share_rows():
+    """A few bytes a pair and many pairs a row, also where an item has no two pairs in a task."""
+    rng = random.Random(6)
+    groups = [{rng.randint(1, 200_000): (1, 1, 1) for _ in range(8)} for _ in range(3000)]
+    alone, together = (list(run(made(groups, 10_000, {}))) for run in (pair_stripes(True), shelved(pair_stripes(True), 0)))
+    pairs = sum(len(r) for batch in alone for r in batch.column("others"))
+    assert sum(b.num_rows for b in together) * 10 < sum(b.num_rows for b in alone)
+    assert sum(b.nbytes for b in together) < 4.5 * pairs < sum(b.nbytes for b in alone)
+    assert all(len(of_bytes(np.frombuffer(r, np.uint8))) <= STRIPE_PAIRS for b in together for r in b.column("others").to_pylist())
+
+
 def test_pairs_below_the_support_leave_no_task():
     stripes = pa.RecordBatch.from_arrays([pa.array(c) for c in ([9, 9, 10], [0, 0, 0], [[1, 2], [2, 3], [2]], [[1, 2], [1, 1], [5]])], names=["b", "part", "others", "supports"])
     given = [tuple(r.values()) for batch in supported_pairs(3)(iter([stripes])) for r in batch.to_pylist()]
