@@ -9,6 +9,7 @@ from basketry.functions.filters import maybe_in
 from basketry.operators import item_dimension
 from basketry.plans import queries as plan_queries, standin
 from basketry.sources.documents import collections_of, scan_nested_json
+from basketry.sources.tables import table_path
 from tests.conftest import rows
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,3 +90,52 @@ def test_compressed_documents_hold_the_same(spark, tmp_path, monkeypatch):
     assert plain == packed and plain
     sizes = [spark.read.format("binaryFile").load(f"{folder}/*json*").agg(F.sum("length")).first()[0] for folder in (plain_in, packed_in)]
     assert sizes[1] * 4 < sizes[0]
+
+
+def test_lines_do_not_meet_their_customer_before_their_document(spark):
+    """Orders and their sizes do; lines travel by order, by part without names, and by document."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = standin.nested(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "l_linenumber" not in plan.split("Exchange hashpartitioning(pid", 1)[1]
+    by_part = plan.split("Exchange hashpartitioning(l_partkey", 1)[1].split("Exchange", 1)[0].splitlines()[1]
+    assert "o_orderdate" not in by_part and "l_orderkey" not in by_part and "pos" in by_part
+
+
+@pytest.mark.parametrize("giant_rows", [1_000_000, 10, 1])
+def test_documents_of_odd_tables(spark, tmp_path, monkeypatch, giant_rows):
+    """Repeated orders and customers, orders without customer, date or lines, lines without order or part, long lists."""
+    rng = random.Random(9)
+    dates = [None, "1995-01-02 00:00:00", "1995-01-02 07:00:00", "1996-03-04 00:00:00"]
+    orders = [(n, rng.choice([*range(12), 1, 1, None, 77]), rng.choice(dates)) for n in range(40)]
+    orders += [orders[5], orders[6], (*orders[7][:2], dates[1]), (*orders[8][:2], dates[3])]
+    lines = [(rng.randint(0, 45), rng.randint(0, 9), rng.randint(1, 3), rng.randint(1, 3), float(n), f"1997-01-{1 + n % 28:02d} 00:00:00") for n in range(300)]
+    customers = [(n, f"c{n}", 9, 0.0) for n in (*range(1990, 2010), *range(12))] + [(3, "again", 20, 0.0), (4, "poor", 20, -950.0)]
+    parts = [(n, f"part {n}", "b") for n in range(9)]
+    for name, data, schema in (
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderdate string"),
+        ("lineitem", [(*line, float(n), 0.05, 0.0, "R", "F") for n, line in enumerate(lines)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_shipdate string, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"),
+        ("customer", customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double"),
+        ("part", parts, "p_partkey long, p_name string, p_brand string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(table_path(str(tmp_path), name))
+    monkeypatch.setattr(standin, "CHUNK", 7)
+
+    bought = sorted(((pid, date or "", order, line[3], line[1], line[2], line[4], line[5], n) for order, pid, date in orders if pid is not None for n, line in enumerate(lines) if line[0] == order))
+    held: dict[int, list[tuple[int, int]]] = {}
+    rows_of: dict[int, int] = {}
+    for pid, *_, n in bought:
+        pos = rows_of[pid] = rows_of.get(pid, -1) + 1
+        if lines[n][1] < 9:
+            held.setdefault(pid, []).append((pos, n))
+    expected = []
+    for key, name, _, balance in customers:
+        for chunk in range(rows_of.get(key, 0) // 7 + 1):
+            own = [(pos, n) for pos, n in held.get(key, []) if pos // 7 == chunk]
+            file = f"mpd.slice.{key // 1000 * 1000}-{key // 1000 * 1000 + 999}.{chunk}.json"
+            expected.append((file, name, key if balance >= -900 else None, len(own), own))
+    found = standin.nested(spark, str(tmp_path), giant_rows).select("source_file", F.explode("playlists").alias("p"))
+    got = [(r.source_file, r.p.name, r.p.pid, r.p.num_tracks, [(t.pos, t.duration_ms) for t in r.p.tracks]) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
