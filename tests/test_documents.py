@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators import flatten_collections, flatten_interactions, ingest_summary, item_dimension
 from basketry.sources import collections_of, read_documents, scan_nested_json
@@ -150,3 +151,15 @@ def test_documents_as_a_stream(spark, tmp_path):
     assert rows(spark.table("arrived"), "pid", "pos", "track_id") == [
         (1, 0, "X"), (1, 1, "X"), (1, 4, "y "), (3, 0, None), (5, 2, "N"),
     ]
+
+
+def test_occurrences_travel_in_order_by_two_numbers(spark, tmp_path):
+    """A decimal of both took more bytes in the shuffle. Places as far apart as numbers go keep their order."""
+    far = 2**62
+    lists = [(far, -far, "d"), (-far, far, "b"), (-far, -far, "a"), (-far, None, "c"), (None, -far, "e")]
+    for n in range(1, len(lists) + 1):
+        playlists = [{"pid": pid, "tracks": [item("a:track:X", pos, track_name=name)]} for pid, pos, name in lists[-n:]]
+        (tmp_path / f"mpd.slice.{n}-{n}.json").write_text(json.dumps({"playlists": playlists}))
+        found = item_dimension(scan_nested_json(spark, str(tmp_path)).where(F.col("source_file").contains(f"slice.{n}-")))
+        assert "decimal" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.first().track_name == min(p["tracks"][0]["track_name"] for p in playlists)
