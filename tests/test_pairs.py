@@ -75,7 +75,7 @@ def test_shelves_add_up_to_the_pairs(batch_rows, flush, stripe, shift, most, she
     parts, lone = {rank + shift: 3 for rank in (6, 9)}, 9 + shift
     found = list(shelved(pair_stripes(not shift, flush, stripe), lone, shelf, stripe)(made(groups, batch_rows, parts)))
     stripes = sorted((tuple(r.values()) for batch in found for r in batch.to_pylist()), key=lambda r: r[:2])
-    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*stripes)], names=["b", "part", "others", "supports"])
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*stripes)], names=["b", "part", "lows", "others", "supports"])
     for least in (1, 3):
         total = Counter()
         for batch in unshelved(supported_pairs(least, flush), lone, shelf)(whole.slice(at, 4) for at in range(0, len(stripes), 4)):
@@ -95,6 +95,16 @@ def test_pairs_of_rare_items_share_rows():
     assert all(len(of_bytes(np.frombuffer(r, np.uint8))) <= STRIPE_PAIRS for b in together for r in b.column("others").to_pylist())
 
 
+def test_lowest_bytes_of_steps_stay_whole():
+    """Steps of some millions, as between pairs among millions of items, would take 3.7 bytes in sevens of bits."""
+    rng = random.Random(8)
+    groups = [{rng.randint(1, 3_500_000): (1, 1, 0), rng.randint(3_600_000, 3_600_000 + 12_800): (1, 0, 1)} for _ in range(7000)]
+    found = list(shelved(pair_stripes(True), 0)(made(groups, 10_000, {})))
+    assert sum(b.column(c).nbytes - 4 * b.num_rows for b in found for c in ("lows", "others")) < 3.4 * len(groups)
+    pairs = [tuple(r.values()) for batch in unshelved(supported_pairs(1), 0)(iter(found)) for r in batch.to_pylist()]
+    assert sorted(pairs) == sorted((min(g), max(g), 1) for g in groups)
+
+
 def test_pairs_below_the_support_leave_no_task():
     stripes = pa.RecordBatch.from_arrays([pa.array(c) for c in ([9, 9, 10], [0, 0, 0], [[1, 2], [2, 3], [2]], [[1, 2], [1, 1], [5]])], names=["b", "part", "others", "supports"])
     given = [tuple(r.values()) for batch in supported_pairs(3)(iter([stripes])) for r in batch.to_pylist()]
